@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keyhound.fixed_values import DEFAULT_SIMILARITY_LIMIT, URI_PATTERN
+from keyhound.fixed_values import DEFAULT_SIMILARITY_LIMIT, UNICODE_SPACES, URI_PATTERN
 from keyhound.functions import regex
 from keyhound.functions.strings import similarity_ratio, starts_with, trim_space
 
@@ -42,7 +42,8 @@ def is_excluded(
 
 def is_static(key: Column, value: Column) -> Column:
     """True for a hard-coded value, false for an empty, templated or self-named one."""
-    name, text = F.lower(trim_space(key)), F.lower(trim_space(value))
+    # A suffix test needs no trimming on the left.
+    name, text = F.lower(trim_space(key)), F.lower(F.rtrim(value, F.lit(UNICODE_SPACES)))
     dynamic = [
         value.isin("", "null"),
         starts_with(value, "$") & ~F.contains(F.substr(value, F.lit(2)), F.lit("$")),

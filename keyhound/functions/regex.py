@@ -9,10 +9,18 @@ from __future__ import annotations
 
 import logging
 import re
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    from re import _parser
+except ImportError:  # other Python versions: patterns run without guards
+    _parser = None
+
 log = logging.getLogger(__name__)
 
 _LITERAL_ANCHORED = re.compile(r"\^([A-Za-z0-9_ ]+)\$")
@@ -90,45 +98,84 @@ def java_pattern(pattern: str, ignorecase: bool = False) -> str:
     return f"(?{flags})" + escape_class_syntax(pattern)
 
 
-def required_literal(pattern: str) -> str:
-    """The longest plain text every match must contain, or ``''`` when none is certain."""
-    if "(?" in pattern or "|" in _outside_groups(pattern):
-        return ""
-    best, run, i, depth = "", "", 0, 0
-    while i < len(pattern):
-        char, nxt = pattern[i], pattern[i + 1 : i + 2]
-        if char == "[":
-            end = re.compile(r"\[\^?\]?(?:[^\]\\]|\\.)*\]").match(pattern, i)
-            if end is None:
-                return ""
-            i, run = end.end(), ""
-            continue
-        plain = (char.isalnum() or char in " -_/:,") and depth == 0
-        if char == "\\":
-            run, i = "", i + 2
-            continue
-        depth += {"(": 1, ")": -1}.get(char, 0)
-        if plain and nxt not in ("*", "?", "{", "+"):
+@dataclass(frozen=True)
+class Needs:
+    """What every text a pattern matches must have; used to skip the pattern cheaply."""
+
+    min_chars: int = 0
+    max_chars: int | None = None
+    literal: str = ""
+
+    def guards(self, text: Column) -> list[Column]:
+        """Conditions in bytes: a character takes one to four of them."""
+        tests = []
+        if self.min_chars > 1:
+            tests.append(F.octet_length(text) >= self.min_chars)
+        if self.max_chars is not None:
+            tests.append(F.octet_length(text) <= 4 * self.max_chars)
+        if self.literal:
+            tests.append(F.contains(text, F.lit(self.literal)))
+        return tests
+
+
+def needs(pattern: str, ignorecase: bool = False) -> Needs:
+    """Length limits and a plain text that follow from the pattern; nothing when unsure."""
+    if _parser is None:
+        return Needs()
+    try:
+        tree = _parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return Needs()
+    low, high = tree.getwidth()
+    ops = list(tree)
+    anchored = (
+        len(ops) > 1
+        and str(ops[0][0]) == str(ops[-1][0]) == "AT"
+        and str(ops[0][1]).startswith("AT_BEGINNING")
+        and str(ops[-1][1]).startswith("AT_END")
+    )
+    caseless = ignorecase or "(?" in pattern.replace("(?:", "").replace("(?=", "").replace("(?!", "")
+    runs = _literal_runs(ops, caseless)
+    literal = max(runs, key=len, default="")
+    return Needs(
+        min_chars=min(low, 10_000),
+        # `$` also matches before one final line feed.
+        max_chars=high + 1 if anchored and high < 10_000 else None,
+        literal=literal if len(literal) > 1 else "",
+    )
+
+
+def _literal_runs(ops: list, caseless: bool) -> list[str]:
+    """Plain texts that must appear, in order.  Caseless patterns offer uncased characters only."""
+    runs, run = [], ""
+    for op, argument in ops:
+        name = str(op)
+        char = chr(argument) if name == "LITERAL" else ""
+        if char and not (caseless and char.lower() != char.upper()):
             run += char
-            best = max(best, run, key=len)
-        else:
-            run = ""
-        if char == "{":
-            i = pattern.find("}", i) if "}" in pattern[i:] else i
-        i += 1
-    return best if len(best) > 2 else ""
+            continue
+        runs.append(run)
+        run = ""
+        if name == "SUBPATTERN":
+            runs += _literal_runs(list(argument[-1]), caseless)
+        elif name == "MAX_REPEAT" and argument[0] > 0:
+            runs += _literal_runs(list(argument[2]), caseless)
+    return [*runs, run]
 
 
-def search(text: Column, pattern: str, ignorecase: bool = False) -> Column:
-    """True where ``pattern`` matches anywhere in ``text``."""
+def search_tests(text: Column, pattern: str, ignorecase: bool = False) -> list[Column]:
+    """Conditions that together mean ``pattern`` matches in ``text``: cheap ones first."""
     literal = _LITERAL_ANCHORED.fullmatch(pattern)
     if literal and not ignorecase:
         # `$` also matches before one final line feed.
-        return text.isin(literal.group(1), literal.group(1) + "\n")
+        return [text.isin(literal.group(1), literal.group(1) + "\n")]
     simple = simplify_search(pattern)
-    found = text.rlike(java_pattern(simple, ignorecase))
-    needle = "" if ignorecase or "(?i)" in pattern else required_literal(simple)
-    return F.contains(text, F.lit(needle)) & found if needle else found
+    return [*needs(simple, ignorecase).guards(text), text.rlike(java_pattern(simple, ignorecase))]
+
+
+def search(text: Column, pattern: str, ignorecase: bool = False) -> Column:
+    """True where ``pattern`` matches anywhere in ``text``."""
+    return reduce(and_, search_tests(text, pattern, ignorecase))
 
 
 def is_valid(spark: SparkSession, pattern: str, ignorecase: bool = False) -> bool:

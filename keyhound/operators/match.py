@@ -4,10 +4,10 @@ Rules are known when the plan is built, so a rule table becomes Column expressio
 and matching is a narrow step: no join, no shuffle.
 
 ``first`` keeps the first rule in order, ``all`` keeps every rule that fits.  The
-similarity ratio is the one costly test.  It is the same for all rules of a pair,
-so it is computed last, once, and only for pairs some rule already fits: rules are
-grouped by their limit, each group offers its first fitting rule, and the ratio then
-decides between the groups.
+static test and the similarity ratio are the same for all rules of a pair, so they are
+computed last, once, and only for pairs some rule already fits: rules are grouped by
+their similarity limit, each group offers its first fitting rule, and the ratio then
+decides between the groups.  (An AND does not depend on the order of its tests.)
 """
 
 from __future__ import annotations
@@ -42,29 +42,34 @@ log = logging.getLogger(__name__)
 Rules = Sequence[Rule] | DataFrame
 
 
-def config_tests(text: Column, config: MatchConfig | None) -> list[Column]:
-    """The tests of one side of a rule, cheapest first; unset tests are left out."""
+def config_tests(text: Column, config: MatchConfig | None) -> tuple[list[Column], list[Column]]:
+    """The tests of one side of a rule: cheap ones, then patterns and check digits."""
+    cheap: list[Column] = []
+    costly: list[Column] = []
     if config is None:
-        return []
-    tests = []
+        return cheap, costly
     if config.minlen > 0:
-        tests.append(has_min_length(text, config.minlen))
+        cheap.append(has_min_length(text, config.minlen))
     if config.is_ascii:
-        tests.append(is_ascii(text))
+        cheap.append(is_ascii(text))
     if config.regex:
-        tests.append(regex.search(text, config.regex, config.ignorecase))
+        *guards, pattern = regex.search_tests(text, config.regex, config.ignorecase)
+        cheap += guards
+        costly.append(pattern)
     if config.is_base64:
-        tests.append(is_base64(text))
+        costly.append(is_base64(text))
     if config.is_uri:
-        tests.append(is_uri(text))
+        costly.append(is_uri(text))
     if config.is_luhn:
-        tests.append(is_luhn(text))
-    return tests
+        costly.append(is_luhn(text))
+    return cheap, costly
 
 
 def fits(rule: Rule, key: Column, value: Column) -> Column:
     """The key and value tests of a rule, without the similarity limit."""
-    return all_of(config_tests(key, rule.key) + config_tests(value, rule.value))
+    cheap_key, costly_key = config_tests(key, rule.key)
+    cheap_value, costly_value = config_tests(value, rule.value)
+    return all_of(cheap_key + cheap_value + costly_key + costly_value)
 
 
 def rule_predicate(rule: Rule, key: Column, value: Column) -> Column:
@@ -89,16 +94,20 @@ def usable_rules(df: DataFrame, rules: Rules) -> list[tuple[int, Rule]]:
 
 def keep_scannable(kv: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     """Pairs that are not excluded and hold a static value."""
-    key, value, kv_path = F.col("key"), F.col("value"), F.col("kv_path")
-    static = kv.filter(is_static(key, value))
+    return drop_excluded(kv, config).filter(is_static(F.col("key"), F.col("value")))
+
+
+def drop_excluded(kv: DataFrame, config: ScanConfig | None = None) -> DataFrame:
+    """Pairs no exclusion pattern hits.  Patterns that do not compile are left out."""
     if config is None:
-        return static
+        return kv
     lists = (config.exclude_keys, config.exclude_values, config.exclude_paths)
     valid = regex.valid_patterns(kv.sparkSession, [(p, True) for ps in lists for p in ps])
     keys, values, paths = ([p for p in ps if (p, True) in valid] for ps in lists)
     if not (keys or values or paths):
-        return static
-    return static.filter(~is_excluded(key, value, kv_path, keys, values, paths))
+        return kv
+    columns = (F.col("key"), F.col("value"), F.col("kv_path"))
+    return kv.filter(~is_excluded(*columns, keys, values, paths))
 
 
 def match(
@@ -108,7 +117,7 @@ def match(
     if mode not in ("first", "all"):
         raise ValueError("mode is 'first' or 'all'")
     usable = usable_rules(kv, rules)
-    candidates = keep_scannable(kv.select(*KV_COLUMNS), config)
+    candidates = drop_excluded(kv.select(*KV_COLUMNS), config)
     if not usable:
         matched = candidates.filter(F.lit(False)).withColumn("rule_order", F.lit(0))
     elif mode == "first":
@@ -118,27 +127,36 @@ def match(
     return _with_rule_fields(matched, usable)
 
 
+def _candidates(kv: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+    """Pairs that fit some rule.  This is the filter all pairs go through."""
+    return kv.filter(any_of([fits(rule, F.col("key"), F.col("value")) for _, rule in rules]))
+
+
 def _first_match(kv: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
     key, value = F.col("key"), F.col("value")
     groups: dict[float, list[tuple[int, Rule]]] = {}
     for order, rule in rules:
         groups.setdefault(similarity_limit(rule.similar), []).append((order, rule))
-    offers = {
-        f"_offer{i}": (limit, _first_fitting(members, key, value))
-        for i, (limit, members) in enumerate(sorted(groups.items()))
-    }
-    offered = kv.select(*KV_COLUMNS, *[c.alias(name) for name, (_, c) in offers.items()]).filter(
-        any_of([F.col(name).isNotNull() for name in offers])
-    )
 
     def winner(ratio: Column) -> Column:
-        picks = [F.when(ratio < limit, F.col(name)) for name, (limit, _) in offers.items()]
+        picks = [
+            F.when(ratio < limit, _first_fitting(members, key, value))
+            for limit, members in groups.items()
+        ]
         return F.least(*picks) if len(picks) > 1 else picks[0]
 
-    decided = F.transform(F.array(similarity_ratio(key, value)), winner)
-    return offered.select(
-        *KV_COLUMNS, F.explode(F.filter(decided, lambda o: o.isNotNull())).alias("rule_order")
-    )
+    winners = F.transform(F.array(similarity_ratio(key, value)), winner)
+    return _keep_static(_candidates(kv, rules), F.filter(winners, lambda o: o.isNotNull()))
+
+
+def _keep_static(kv: DataFrame, orders: Column) -> DataFrame:
+    """One row per rule order, for static values only.
+
+    This runs on the few pairs that fit a rule.  Being an array to unfold, it is also
+    computed exactly once; a filter on a computed column would compute it twice.
+    """
+    found = F.when(is_static(F.col("key"), F.col("value")), orders)
+    return kv.select(*KV_COLUMNS, F.explode(found).alias("rule_order"))
 
 
 def _first_fitting(members: list[tuple[int, Rule]], key: Column, value: Column) -> Column:
@@ -151,7 +169,6 @@ def _first_fitting(members: list[tuple[int, Rule]], key: Column, value: Column)
 
 def _all_matches(kv: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
     key, value = F.col("key"), F.col("value")
-    candidates = kv.filter(any_of([fits(rule, key, value) for _, rule in rules]))
     orders = F.array(
         *[F.when(fits(rule, key, value), F.lit(order)) for order, rule in rules]
     )
@@ -163,7 +180,7 @@ def _all_matches(kv: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
         return F.filter(orders, lambda o: o.isNotNull() & (ratio < F.element_at(limits, o)))
 
     passed = F.flatten(F.transform(F.array(similarity_ratio(key, value)), kept))
-    return candidates.select(*KV_COLUMNS, F.explode(passed).alias("rule_order"))
+    return _keep_static(_candidates(kv, rules), passed)
 
 
 def _with_rule_fields(matched: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
