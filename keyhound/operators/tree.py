@@ -361,8 +361,9 @@ def extract_trees(files: DataFrame) -> DataFrame:
 
 _NATIVE_DEPTH = 3
 # Texts for which the object reader and the document reader could differ: lists, nulls,
-# escapes, comments, single quotes, and strings that look like an object.
-_NOT_PLAIN = r"[\[\\/#']|null|\"\s*\{|\{\s*\}\s*\S*\{"
+# escapes, comments, single quotes, strings that look like an object, and numbers whose
+# text is not their shortest form.
+_NOT_PLAIN = r"[\[\\/#']|null|\"\s*\{|:\s*(?:-0|-?[0-9]+[.eE])"
 _ENTRY = "STRUCT<key: STRING, value: STRING, kv_path: STRING, fresh: BOOLEAN>"
 
 

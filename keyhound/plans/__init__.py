@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["catalog_sources", "catalog_extract"]
+_MODULES = ["catalog_sources", "catalog_extract", "catalog_trees", "catalog_match"]
 
 
 def _load():

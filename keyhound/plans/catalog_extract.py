@@ -250,9 +250,13 @@ def extract_python_assignments(spark, sf):
     return extract_lines(_code_lines(spark, sf), le.python_assign_items)
 
 
-@query("extract_python_dicts", _every_match_sql(_DICT, "dict"))
+_DICTS = """replace(replace(replace(text, ', ', '": "'), 'n ', 'n "'), 't ', 't" ')"""
+
+
+@query("extract_python_dicts", _every_match_sql(_DICT, "dict").replace(_CODE, _DICTS))
 def extract_python_dicts(spark, sf):
-    return extract_lines(_code_lines(spark, sf), le.python_dict_items)
+    lines = to_lines(document_files(spark, sf, F.expr(_DICTS)))
+    return extract_lines(lines, le.python_dict_items)
 
 
 @query(
@@ -318,14 +322,16 @@ def extract_python_getenv_defaults(spark, sf):
             UNION ALL {_every_match_sql(_DICT, "dict")}
             UNION ALL {_every_match_sql(_KEYWORD, "keyword",
                                         f"NOT regexp_matches(text, {_ASSIGN})")}
+            UNION ALL SELECT path, 'function', unnest(regexp_extract_all(text, {_CALL}, 1)) || '()',
+                             'call', line
+                      FROM ({document_lines(_CODE)}) WHERE NOT regexp_matches(text, '^\\s*#')
         ) GROUP BY kv_path""",
 )
 def extract_python_documents(spark, sf):
-    """All Python extractors at once; calls and environment reads do not occur here."""
+    """All Python extractors at once; environment reads do not occur here."""
     kv = extract_lines(_code_lines(spark, sf), LINE_EXTRACTORS["python"])
     return (
-        kv.filter(F.col("kv_path") != "call")
-        .groupBy("kv_path")
+        kv.groupBy("kv_path")
         .agg(F.count(F.lit(1)).alias("pairs"))
     )
 
