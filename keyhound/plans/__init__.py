@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["catalog_sources", "catalog_extract", "catalog_trees", "catalog_match"]
+_MODULES = ["catalog_sources", "catalog_extract", "catalog_trees", "catalog_match", "catalog_reports"]
 
 
 def _load():
