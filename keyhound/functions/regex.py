@@ -189,17 +189,20 @@ def is_valid(spark: SparkSession, pattern: str, ignorecase: bool = False) -> boo
     return True
 
 
+_known: dict[tuple[str, bool], bool] = {}
+
+
 def valid_patterns(spark: SparkSession, patterns: list[tuple[str, bool]]) -> set[tuple[str, bool]]:
-    """The patterns Java accepts.  One probe covers all of them in the usual case."""
-    wanted = list(dict.fromkeys(patterns))
-    probe = [
-        F.lit("").rlike(java_pattern(simplify_search(p), ic)).alias(f"p{i}")
-        for i, (p, ic) in enumerate(wanted)
-    ]
-    if not probe:
-        return set()
-    try:
-        spark.sql("SELECT 1").select(*probe).collect()
-        return set(wanted)
-    except Exception:
-        return {(p, ic) for p, ic in wanted if is_valid(spark, p, ic)}
+    """The patterns Java accepts.  One probe covers all new ones in the usual case."""
+    new = [p for p in dict.fromkeys(patterns) if p not in _known]
+    if new:
+        probe = [
+            F.lit("").rlike(java_pattern(simplify_search(p), ic)).alias(f"p{i}")
+            for i, (p, ic) in enumerate(new)
+        ]
+        try:
+            spark.sql("SELECT 1").select(*probe).collect()
+            _known.update(dict.fromkeys(new, True))
+        except Exception:
+            _known.update({(p, ic): is_valid(spark, p, ic) for p, ic in new})
+    return {p for p in patterns if _known[p]}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyhound.fixed_values import MIN_FILE_BYTES, TEMPLATE_SUFFIXES, XML_DECLARATION_START
+from keyhound.functions.memo import remembered
 from keyhound.functions.predicates import any_of
 from keyhound.functions.strings import base_name, let, starts_with
 
@@ -78,8 +79,12 @@ def effective_extension(name: Column) -> Column:
     return let(F.struct(name.alias("name"), F.lower(extension(name)).alias("ext")), unwrap)
 
 
-def format_by_name(path: Column, extended: bool = False) -> Column:
-    """The format a file name calls for, or null.  ``conf`` may still turn out to be XML."""
+@remembered
+def format_by_name(path: str = "path", extended: bool = False) -> Column:
+    """The format the file name in a column calls for, or null.
+
+    ``conf`` may still turn out to be XML.
+    """
     routes = ROUTES + (EXTENDED_ROUTES if extended else [])
 
     def fits(file: Column, names, prefixes, exts, ext_prefixes, ext_suffixes) -> Column:
@@ -98,7 +103,8 @@ def format_by_name(path: Column, extended: bool = False) -> Column:
         return reduce(lambda c, r: c.when(fits(file, *r[1:]), F.lit(r[0])), routes, start)
 
     named = F.struct(
-        base_name(path).alias("name"), effective_extension(base_name(path)).alias("ext")
+        base_name(F.col(path)).alias("name"),
+        effective_extension(base_name(F.col(path))).alias("ext"),
     )
     return let(named, chain)
 
@@ -113,7 +119,7 @@ def sniff_xml(fmt: Column, content: Column) -> Column:
 
 def with_name_format(files: DataFrame, extended: bool = False) -> DataFrame:
     """Add ``format`` from name and size alone, so unneeded content is never read."""
-    fmt = format_by_name(F.col("path"), extended)
+    fmt = format_by_name("path", extended)
     return files.withColumn("format", F.when(F.col("length") >= MIN_FILE_BYTES, fmt))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyhound.functions import regex
+from keyhound.functions.memo import remembered
 from keyhound.functions.predicates import (
     all_of,
     any_of,
@@ -40,6 +41,8 @@ from keyhound.sources.rules import MatchConfig, Rule, rules_from_table
 log = logging.getLogger(__name__)
 
 Rules = Sequence[Rule] | DataFrame
+OrderedRules = tuple[tuple[int, Rule], ...]
+RULE_FIELDS = ("rule_id", "description", "message", "severity")
 
 
 def config_tests(text: Column, config: MatchConfig | None) -> tuple[list[Column], list[Column]]:
@@ -77,7 +80,7 @@ def rule_predicate(rule: Rule, key: Column, value: Column) -> Column:
     return fits(rule, key, value) & passes_similarity(key, value, rule.similar)
 
 
-def usable_rules(df: DataFrame, rules: Rules) -> list[tuple[int, Rule]]:
+def usable_rules(df: DataFrame, rules: Rules) -> OrderedRules:
     """Rules with their order.  A rule whose pattern does not compile never matches."""
     listed = rules_from_table(rules) if isinstance(rules, DataFrame) else list(rules)
 
@@ -85,11 +88,11 @@ def usable_rules(df: DataFrame, rules: Rules) -> list[tuple[int, Rule]]:
         return [(c.regex, c.ignorecase) for c in (rule.key, rule.value) if c and c.regex]
 
     valid = regex.valid_patterns(df.sparkSession, [p for r in listed for p in patterns(r)])
-    return [
+    return tuple(
         (order, rule)
         for order, rule in enumerate(listed)
         if all(p in valid for p in patterns(rule))
-    ]
+    )
 
 
 def keep_scannable(kv: DataFrame, config: ScanConfig | None = None) -> DataFrame:
@@ -119,20 +122,27 @@ def match(
     usable = usable_rules(kv, rules)
     candidates = drop_excluded(kv.select(*KV_COLUMNS), config)
     if not usable:
-        matched = candidates.filter(F.lit(False)).withColumn("rule_order", F.lit(0))
-    elif mode == "first":
-        matched = _first_match(candidates, usable)
-    else:
-        matched = _all_matches(candidates, usable)
-    return _with_rule_fields(matched, usable)
+        nothing = [F.lit("").alias(n) for n in RULE_FIELDS]
+        return candidates.filter(F.lit(False)).select("*", F.lit(0).alias("rule_order"), *nothing)
+    orders = _first_order(usable) if mode == "first" else _all_orders(usable)
+    # The filter is what all pairs go through.  The rest runs on the few that fit a rule;
+    # as an array to unfold it is computed once, where a filter on a computed column
+    # would compute it twice.
+    return (
+        candidates.filter(_fits_any(usable))
+        .select(*KV_COLUMNS, F.explode(orders).alias("rule_order"))
+        .select("*", *[_rule_field(usable, n).alias(n) for n in RULE_FIELDS])
+    )
 
 
-def _candidates(kv: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
-    """Pairs that fit some rule.  This is the filter all pairs go through."""
-    return kv.filter(any_of([fits(rule, F.col("key"), F.col("value")) for _, rule in rules]))
+@remembered
+def _fits_any(rules: OrderedRules) -> Column:
+    return any_of([fits(rule, F.col("key"), F.col("value")) for _, rule in rules])
 
 
-def _first_match(kv: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+@remembered
+def _first_order(rules: OrderedRules) -> Column:
+    """The order of the first matching rule, as an array of at most one."""
     key, value = F.col("key"), F.col("value")
     groups: dict[float, list[tuple[int, Rule]]] = {}
     for order, rule in rules:
@@ -146,17 +156,7 @@ def _first_match(kv: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
         return F.least(*picks) if len(picks) > 1 else picks[0]
 
     winners = F.transform(F.array(similarity_ratio(key, value)), winner)
-    return _keep_static(_candidates(kv, rules), F.filter(winners, lambda o: o.isNotNull()))
-
-
-def _keep_static(kv: DataFrame, orders: Column) -> DataFrame:
-    """One row per rule order, for static values only.
-
-    This runs on the few pairs that fit a rule.  Being an array to unfold, it is also
-    computed exactly once; a filter on a computed column would compute it twice.
-    """
-    found = F.when(is_static(F.col("key"), F.col("value")), orders)
-    return kv.select(*KV_COLUMNS, F.explode(found).alias("rule_order"))
+    return _if_static(F.filter(winners, lambda o: o.isNotNull()))
 
 
 def _first_fitting(members: list[tuple[int, Rule]], key: Column, value: Column) -> Column:
@@ -167,11 +167,11 @@ def _first_fitting(members: list[tuple[int, Rule]], key: Column, value: Column)
     return chain
 
 
-def _all_matches(kv: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+@remembered
+def _all_orders(rules: OrderedRules) -> Column:
+    """The orders of all matching rules."""
     key, value = F.col("key"), F.col("value")
-    orders = F.array(
-        *[F.when(fits(rule, key, value), F.lit(order)) for order, rule in rules]
-    )
+    orders = F.array(*[F.when(fits(rule, key, value), F.lit(order)) for order, rule in rules])
     limits = F.create_map(
         *[F.lit(x) for order, rule in rules for x in (order, similarity_limit(rule.similar))]
     )
@@ -179,26 +179,20 @@ def _all_matches(kv: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
     def kept(ratio: Column) -> Column:
         return F.filter(orders, lambda o: o.isNotNull() & (ratio < F.element_at(limits, o)))
 
-    passed = F.flatten(F.transform(F.array(similarity_ratio(key, value)), kept))
-    return _keep_static(_candidates(kv, rules), passed)
+    return _if_static(F.flatten(F.transform(F.array(similarity_ratio(key, value)), kept)))
 
 
-def _with_rule_fields(matched: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
-    """Add identifier, texts and severity of the matched rule from a literal table."""
+def _if_static(orders: Column) -> Column:
+    return F.when(is_static(F.col("key"), F.col("value")), orders)
 
-    def field(name: str) -> Column:
-        if not rules:
-            return F.lit("")
-        table = F.create_map(
-            *[F.lit(x) for order, rule in rules for x in (order, getattr(rule, name))]
-        )
-        return F.element_at(table, F.col("rule_order"))
 
-    return matched.select(
-        *KV_COLUMNS,
-        "rule_order",
-        *[field(n).alias(n) for n in ("rule_id", "description", "message", "severity")],
+@remembered
+def _rule_field(rules: OrderedRules, name: str) -> Column:
+    """A field of the matched rule, from a literal table."""
+    table = F.create_map(
+        *[F.lit(x) for order, rule in rules for x in (order, getattr(rule, name))]
     )
+    return F.element_at(table, F.col("rule_order"))
 
 
 def findings(matched: DataFrame) -> DataFrame:

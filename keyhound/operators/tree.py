@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyhound.functions.memo import remembered
 from keyhound.functions.strings import after, before, item, no_items, trim_space
 from keyhound.functions.uri import uri_items
 from keyhound.operators.dispatch import TREE_FORMATS
@@ -332,16 +333,20 @@ def embedded_items(text: Column, kv_path: Column) -> Column:
     ).otherwise(no_items())
 
 
-def tree_kv(nodes: DataFrame) -> DataFrame:
-    """Pairs of a node table."""
+@remembered
+def _node_items() -> Column:
     kind, value, kv_path = F.col("kind"), F.col("value"), F.col("kv_path")
-    items = (
+    return (
         F.when(kind == "pair", F.array(item(F.col("key"), value, kv_path)))
         .when(kind == "embed", embedded_items(value, kv_path))
         .when(kind == "uri", uri_items(value, kv_path))
         .otherwise(no_items())
     )
-    return nodes.select("file_path", "line", F.inline(items)).select(
+
+
+def tree_kv(nodes: DataFrame) -> DataFrame:
+    """Pairs of a node table."""
+    return nodes.select("file_path", "line", F.inline(_node_items())).select(
         "file_path", "key", "value", "kv_path", "line"
     )
 

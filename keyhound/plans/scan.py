@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyhound.functions.memo import remembered
 from keyhound.functions.predicates import any_of
 from keyhound.functions.strings import let, no_items
 from keyhound.operators import dispatch
@@ -39,7 +40,6 @@ from keyhound.sources.tables import (
     filename_kv,
     large_enough,
     line_array,
-    text_of,
     without_carriage_return,
 )
 
@@ -82,34 +82,39 @@ def route(files: DataFrame, extractors: Extractors, sniff: bool = True) -> DataF
     return large_enough(named.withColumn("format", fmt))
 
 
-def _pieces(text: Column, fmt: Column, custom: set[str]) -> Column:
+@remembered
+def _pieces(custom: frozenset[str]) -> Column:
+    """What a document is cut into; nothing when it holds no text its extractor needs."""
+    text, fmt = F.col("content").cast("string"), F.col("format")
     cut = [
         (fmt == name) & extractor.may_match(text)
         for name, extractor in LINE_EXTRACTORS.items()
         if name not in custom
     ]
-    lines = F.when(any_of(cut), line_array(text))
+    pieces = F.when(any_of(cut), line_array(text))
     for name in DOCUMENT_EXTRACTORS:
         if name not in custom:
-            lines = lines.when(fmt == name, F.array(text))
+            pieces = pieces.when(fmt == name, F.array(text))
     if "shell" not in custom:
-        lines = lines.when(fmt == "shell", logical_line_pieces(text))
-    return lines
+        pieces = pieces.when(fmt == "shell", logical_line_pieces(text))
+    return pieces
 
 
-def piecewise_kv(files: DataFrame, custom: set[str] = frozenset()) -> DataFrame:
-    """Pairs of every line and document format, in one pass over ``path, format, content``."""
-    text, fmt, piece = text_of(files), F.col("format"), F.col("piece")
-    known = [*LINE_EXTRACTORS, *DOCUMENT_EXTRACTORS, "shell"]
-    pieces = files.filter(fmt.isin([n for n in known if n not in custom])).select(
-        F.col("path").alias("file_path"),
-        "format",
-        F.posexplode(_pieces(text, fmt, custom)).alias("pos", "piece"),
-    )
+@remembered
+def _piece_filter(custom: frozenset[str]) -> Column:
+    """Lines their extractor may find something in, by a search for plain texts."""
+    fmt, piece = F.col("format"), F.col("piece")
     keep = F.when(F.lit(False), F.lit(False))
     for name, extractor in LINE_EXTRACTORS.items():
         if name not in custom:
             keep = keep.when(fmt == name, extractor.may_match(piece))
+    return keep.otherwise(F.lit(True))
+
+
+@remembered
+def _piece_items(custom: frozenset[str]) -> Column:
+    """Pairs of a piece, by the extractor of its format."""
+    fmt, piece = F.col("format"), F.col("piece")
 
     def items(text: Column) -> Column:
         chosen = F.when(fmt == "shell", shell_items(text))
@@ -117,7 +122,8 @@ def piecewise_kv(files: DataFrame, custom: set[str] = frozenset()) -> DataFrame:
             if name not in custom:
                 chosen = chosen.when(fmt == name, extractor.items(text))
         for name, document_items in DOCUMENT_EXTRACTORS.items():
-            chosen = chosen.when(fmt == name, document_items(text))
+            if name not in custom:
+                chosen = chosen.when(fmt == name, document_items(text))
         return chosen.otherwise(no_items())
 
     unit = (
@@ -125,14 +131,26 @@ def piecewise_kv(files: DataFrame, custom: set[str] = frozenset()) -> DataFrame:
         .when(fmt.isin(list(DOCUMENT_EXTRACTORS)), piece)
         .otherwise(without_carriage_return(piece))
     )
+    return let(unit, items)
+
+
+def piecewise_kv(files: DataFrame, custom: frozenset[str] = frozenset()) -> DataFrame:
+    """Pairs of every line and document format, in one pass over ``path, format, content``."""
+    fmt, piece = F.col("format"), F.col("piece")
+    known = [*LINE_EXTRACTORS, *DOCUMENT_EXTRACTORS, "shell"]
+    pieces = files.filter(fmt.isin([n for n in known if n not in custom])).select(
+        F.col("path").alias("file_path"),
+        "format",
+        F.posexplode(_pieces(custom)).alias("pos", "piece"),
+    )
     line = (
         F.when(fmt == "shell", piece_line(piece))
         .when(fmt.isin(list(DOCUMENT_EXTRACTORS)), F.lit(0))
         .otherwise((F.col("pos") + 1).cast("int"))
     )
     return (
-        pieces.filter(keep.otherwise(F.lit(True)))
-        .select("file_path", line.alias("line"), F.inline(let(unit, items)))
+        pieces.filter(_piece_filter(custom))
+        .select("file_path", line.alias("line"), F.inline(_piece_items(custom)))
         .select("file_path", "key", "value", "kv_path", "line")
     )
 
@@ -144,7 +162,7 @@ def extract(files: DataFrame, extractors: Extractors | None = None) -> DataFrame
 
 
 def _content_kv(routed: DataFrame, extractors: Extractors) -> DataFrame:
-    custom = set(extractors.custom)
+    custom = frozenset(extractors.custom)
     trees = routed.filter(~F.col("format").isin(list(custom))) if custom else routed
     kv = piecewise_kv(routed, custom).unionByName(tree_kv(read_trees(trees)))
     for name, extractor in extractors.custom.items():
@@ -195,7 +213,7 @@ def scan_corpus(
     def load(part: DataFrame) -> DataFrame:
         return route(load_content(part, root), extractors)
 
-    custom = set(extractors.custom)
+    custom = frozenset(extractors.custom)
     kv = (
         filename_kv(listing)
         .unionByName(piecewise_kv(load(named.filter(~is_tree)), custom))

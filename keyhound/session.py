@@ -20,6 +20,8 @@ def build_session(app_name: str = "keyhound", master: str | None = None, **setti
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Call sites per expression double the time it takes to build a plan.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # HotSpot does not compile larger methods; Spark then splits the code instead.
         "spark.sql.codegen.hugeMethodLimit": "8000",
         # Text is CPU-heavy to scan: smaller splits keep all cores busy.
