@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import logging
 import re
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -123,7 +124,9 @@ def needs(pattern: str, ignorecase: bool = False) -> Needs:
     if _parser is None:
         return Needs()
     try:
-        tree = _parser.parse(pattern)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # notes on syntax of later versions
+            tree = _parser.parse(pattern)
     except (re.error, OverflowError, RecursionError):
         return Needs()
     low, high = tree.getwidth()

@@ -15,6 +15,11 @@ def open_root(root: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), os.path.abspath(root)
 
 
+def absolute(root: str) -> str:
+    """A local path that means the same in every process; URIs stay as they are."""
+    return root if "://" in root or root.startswith("file:") else os.path.abspath(root)
+
+
 def list_folder(filesystem: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
     """Direct children in name order; an unreadable folder has none."""
     try:
