@@ -40,20 +40,30 @@ def is_excluded(
     return any_of(hits)
 
 
+def is_literal(value: Column) -> Column:
+    """False for an empty, templated or placeholder value."""
+    return ~any_of(
+        [
+            value.isin("", "null"),
+            starts_with(value, "$") & ~F.contains(F.substr(value, F.lit(2)), F.lit("$")),
+            F.contains(value, F.lit("{{")) & F.contains(value, F.lit("}}")),
+            starts_with(value, "${") & F.endswith(value, F.lit("}")),
+            starts_with(value, "<") & F.endswith(value, F.lit(">")),
+            starts_with(value, "!"),
+        ]
+    )
+
+
+def is_named_after_key(key: Column, value: Column) -> Column:
+    """True when a value ends with its key; both in lower case, without outer blanks."""
+    return (key != "") & F.endswith(value, key)
+
+
 def is_static(key: Column, value: Column) -> Column:
     """True for a hard-coded value, false for an empty, templated or self-named one."""
     # A suffix test needs no trimming on the left.
     name, text = F.lower(trim_space(key)), F.lower(F.rtrim(value, F.lit(UNICODE_SPACES)))
-    dynamic = [
-        value.isin("", "null"),
-        starts_with(value, "$") & ~F.contains(F.substr(value, F.lit(2)), F.lit("$")),
-        F.contains(value, F.lit("{{")) & F.contains(value, F.lit("}}")),
-        starts_with(value, "${") & F.endswith(value, F.lit("}")),
-        starts_with(value, "<") & F.endswith(value, F.lit(">")),
-        starts_with(value, "!"),
-        (name != "") & F.endswith(text, name),
-    ]
-    return ~any_of(dynamic)
+    return is_literal(value) & ~is_named_after_key(name, text)
 
 
 def has_min_length(text: Column, min_bytes: int) -> Column:

@@ -55,34 +55,47 @@ def items_when(condition: Column, *items: Column) -> Column:
     return F.when(condition, F.array(*items)).otherwise(no_items())
 
 
-def similarity_ratio(a: Column, b: Column) -> Column:
-    """``2 * |common characters| / (bytes of a + bytes of b)`` on trimmed lower-case text.
+def lowered_pair(a: Column, b: Column) -> Column:
+    """Both texts trimmed and in lower case, as similarity compares them."""
+    return F.struct(F.lower(trim_space(a)).alias("left"), F.lower(trim_space(b)).alias("right"))
+
+
+def ratio_bound(pair: Column) -> Column:
+    """The most the ratio of a lowered pair can be: all of the shorter text is common."""
+    left, right = pair["left"], pair["right"]
+    shorter = F.least(F.char_length(left), F.char_length(right))
+    return F.when(shorter == 0, F.lit(0.0)).otherwise(
+        F.lit(2.0) * shorter / (F.octet_length(left) + F.octet_length(right))
+    )
+
+
+def ratio_of(pair: Column) -> Column:
+    """``2 * |common characters| / (bytes of left + bytes of right)`` of a lowered pair.
 
     Common characters are counted as a multiset.  Equal texts give 1 and an empty
-    text gives 0.  Only the distinct characters of ``a`` are walked, so pass the
-    shorter text (the key) first.
+    text gives 0.  Only the distinct characters of ``left`` are walked, so the shorter
+    text (the key) comes first.
     """
+    left, right = pair["left"], pair["right"]
 
     def occurrences(text: Column, char: Column) -> Column:
         return F.char_length(text) - F.char_length(F.replace(text, char, F.lit("")))
 
-    def ratio(pair: Column) -> Column:
-        left, right = pair["left"], pair["right"]
-        common = F.aggregate(
-            F.array_distinct(F.split(left, "")),
-            F.lit(0),
-            lambda total, char: total
-            + F.when(char == "", 0).otherwise(
-                F.least(occurrences(left, char), occurrences(right, char))
-            ),
-        )
-        return (
-            F.when((left == "") | (right == ""), F.lit(0.0))
-            .when(left == right, F.lit(1.0))
-            .otherwise(F.lit(2.0) * common / (F.octet_length(left) + F.octet_length(right)))
-        )
-
-    lowered = F.struct(
-        F.lower(trim_space(a)).alias("left"), F.lower(trim_space(b)).alias("right")
+    common = F.aggregate(
+        F.array_distinct(F.split(left, "")),
+        F.lit(0),
+        lambda total, char: total
+        + F.when((char == "") | ~F.contains(right, char), 0).otherwise(
+            F.least(occurrences(left, char), occurrences(right, char))
+        ),
+    )
+    return (
+        F.when((left == "") | (right == ""), F.lit(0.0))
+        .when(left == right, F.lit(1.0))
+        .otherwise(F.lit(2.0) * common / (F.octet_length(left) + F.octet_length(right)))
     )
-    return let(lowered, ratio)
+
+
+def similarity_ratio(a: Column, b: Column) -> Column:
+    """How much two texts have in common, from 0 to 1; see ``ratio_of``."""
+    return let(lowered_pair(a, b), ratio_of)

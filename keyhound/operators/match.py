@@ -3,17 +3,20 @@
 Rules are known when the plan is built, so a rule table becomes Column expressions
 and matching is a narrow step: no join, no shuffle.
 
-``first`` keeps the first rule in order, ``all`` keeps every rule that fits.  The
-static test and the similarity ratio are the same for all rules of a pair, so they are
-computed last, once, and only for pairs some rule already fits: rules are grouped by
-their similarity limit, each group offers its first fitting rule, and the ratio then
-decides between the groups.  (An AND does not depend on the order of its tests.)
+``first`` keeps the first rule in order, ``all`` keeps every rule that fits.
+
+All pairs pass the key and value tests, in generated code.  The static test and the
+similarity ratio are the same for all rules of a pair, so they wait for the few pairs
+that fit some rule.  Rules are grouped by their similarity limit; each group offers
+its first fitting rule, and the ratio decides between the groups.  It is counted only
+where the lengths of key and value leave the decision open.  (An AND does not depend
+on the order of its tests.)
 """
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +30,15 @@ from keyhound.functions.predicates import (
     is_ascii,
     is_base64,
     is_excluded,
+    is_literal,
     is_luhn,
+    is_named_after_key,
     is_static,
     is_uri,
     passes_similarity,
     similarity_limit,
 )
-from keyhound.functions.strings import similarity_ratio
+from keyhound.functions.strings import let, lowered_pair, ratio_bound, ratio_of
 from keyhound.schemas import KV_COLUMNS
 from keyhound.sources.config import ScanConfig
 from keyhound.sources.rules import MatchConfig, Rule, rules_from_table
@@ -42,6 +47,7 @@ log = logging.getLogger(__name__)
 
 Rules = Sequence[Rule] | DataFrame
 OrderedRules = tuple[tuple[int, Rule], ...]
+MASK_BITS = 60
 RULE_FIELDS = ("rule_id", "description", "message", "severity")
 
 
@@ -124,66 +130,114 @@ def match(
     if not usable:
         nothing = [F.lit("").alias(n) for n in RULE_FIELDS]
         return candidates.filter(F.lit(False)).select("*", F.lit(0).alias("rule_order"), *nothing)
-    orders = _first_order(usable) if mode == "first" else _all_orders(usable)
-    # The filter is what all pairs go through.  The rest runs on the few that fit a rule;
-    # as an array to unfold it is computed once, where a filter on a computed column
-    # would compute it twice.
+    # Unfolding an array computes what is in it once, here for all pairs and below for
+    # those that fit; a filter on a computed column would compute it twice.
+    offered = candidates.select(*KV_COLUMNS, F.inline(F.array(_offers(usable, mode))))
     return (
-        candidates.filter(_fits_any(usable))
-        .select(*KV_COLUMNS, F.explode(orders).alias("rule_order"))
+        offered.filter(_fits_any(usable, mode))
+        .select(*KV_COLUMNS, F.explode(_orders(usable, mode)).alias("rule_order"))
         .select("*", *[_rule_field(usable, n).alias(n) for n in RULE_FIELDS])
     )
 
 
-@remembered
-def _fits_any(rules: OrderedRules) -> Column:
-    return any_of([fits(rule, F.col("key"), F.col("value")) for _, rule in rules])
-
-
-@remembered
-def _first_order(rules: OrderedRules) -> Column:
-    """The order of the first matching rule, as an array of at most one."""
-    key, value = F.col("key"), F.col("value")
+def _groups(rules: OrderedRules) -> dict[float, list[tuple[int, Rule]]]:
     groups: dict[float, list[tuple[int, Rule]]] = {}
     for order, rule in rules:
         groups.setdefault(similarity_limit(rule.similar), []).append((order, rule))
+    return groups
 
-    def winner(ratio: Column) -> Column:
-        picks = [
-            F.when(ratio < limit, _first_fitting(members, key, value))
-            for limit, members in groups.items()
-        ]
-        return F.least(*picks) if len(picks) > 1 else picks[0]
 
-    winners = F.transform(F.array(similarity_ratio(key, value)), winner)
-    return _if_static(F.filter(winners, lambda o: o.isNotNull()))
+def _masks(rules: OrderedRules) -> list[tuple[int, OrderedRules]]:
+    return [(i, rules[i : i + MASK_BITS]) for i in range(0, len(rules), MASK_BITS)]
+
+
+@remembered
+def _offers(rules: OrderedRules, mode: str) -> Column:
+    """What the key and value tests say: ``offer…`` is the first fitting rule of a group
+    (``first``), or a bit for each fitting rule (``all``)."""
+    key, value = F.col("key"), F.col("value")
+    if mode == "first":
+        offers = [_first_fitting(members, key, value) for members in _groups(rules).values()]
+    else:
+        offers = [
+            sum(
+                (
+                    F.when(fits(rule, key, value), F.lit(1 << bit)).otherwise(F.lit(0)).cast("long")
+                    for bit, (_, rule) in enumerate(part)
+                ),
+                F.lit(0).cast("long"),
+            )
+            for _, part in _masks(rules)
+        ]
+    return F.struct(*[offer.alias(f"offer{i}") for i, offer in enumerate(offers)])
 
 
 def _first_fitting(members: list[tuple[int, Rule]], key: Column, value: Column) -> Column:
-    chain = None
+    chain = F.when(F.lit(False), F.lit(0))
     for order, rule in members:
-        test = fits(rule, key, value)
-        chain = F.when(test, F.lit(order)) if chain is None else chain.when(test, F.lit(order))
+        chain = chain.when(fits(rule, key, value), F.lit(order))
     return chain
 
 
 @remembered
-def _all_orders(rules: OrderedRules) -> Column:
-    """The orders of all matching rules."""
+def _fits_any(rules: OrderedRules, mode: str) -> Column:
+    if mode == "first":
+        return any_of([F.col(f"offer{i}").isNotNull() for i in range(len(_groups(rules)))])
+    return any_of([F.col(f"offer{i}") != 0 for i in range(len(_masks(rules)))])
+
+
+@remembered
+def _orders(rules: OrderedRules, mode: str) -> Column:
+    """The orders of the matching rules of a pair that fits some rule."""
     key, value = F.col("key"), F.col("value")
-    orders = F.array(*[F.when(fits(rule, key, value), F.lit(order)) for order, rule in rules])
-    limits = F.create_map(
-        *[F.lit(x) for order, rule in rules for x in (order, similarity_limit(rule.similar))]
-    )
+    passing = _first_passing(rules) if mode == "first" else _all_passing(rules)
 
-    def kept(ratio: Column) -> Column:
-        return F.filter(orders, lambda o: o.isNotNull() & (ratio < F.element_at(limits, o)))
+    def decide(pair: Column) -> Column:
+        static = is_literal(value) & ~is_named_after_key(pair["left"], pair["right"])
+        return F.when(static, passing(pair))
 
-    return _if_static(F.flatten(F.transform(F.array(similarity_ratio(key, value)), kept)))
+    return let(lowered_pair(key, value), decide)
 
 
-def _if_static(orders: Column) -> Column:
-    return F.when(is_static(F.col("key"), F.col("value")), orders)
+def _first_passing(rules: OrderedRules) -> Callable[[Column], Column]:
+    offers = [(limit, F.col(f"offer{i}")) for i, limit in enumerate(_groups(rules))]
+
+    def winner(ratio: Column) -> Column:
+        picks = [F.when(ratio < limit, offer) for limit, offer in offers]
+        return F.least(*picks) if len(picks) > 1 else picks[0]
+
+    def passing(pair: Column) -> Column:
+        def decided(bound: Column) -> Column:
+            is_open = any_of([offer.isNotNull() & (bound >= limit) for limit, offer in offers])
+            return let(F.when(is_open, ratio_of(pair)).otherwise(bound), winner)
+
+        return F.array_compact(F.array(let(ratio_bound(pair), decided)))
+
+    return passing
+
+
+def _all_passing(rules: OrderedRules) -> Callable[[Column], Column]:
+    limits = F.create_map(
+        *[F.lit(x) for order, rule in rules for x in (order, similarity_limit(rule.similar))]
+    )
+    lowest = min(similarity_limit(rule.similar) for _, rule in rules)
+    bits = [
+        F.when(F.col(f"offer{i}").bitwiseAND(F.lit(1 << bit)) != 0, F.lit(order))
+        for i, (_, part) in enumerate(_masks(rules))
+        for bit, (order, _) in enumerate(part)
+    ]
+    fitting = F.array_compact(F.array(*bits))
+
+    def passing(pair: Column) -> Column:
+        def decided(bound: Column) -> Column:
+            ratio = F.when(bound >= lowest, ratio_of(pair)).otherwise(bound)
+            return let(
+                ratio, lambda r: F.filter(fitting, lambda o: r < F.element_at(limits, o))
+            )
+
+        return let(ratio_bound(pair), decided)
+
+    return passing
 
 
 @remembered

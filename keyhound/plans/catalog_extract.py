@@ -194,7 +194,6 @@ def extract_dockerfile(spark, sf):
 # accents, blanks and digits of the documents decide what is captured.
 
 _CODE = """replace(replace(replace(text, ', ', ' = "v1" '), '. ', ': "w=2" '), ' | ', '="')"""
-_CODE_SPARK = F.expr(_CODE)
 
 
 def _first_match_sql(pattern: str, kv_path: str, key: int = 1, value: int = 2) -> str:
@@ -223,7 +222,7 @@ _KEYWORD = rf"'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*{_Q}([^''\"]*){_Q}'"
 
 
 def _code_lines(spark, sf):
-    return to_lines(document_files(spark, sf, _CODE_SPARK))
+    return to_lines(document_files(spark, sf, F.expr(_CODE)))
 
 
 @query("extract_go", _first_match_sql(_GO, "go"))

@@ -15,6 +15,7 @@ from keyhound.operators.line_extractors import LINE_EXTRACTORS, extract_lines
 from keyhound.operators.match import findings, keep_scannable, match, rule_predicate
 from keyhound.plans.catalog import document_files, document_lines, query, table
 from keyhound.plans.scan import line_scan
+from keyhound.session import spread
 from keyhound.sources.config import ScanConfig
 from keyhound.sources.rules import load_rules, parse_rules, read_rules
 from keyhound.sources.tables import kv_from_table, to_lines
@@ -90,7 +91,7 @@ PAIRS_SQL = " UNION ALL ".join(
 
 def built_pairs(spark, sf) -> DataFrame:
     """All built pairs of all customers; the position of a pair is its line."""
-    return table(spark, sf, "customer").select(
+    return spread(table(spark, sf, "customer")).select(
         F.expr("'customer/' || CAST(c_custkey AS STRING)").alias("file_path"),
         F.posexplode(F.expr(f"array({_ARRAY})")).alias("line", "kv"),
     ).select(
