@@ -16,8 +16,14 @@ HTML_COMMENT = r"(?s)<!--(.*?)-->"
 
 
 def html_items(text: Column) -> Column:
-    """The text of every HTML comment, on line 0."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(HTML_COMMENT), F.lit(1)), trim_space)
+    """The text of every HTML comment, on line 0.
+
+    The document is cut after the last ``-->``, so that every ``<!--`` left has an end;
+    a search for an end that is not there would run to the end of the text each time.
+    """
+    rest = F.substring_index(text, "-->", -1)
+    closed = F.left(text, F.char_length(text) - F.char_length(rest))
+    found = F.transform(F.regexp_extract_all(closed, F.lit(HTML_COMMENT), F.lit(1)), trim_space)
     return F.when(
         F.contains(text, F.lit("-->")),
         F.transform(
@@ -29,7 +35,9 @@ def html_items(text: Column) -> Column:
 def dockercfg_items(text: Column) -> Column:
     """The non-empty logins of a registry configuration; other JSON gives nothing."""
     logins = F.map_values(
-        F.from_json(text, "auths MAP<STRING, STRUCT<auth: STRING>>")["auths"]
+        F.from_json(
+            text, "auths MAP<STRING, STRUCT<auth: STRING>>", {"allowSingleQuotes": "false"}
+        )["auths"]
     )
     kept = F.filter(
         F.transform(logins, lambda x: x["auth"]), lambda a: a.isNotNull() & (a != "")

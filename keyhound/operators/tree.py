@@ -13,6 +13,7 @@ single node (embedded pairs, URIs) is columns again:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from xml.parsers import expat
 
@@ -196,78 +197,108 @@ def _custom_tag(tag: str | None) -> str:
     return "" if not tag or tag == "!" or tag.startswith(_STANDARD_TAG) else tag
 
 
-def read_xml(text: bytes | str) -> list[Node]:
-    """Nodes of an XML document: attributes, element texts and key/value siblings."""
-    nodes: list[Node] = []
-    path: list[str] = []
-    buffered: list[str] = []
-    state = {"key": "", "line": 1}
-    parser = expat.ParserCreate()
-    parser.ordered_attributes = True
-    parser.buffer_text = False
+def read_xml(text: str) -> list[Node]:
+    """Nodes of an XML document: attributes, element texts and key/value siblings.
 
-    def local(name: str) -> str:
-        space, colon, rest = name.partition(":")
-        return rest if colon and space and rest and ":" not in rest else name
-
-    def flush(*_ignored) -> None:
-        raw, start = "".join(buffered), state["line"]
-        buffered.clear()
+    A text with several roots, or with text around them, is read as a fragment.
+    """
+    try:
+        return _XmlReader().read(text)
+    except expat.ExpatError:
+        return _XmlReader().read(text, fragment=True)
+
+
+def _local_name(name: str) -> str:
+    space, colon, rest = name.partition(":")
+    return rest if colon and space and rest and ":" not in rest else name
+
+
+class _XmlReader:
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.path: list[str] = []
+        self.buffered: list[str] = []
+        self.text_line = 1
+        self.last_key = ""
+        self.parser = expat.ParserCreate()
+        self.parser.ordered_attributes = True
+
+    def read(self, text: str, fragment: bool = False) -> list[Node]:
+        if not text.strip():
+            return []
+        if fragment:
+            # One root around everything, opened before and closed after the handlers listen.
+            self.parser.Parse("<_>", False)
+            declaration = re.match(r"\s*<\?xml\s.*?\?>", text, re.DOTALL)
+            if declaration:
+                text = "\n" * declaration.group().count("\n") + text[declaration.end() :]
+        self._listen()
+        self.parser.Parse(text, not fragment)
+        if fragment:
+            if self.path:
+                raise ValueError("an element is not closed")
+            self.parser.CharacterDataHandler = self.parser.EndElementHandler = None
+            self.parser.Parse("</_>", True)
+        return self.nodes
+
+    def _listen(self) -> None:
+        parser = self.parser
+        parser.StartElementHandler = self._start
+        parser.EndElementHandler = self._end
+        parser.CharacterDataHandler = self._characters
+        # Comments, instructions and CDATA borders end a text.
+        parser.CommentHandler = parser.ProcessingInstructionHandler = self._flush
+        parser.StartCdataSectionHandler = parser.EndCdataSectionHandler = self._flush
+        parser.XmlDeclHandler = self._declaration
+        parser.DefaultHandler = self._other
+
+    def _start(self, name: str, attributes: list[str]) -> None:
+        self._flush()
+        self.path.append(_local_name(name))
+        where, line = ".".join(self.path), self.parser.CurrentLineNumber
+        for attribute, value in zip(attributes[::2], attributes[1::2]):
+            key = _local_name(attribute)
+            self.nodes.append(("pair", key, value, f"{where}@{key}", line))
+            if ":/" in value:
+                self.nodes.append(("uri", "", value, f"{where}@{key}.uri", line))
+
+    def _end(self, _name: str) -> None:
+        self._flush()
+        if not self.path:
+            raise ValueError("an element ends that did not start")
+        self.path.pop()
+
+    def _characters(self, data: str) -> None:
+        if not self.buffered:
+            self.text_line = self.parser.CurrentLineNumber
+        self.buffered.append(data)
+
+    def _flush(self, *_ignored) -> None:
+        raw = "".join(self.buffered)
+        self.buffered.clear()
         value = raw.strip()
-        if not value or not path:
+        if not value or not self.path:
             return
-        line = start + raw[: len(raw) - len(raw.lstrip())].count("\n")
-        tag, where = path[-1], ".".join(path)
-        nodes.append(("pair", tag, value, where, line))
+        line = self.text_line + raw[: len(raw) - len(raw.lstrip())].count("\n")
+        tag, where = self.path[-1], ".".join(self.path)
+        self.nodes.append(("pair", tag, value, where, line))
         if "=" in value:
-            nodes.append(("embed", "", value, f"{where}.embedded", line))
+            self.nodes.append(("embed", "", value, f"{where}.embedded", line))
         if tag.lower() == "key":
-            state["key"] = value
-        elif tag.lower() == "value" and state["key"]:
-            nodes.append(("pair", state["key"], value, f"{where}.pair", line))
-            state["key"] = ""
-
-    def start(name: str, attributes: list[str]) -> None:
-        flush()
-        path.append(local(name))
-        where, line = ".".join(path), parser.CurrentLineNumber
-        for attribute, value in zip(attributes[::2], attributes[1::2]):
-            key = local(attribute)
-            nodes.append(("pair", key, value, f"{where}@{key}", line))
-            if ":/" in value:
-                nodes.append(("uri", "", value, f"{where}@{key}.uri", line))
-
-    def end(_name: str) -> None:
-        flush()
-        path.pop()
-
-    def characters(data: str) -> None:
-        if not buffered:
-            state["line"] = parser.CurrentLineNumber
-        buffered.append(data)
+            self.last_key = value
+        elif tag.lower() == "value" and self.last_key:
+            self.nodes.append(("pair", self.last_key, value, f"{where}.pair", line))
+            self.last_key = ""
 
-    def declaration(_version, encoding, _standalone) -> None:
+    def _declaration(self, _version, encoding, _standalone) -> None:
         if encoding and encoding.lower() != "utf-8":
-            raise ValueError(f"unsupported encoding {encoding}")
+            raise ValueError("unsupported encoding")
 
-    def other(data: str) -> None:
+    def _other(self, data: str) -> None:
         # Only the predefined entities exist; a declared one is an error when used.
         if data.startswith("&"):
             raise ValueError("unknown entity")
 
-    parser.StartElementHandler = start
-    parser.EndElementHandler = end
-    parser.CharacterDataHandler = characters
-    parser.CommentHandler = flush
-    parser.ProcessingInstructionHandler = flush
-    parser.StartCdataSectionHandler = flush
-    parser.EndCdataSectionHandler = flush
-    parser.XmlDeclHandler = declaration
-    parser.DefaultHandler = other
-    if text.strip():
-        parser.Parse(text, True)
-    return nodes
-
 
 def _read_document(fmt: str, clean: str, raw: str | None) -> list[Node]:
     if fmt == "xml":

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyhound.session import spread
 from keyhound.sources.tables import files_from_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +38,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def built_files(df: DataFrame, path: str, text: str) -> DataFrame:
     """Documents whose path and text are SQL expressions over the columns of ``df``."""
-    return files_from_table(df, F.expr(path), F.expr(text))
+    return files_from_table(spread(df), F.expr(path), F.expr(text))
 
 
 def text_lines(*lines: str) -> str:
@@ -74,4 +75,5 @@ def document_files(
     key: str = "doc_id",
 ) -> DataFrame:
     text = F.col("text") if text is None else text
-    return files_from_table(table(spark, folder, name), F.col(key).cast("string"), text)
+    rows = spread(table(spark, folder, name))
+    return files_from_table(rows, F.col(key).cast("string"), text)

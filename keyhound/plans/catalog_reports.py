@@ -25,7 +25,7 @@ from keyhound.plans.catalog_match import (
 )
 from keyhound.plans.catalog_sources import write_files
 from keyhound.plans.scan import Extractors, extract, parse_errors, scan, scan_corpus
-from keyhound.session import scratch_path, spread
+from keyhound.session import scratch_path, written
 from keyhound.sources.config import load_config
 from keyhound.sources.rules import read_rules
 from keyhound.sources.tables import files_from_table, to_lines
@@ -106,13 +106,13 @@ _EVERYTHING_KV = " UNION ALL ".join(
 )
 def scan_everything(spark, sf):
     """The flagship: one scan of all text tables, findings per rule and severity."""
-    found = scan(spread(everything(spark, sf)))
+    found = scan(everything(spark, sf))
     return found.groupBy("RuleID", "Severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
 @query("scan_everything_findings", findings_sql(_EVERYTHING_KV))
 def scan_everything_findings(spark, sf):
-    return scan(spread(everything(spark, sf)))
+    return scan(everything(spark, sf))
 
 
 @query(
@@ -121,7 +121,7 @@ def scan_everything_findings(spark, sf):
         FROM ({matches_sql(_EVERYTHING_KV, 'all')}) GROUP BY ALL""",
 )
 def scan_everything_all_rules(spark, sf):
-    found = scan(spread(everything(spark, sf)), mode="all")
+    found = scan(everything(spark, sf), mode="all")
     return found.groupBy("RuleID", "Severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
@@ -130,7 +130,7 @@ def scan_everything_all_rules(spark, sf):
     f"SELECT kv_path, count(*) AS pairs FROM ({_EVERYTHING_KV}) GROUP BY kv_path",
 )
 def extract_everything(spark, sf):
-    kv = extract(spread(everything(spark, sf)))
+    kv = extract(everything(spark, sf))
     return kv.groupBy("kv_path").agg(F.count(F.lit(1)).alias("pairs"))
 
 
@@ -143,7 +143,7 @@ def extract_everything(spark, sf):
 )
 def scan_summary(spark, sf):
     files = everything(spark, sf)
-    return report.scan_summary(files, scan(spread(files)))
+    return report.scan_summary(files, scan(files))
 
 
 @query(
@@ -262,7 +262,8 @@ def _context_sql(radius: int, level: int) -> str:
 
 
 def _with_context(spark, sf, level: int) -> DataFrame:
-    framed = context.with_context(_spots(spark, sf), ce._code_lines(spark, sf), level)
+    spots = written(_spots(spark, sf), "spots")
+    framed = context.with_context(spots, ce._code_lines(spark, sf), level)
     return framed.drop("RuleID", "Description", "Severity")
 
 
@@ -433,8 +434,9 @@ def filtered_findings(spark, sf):
                        WHEN 'INFO' THEN 1 ELSE 0 END AS weight FROM ({_FINDINGS})""",
 )
 def sorted_findings(spark, sf):
-    weighted = _found(spark, sf).withColumn("weight", report.severity_weight(F.col("Severity")))
-    return report.sort_findings(weighted)
+    found = written(_found(spark, sf), "found")
+    weight = report.severity_weight(F.col("Severity"))
+    return report.sort_findings(found.withColumn("weight", weight))
 
 
 @query(
@@ -444,8 +446,9 @@ def sorted_findings(spark, sf):
         FROM ({_FINDINGS})""",
 )
 def sorted_findings_blockers_first(spark, sf):
+    found = written(_found(spark, sf), "found")
     weight = report.severity_weight(F.col("Severity"), blocker_rank=4)
-    return report.sort_findings(_found(spark, sf).withColumn("weight", weight), blocker_rank=4)
+    return report.sort_findings(found.withColumn("weight", weight), blocker_rank=4)
 
 
 @query(

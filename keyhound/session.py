@@ -33,10 +33,12 @@ def build_session(app_name: str = "keyhound", master: str | None = None, **setti
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster shares between executors; a local one only when unset."""
+    """The folder the cluster shares between executors; a local one in local mode only."""
     conf = spark.sparkContext.getConf()
     shared = spark.conf.get(CHECKPOINT_KEY, None) or conf.get(CHECKPOINT_KEY, None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="keyhound-")
         spark.conf.set(CHECKPOINT_KEY, shared)
     return shared
@@ -47,13 +49,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_root(spark), "keyhound", f"{name}-{uuid.uuid4().hex}")
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Give CPU-heavy work at least one input partition per core.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the scratch folder: computed once, and safe when executors are lost.
 
-    Only inputs with fewer partitions than cores are repartitioned, so a large
-    table is never shuffled; one small file with a single row group is.
+    Use it for findings that are read more than once, as context and sorting do.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy work several partitions per core.
+
+    Only inputs of few partitions are repartitioned (a file with a single row group is
+    one task, whatever its size), row by row, so no key decides where rows go.  A large
+    table has many more partitions than cores and is never shuffled here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() > cores:
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores * 4:
         return df
-    return df.repartition(cores * 2, *columns)
+    return df.repartition(cores * 2)

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from keyhound.functions.uri import uri_items
 from keyhound.operators import line_extractors as le
-from keyhound.operators.document_extractors import extract_shell, shell_lines
+from keyhound.operators.document_extractors import (
+    dockercfg_items,
+    extract_documents,
+    extract_shell,
+    html_items,
+    shell_lines,
+)
 from keyhound.operators.line_extractors import LINE_EXTRACTORS, extract_lines
 from keyhound.sources.tables import to_lines
 
@@ -178,6 +184,30 @@ def test_long_lines_take_linear_time(spark):
     assert time.time() - started < 120
 
 
+def test_comments(files):
+    texts = {
+        "a": "<!-- x --><!----><!-- y\n z --> <!-- open", "b": "--> <!-- ", "c": "<!--1-->2-->",
+        "d": "<!-- a <!-- b -->",
+    }
+    got = extract_documents(files(texts), html_items)
+    assert pairs(got, "file_path", "value") == [
+        ("a", "x"), ("a", "y\n z"), ("c", "1"), ("d", "a <!-- b"),
+    ]
+    started = time.time()
+    hostile = "<!--a-->" + "<!-- " * 200_000
+    assert extract_documents(files({"a": hostile}), html_items).count() == 1
+    assert time.time() - started < 30
+
+
+def test_logins(files):
+    texts = {
+        "a": '{"auths": {"x": {"auth": "QQ=="}, "y": {"auth": ""}, "z": {}}}', "b": "{'auths': {}}",
+        "c": "[]", "d": '{"auths": null}', "e": "",
+    }
+    got = extract_documents(files(texts), dockercfg_items)
+    assert pairs(got, "file_path", "key", "value") == [("a", "Dockercfg", "QQ==")]
+
+
 def test_unusual_lines(spark):
     texts = ["password:", "x:_authToken=", "k = ", "k:", ": v", " = v", "# c: d", "u:", "ENV A"]
     table = line_table(spark, texts)

@@ -2,6 +2,7 @@
 
 import json
 import random
+from xml.parsers import expat
 
 from conftest import pairs
 from pyspark.sql import functions as F
@@ -84,6 +85,22 @@ def test_xml_pieces():
     ]
 
 
+def test_xml_fragments():
+    def pairs_of(text):
+        return [n[1:] for n in read_xml(text) if n[0] == "pair"]
+
+    assert pairs_of("<a>1</a>\n<b c='2'/>") == [("a", "1", "a", 1), ("c", "2", "b@c", 2)]
+    text = '<?xml version="1.0"\n?>\nnote <a>1</a> end'
+    assert pairs_of(text) == [("a", "1", "a", 3)]
+    assert pairs_of("") == pairs_of(" \n") == []
+    for broken in ("<a>", "<a></b>", "<a>&x;</a>", "</_>", "<a>1</a></_>"):
+        try:
+            read_xml(broken)
+        except (ValueError, expat.ExpatError):
+            continue
+        raise AssertionError(broken)
+
+
 def test_xml_that_is_refused(files):
     table = files(
         {
