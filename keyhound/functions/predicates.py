@@ -77,12 +77,14 @@ def is_base64(text: Column) -> Column:
 
 
 def is_uri(text: Column) -> Column:
-    return F.contains(text, F.lit(":/")) & text.rlike(regex.java_pattern(URI_PATTERN, True))
+    return regex.search(text, URI_PATTERN, True)
 
 
 def is_uri_ascii(text: Column) -> Column:
     """The same test with the ASCII character classes that extractors use."""
-    return F.contains(text, F.lit(":/")) & text.rlike("(?diu)" + URI_PATTERN)
+    return F.contains(text, F.lit(":/")) & text.rlike(
+        "(?diu)" + regex.simplify_search(URI_PATTERN)
+    )
 
 
 def is_ascii(text: Column) -> Column:

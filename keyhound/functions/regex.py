@@ -17,6 +17,8 @@ from operator import and_
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from keyhound.fixed_values import URI_PATTERN
+
 try:
     from re import _parser
 except ImportError:  # other Python versions: patterns run without guards
@@ -26,7 +28,12 @@ log = logging.getLogger(__name__)
 
 _LITERAL_ANCHORED = re.compile(r"\^([A-Za-z0-9_ ]+)\$")
 _UNICODE_CLASS = re.compile(r"\\[wWdDsSbBpP]|\[:")
-_LEADING_CLASS_PLUS = re.compile(r"(\[(?:[^\[\]\\]|\\.)+\])\+(?![+?])")
+_LEADING_RUN = re.compile(r"(\[(?:[^\[\]\\]|\\.)+\])(?:\+|(\{\d+),\})(?![+?])")
+# The same searches without backtracking over long runs.  A text that is found from one
+# `jdbc` is also found from the last `jdbc` of its run, so a run is left at the next one.
+_LINEAR_FORMS = {
+    URI_PATTERN: r"(?:http|ftp|smtp|scp|ssh|s3)s?:/.|jdbc(?:(?!jdbc)[:\w])*+(?<=:)/.",
+}
 
 
 def escape_class_syntax(pattern: str) -> str:
@@ -57,15 +64,20 @@ def escape_class_syntax(pattern: str) -> str:
 def simplify_search(pattern: str) -> str:
     """Drop leading repetition, which never changes whether a search succeeds.
 
-    ``.*X`` finds something exactly when ``X`` does, and ``[c]+X`` exactly when
-    ``[c]X`` does.  Both forms are quadratic on long texts in a backtracking engine.
+    ``.*X`` finds something exactly when ``X`` does, ``[c]+X`` exactly when ``[c]X``
+    does, and ``[c]{3,}X`` exactly when ``[c]{3}X`` does.  The longer forms are quadratic
+    on long texts in a backtracking engine.
     """
+    known = _LINEAR_FORMS.get(pattern.removeprefix("(?i)"))
+    if known is not None:
+        return "(?i)" + known if pattern.startswith("(?i)") else known
     while pattern.startswith(".*") and pattern[2:3] not in ("+", "?", ""):
         pattern = pattern[2:]
     if "|" not in _outside_groups(pattern):
-        head = _LEADING_CLASS_PLUS.match(pattern)
+        head = _LEADING_RUN.match(pattern)
         if head:
-            pattern = head.group(1) + pattern[head.end() :]
+            count = head.group(2) + "}" if head.group(2) else ""
+            pattern = head.group(1) + count + pattern[head.end() :]
     return pattern
 
 
@@ -173,7 +185,7 @@ def search_tests(text: Column, pattern: str, ignorecase: bool = False) -> list[C
         # `$` also matches before one final line feed.
         return [text.isin(literal.group(1), literal.group(1) + "\n")]
     simple = simplify_search(pattern)
-    return [*needs(simple, ignorecase).guards(text), text.rlike(java_pattern(simple, ignorecase))]
+    return [*needs(pattern, ignorecase).guards(text), text.rlike(java_pattern(simple, ignorecase))]
 
 
 def search(text: Column, pattern: str, ignorecase: bool = False) -> Column:

@@ -2,13 +2,17 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from keyhound.fixed_values import URI_PATTERN
 from keyhound.functions import predicates as p
 from keyhound.functions import regex
 from keyhound.functions.strings import similarity_ratio, trim_space
+from keyhound.operators.match import match
+from keyhound.sources.rules import read_rules
 
 
 def evaluate(spark, rows, build, schema="a STRING, b STRING"):
@@ -90,7 +94,7 @@ def test_dialect(spark):
 
 SEARCHES = [
     ".*ab", ".*[ab]+c", "[ab]+c", "[ab]+", ".*(a|b)c$", "[a]+b|c", ".*a|b", "^a.*b$", "(?i)ab",
-    "[ab]{2,}c", "a?b", "(ab)+c", "a(bc|b)", ".*.*a", ".*?a", "[ab]+?c",
+    "[ab]{2,}c", "[a]{1,}(b|c)", "[ab]{2,}?c", "a?b", "(ab)+c", "a(bc|b)", ".*.*a", ".*?a", "[ab]+?c",
 ]
 
 
@@ -108,6 +112,37 @@ def test_simplified_searches_find_the_same():
                 assert needs.max_chars is None or len(text) <= needs.max_chars
 
 
+def test_the_linear_uri_search_finds_the_same():
+    rng = random.Random(13)
+    parts = ["jdbc", "JDBC", "http", "s3", "s", ":", ":", "/", "//", "x", "\n", " ", "jd", "bc"]
+    simple = regex.simplify_search(URI_PATTERN)
+    assert simple != URI_PATTERN
+    hits = 0
+    for _ in range(60_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 8)))
+        hit = re.search(URI_PATTERN, text, re.I) is not None
+        hits += hit
+        assert (re.search(simple, text, re.I) is not None) == hit, text
+    assert 300 < hits < 59_000
+
+
+def test_long_texts_take_linear_time(spark):
+    rules = read_rules()
+    size = 300_000
+    texts = [
+        "A" * size, "a1B/" * (size // 4) + "=", "-" * size + "BEGIN ", "/" * size, "1" * size,
+        "jdbc" * (size // 4) + " :/", "http" * (size // 4) + " :/", "\n" * size,
+    ]
+    rows = [("f", k, v, "p", 0) for t in texts for k, v in [("password1", t), (t, "some value")]]
+    table = spark.createDataFrame(
+        rows, "file_path STRING, key STRING, value STRING, kv_path STRING, line INT"
+    )
+    started = time.time()
+    for mode in ("first", "all"):
+        match(table, rules, mode).count()
+    assert time.time() - started < 60
+
+
 def test_needs_of_shipped_patterns():
     def of(pattern, ignorecase=False):
         n = regex.needs(pattern, ignorecase)
