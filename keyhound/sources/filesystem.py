@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Callable, Iterator
 
 from pyarrow import fs
 
+log = logging.getLogger(__name__)
+
 
 def open_root(root: str) -> tuple[fs.FileSystem, str]:
     """The file system behind ``root`` (a plain path or a URI) and the path inside it."""
@@ -25,6 +28,7 @@ def list_folder(filesystem: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
     try:
         children = filesystem.get_file_info(fs.FileSelector(folder, recursive=False))
     except PermissionError:
+        log.warning("folder skipped, no permission: %s", folder)
         return []
     return sorted(children, key=lambda info: info.path)
 
