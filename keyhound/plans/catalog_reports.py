@@ -25,7 +25,7 @@ from keyhound.plans.catalog_match import (
 )
 from keyhound.plans.catalog_sources import write_files
 from keyhound.plans.scan import Extractors, extract, parse_errors, scan, scan_corpus
-from keyhound.session import scratch_path, written
+from keyhound.session import scratch_path, spread, written
 from keyhound.sources.config import load_config
 from keyhound.sources.rules import read_rules
 from keyhound.sources.tables import files_from_table, to_lines
@@ -36,25 +36,29 @@ from keyhound.streaming import live
 
 def everything(spark, sf) -> DataFrame:
     """Documents as Python sources, pages as HTML, chat turns and page addresses as text."""
-    documents = built_files(
+
+    def files_of(df: DataFrame, path: str, text: str) -> DataFrame:
+        return files_from_table(df, F.expr(path), F.expr(text))
+
+    documents = files_of(
         table(spark, sf, "documents"), "'documents/' || CAST(doc_id AS STRING) || '.py'", "text"
     )
-    pages = built_files(
+    pages = files_of(
         table(spark, sf, "pages"), "'pages/' || CAST(page_id AS STRING) || '.html'", "html"
     )
-    addresses = built_files(
+    addresses = files_of(
         table(spark, sf, "pages"), "'urls/' || CAST(page_id AS STRING) || '.txt'", "url"
     )
-    turns = built_files(
+    turns = files_of(
         table(spark, sf, "conversations"),
         "'chat/' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) || '.txt'",
         "text",
     )
-    properties = built_files(
+    properties = files_of(
         table(spark, sf, "events"), "'events/' || CAST(event_id AS STRING) || '.json'", "props"
     )
     files = documents.unionByName(pages).unionByName(addresses).unionByName(turns)
-    return files.unionByName(properties)
+    return spread(files.unionByName(properties))
 
 
 def _named(table_name: str, folder: str, key: str, ext: str) -> str:
