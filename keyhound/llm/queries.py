@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyhound.llm import chat, decontaminate, imatch, language, packing, quality, tokens
+from keyhound.llm import chat, decontaminate, imatch, language, packing, pii, quality, tokens
 from keyhound.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,6 +42,11 @@ def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.with_crc(tokens.read_tokens(spark, path))
 
 
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.digests(pii.find(docs, pii.train(docs), ["doc_id"]))
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return packing.pack(docs, vocabulary(), end=0, size=1024, with_ids=False)
@@ -122,6 +127,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op3_token_files": op3_token_files,
+        "op4_pii": op4_pii,
         "op5_packing": op5_packing,
         "op7_quality": op7_quality,
         "op8_chat": op8_chat,
