@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyhound.llm import chat, decontaminate, imatch, language, packing, pii, quality, tokens
+from keyhound.llm import chat, decontaminate, imatch, language, packing, pii, quality, repeats, tokens
 from keyhound.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -52,6 +52,10 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(docs, vocabulary(), end=0, size=1024, with_ids=False)
 
 
+def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.dedup(table(spark, folder, "documents").select("doc_id", "text"), removed="all", text=False)
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     weights = quality.train(docs, table(spark, folder, "labels").where(~fold(4, 2)))
@@ -129,6 +133,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_files": op3_token_files,
         "op4_pii": op4_pii,
         "op5_packing": op5_packing,
+        "op6_repeats": op6_repeats,
         "op7_quality": op7_quality,
         "op8_chat": op8_chat,
         "op9_imatch": op9_imatch,
