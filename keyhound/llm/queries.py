@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyhound.llm import chat, decontaminate, imatch, language, packing, pii, quality, repeats, tokens
+from keyhound.llm import chat, decontaminate, imatch, language, ngram_join, packing, pii, quality, repeats, tokens
 from keyhound.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", fold(3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents")).drop("text_id")
+
+
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     tokens.write_tokens(table(spark, folder, "documents").select("doc_id", "text"), path, vocabulary(), end=2)
@@ -130,6 +134,7 @@ FROM docs LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_ngram_join": op2_ngram_join,
         "op3_token_files": op3_token_files,
         "op4_pii": op4_pii,
         "op5_packing": op5_packing,
