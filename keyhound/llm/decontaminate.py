@@ -71,27 +71,25 @@ def _fingerprints(df: DataFrame, span: int, gram: int) -> DataFrame:
 
 def _item_windows(items: DataFrame, span: int, gram: int) -> DataFrame:
     """``kept, window, item`` of all windows of ``span`` words, each once."""
-    found = _fingerprints(items, span, gram).select("item", "words", F.posexplode("kept").alias("at", "kept"))
-    return found.select("kept", F.slice("words", F.col("at") + 1, span).alias("window"), "item").distinct()
+    # The plain function would have the optimizer write a filter on all of the hashing's expressions.
+    found = _fingerprints(items, span, gram).select("item", "words", F.posexplode_outer("kept").alias("at", "kept"))
+    return found.where("at IS NOT NULL").select("kept", F.slice("words", F.col("at") + 1, span).alias("window"), "item").distinct()
 
 
 def _hits(docs: DataFrame, windows: DataFrame, span: int, gram: int, marker: bool, small: bool) -> DataFrame:
     """A row per document window and item that has it; with ``marker`` one more per document."""
-    kept = F.concat(F.array(F.lit(None).cast("long")), "kept") if marker else F.concat(F.array().cast("array<long>"), "kept")
+    kept = F.concat(F.array(F.lit(None).cast("long")), "kept")
     rows = _fingerprints(docs, span, gram).select("doc_id", "text_id", "words", F.posexplode(kept).alias("at", "kept"))
-    rows = rows.withColumn("at", F.col("at") + (0 if marker else 1))
     here = F.slice("words", F.greatest("at", F.lit(1)), span)
     n_words = F.when(F.col("at") == 0, F.size("words")).alias("n_words")
+    windows = windows.select(F.col("kept").alias("key"), "window", "item")
     if small:
         rows, windows = rows.select("doc_id", "text_id", "at", "kept", "words", n_words), F.broadcast(windows)
-        other = windows.select(F.col("kept").alias("key"), "window", "item")
-        match = (F.col("kept") == F.col("key")) & (here == F.col("window"))
     else:
-        rows = rows.select("doc_id", "text_id", "at", "kept", here.alias("here"), n_words)
-        other = windows.select(F.col("kept").alias("key"), "window", "item")
-        match = (F.col("kept") == F.col("key")) & (F.col("here") == F.col("window"))
-    joined = rows.join(other, match, "left" if marker else "inner")
-    found = joined.where((F.col("at") == 0) | F.col("window").isNotNull()) if marker else joined
+        rows, here = rows.select("doc_id", "text_id", "at", "kept", here.alias("here"), n_words), F.col("here")
+    # The join is on the hash alone; words are cut out and compared for the rows that meet.
+    joined = rows.join(windows, F.col("kept") == F.col("key"), "left" if marker else "inner")
+    found = joined.where((F.col("at") == 0) | (here == F.col("window")) if marker else (F.col("at") > 0) & (here == F.col("window")))
     span_of = F.when(F.col("window").isNotNull(), F.struct(F.col("at").alias("at"), F.lit(span).alias("n")))
     return found.select("doc_id", "text_id", "n_words", span_of.alias("hit"), F.when(F.col("window").isNotNull(), F.col("item")).alias("item"))
 
