@@ -41,9 +41,10 @@ RECALL = 0.999
 COORDINATES = 64
 SMALL = 64
 DEPTH = 4
-BLOCK = 256
+BLOCK = 512
 MARGIN = 0.22
-_PAIRS = 200_000
+_PAIRS = 100_000
+_HELD = 1_000_000
 
 
 def runs_for(threshold: float, recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -169,7 +170,7 @@ def _cells(rows: DataFrame) -> DataFrame:
 class _Cells:
     """Rows sorted by cell, handed out as tables of whole cells of about ``limit`` bytes."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch], limit: int = 24 << 20):
+    def __init__(self, batches: Iterator[pa.RecordBatch], limit: int = 8 << 20):
         self.batches, self.limit = batches, limit
 
     def __iter__(self) -> Iterator[pa.Table]:
@@ -280,28 +281,21 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of pairs of sorted distinct sets."""
+    """Jaccard similarity of pairs of sorted distinct sets, with about ``_HELD`` hashes in hand."""
     size = np.array([len(x) for x in sets], np.int64)
-    used = np.union1d(left, right)
-    flat_set = np.concatenate([sets[k] for k in used.tolist()])
-    _, number = np.unique(flat_set, return_inverse=True)
-    begin = np.zeros(len(sets), np.int64)
-    begin[used] = np.cumsum(size[used]) - size[used]
     out = np.zeros(len(left))
-    marked = np.zeros(int(number.max()) + 1, bool)
     order = np.argsort(left, kind="stable")
-    left, right = left[order], right[order]
-    edges = np.append(np.flatnonzero(np.append(True, left[1:] != left[:-1])), len(left))
+    edges = np.append(np.flatnonzero(np.append(True, left[order][1:] != left[order][:-1])), len(left))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        one = left[a]
-        mine = number[begin[one] : begin[one] + size[one]]
-        marked[mine] = True
-        others = right[a:b]
-        lengths = size[others]
-        rows = np.repeat(begin[others] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-        common = np.add.reduceat(marked[number[rows]].astype(np.int64), np.cumsum(lengths) - lengths)
-        out[order[a:b]] = common / (lengths + size[one] - common)
-        marked[mine] = False
+        mine = sets[left[order[a]]]
+        heap = np.cumsum(size[right[order[a:b]]]) // _HELD
+        for part in np.split(order[a:b], np.flatnonzero(heap[1:] != heap[:-1]) + 1):
+            others = right[part]
+            lengths = size[others]
+            hashes = np.concatenate([sets[k] for k in others.tolist()])
+            hit = mine[np.minimum(np.searchsorted(mine, hashes), len(mine) - 1)] == hashes
+            common = np.add.reduceat(hit.astype(np.int64), np.cumsum(lengths) - lengths)
+            out[part] = common / (lengths + len(mine) - common)
     return out
 
 
