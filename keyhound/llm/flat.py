@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text forms a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
@@ -38,28 +37,18 @@ def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
         row = end
 
 
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    size = (1 << bits) + 1
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        powers = np.full(size, base, np.uint64)
-        powers[0] = 1
-        out.append(np.cumprod(powers, dtype=np.uint64))
-    return out[0], out[1]
+_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse, modulo 2**64."""
-    bits = max(16, int(n).bit_length())
-    if bits <= 22:
-        return _powers(bits)
-    size, out = n + 1, []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+    """Powers 0..n of the hash base and of its inverse, modulo 2**64; one table grows with the need."""
+    if len(_tables[0]) <= n:
+        size = 1 << max(16, int(n + 1).bit_length())
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            table = np.full(size, base, np.uint64)
+            table[0] = 1
+            _tables[k] = np.cumprod(table, dtype=np.uint64)
+    return _tables[0], _tables[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ LOW, HIGH = 1 / 4000, 1 / 8
 RATES = (5, 7, 9, 11)
 SUBSETS = 8
 _TERM_BITS = np.uint64(44)
-_COMPACT = 4_000_000
+_COMPACT = 2_000_000
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

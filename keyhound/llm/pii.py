@@ -105,8 +105,11 @@ def _shape(token: str) -> str:
     return f"{size}{min(token.count('.'), 4)}{'@' in token:d}{token[0] == '+':d}{'-' in token:d}{letters:d}"
 
 
-def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int]]:
-    """``start, end, token, label`` of the tokens in the field; label -1 where no base span touches."""
+Node = tuple[int, int, str, int, str]
+
+
+def nodes(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
+    """``start, end, token, label, whole``: label -1 where no base span touches, else the span as ``whole``."""
     names = {text[a : text.index("@", a)].lower() for kind, a, _ in base if kind == 0}
     names = {x for x in names if len(x) >= 5}
     spans = sorted((a, b, kind) for kind, a, b in base)
@@ -120,15 +123,16 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, s
             continue
         while k < len(spans) and spans[k][1] <= start:
             k += 1
-        label = spans[k][2] if k < len(spans) and spans[k][0] < end else -1
-        out.append((start, end, token, label))
+        inside = k < len(spans) and spans[k][0] < end
+        whole = text[spans[k][0] : spans[k][1]] if inside else token
+        out.append((start, end, token, spans[k][2] if inside else -1, whole))
     return out
 
 
-def skip_edges(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
+def skip_edges(found: list[Node]) -> list[tuple[int, int]]:
     """Pairs of nodes that repeat one another, each with the next of its group."""
     groups: dict[str, list[int]] = defaultdict(list)
-    for k, (_, _, token, _) in enumerate(found):
+    for k, (_, _, _, _, token) in enumerate(found):
         plain = "".join([x for x in token.lower() if x.isalnum()])
         digits = _digits(token)
         if len(plain) >= 5:
@@ -140,11 +144,11 @@ def skip_edges(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
     return sorted({(a, b) for x in groups.values() for a, b in zip(x, x[1:], strict=False)})
 
 
-def _chain_edges(found: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
+def _chain_edges(found: list[Node]) -> list[tuple[int, int]]:
     return [(k, k + 1) for k in range(len(found) - 1) if found[k + 1][0] - found[k][1] <= 3]
 
 
-def _reached(found: list[tuple[int, int, str, int]], edges: list[tuple[int, int]]) -> set[int]:
+def _reached(found: list[Node], edges: list[tuple[int, int]]) -> set[int]:
     """Free nodes joined to a base span by skip edges."""
     beside = defaultdict(list)
     for a, b in edges:
@@ -194,7 +198,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: dict) -> lis
         return []
     chains = _chain_edges(found)
     unary = np.full((len(found), _NONE + 1), -20.0)
-    for k, (_, _, token, label) in enumerate(found):
+    for k, (_, _, token, label, _) in enumerate(found):
         if label >= 0:
             unary[k, label] = 0.0
         else:
@@ -225,11 +229,15 @@ def train(docs: DataFrame, max_rows: int = TRAIN_ROWS) -> dict:
                 base = base_spans(text)
                 found = nodes(text, base)
                 labels = [x[3] if x[3] >= 0 else _NONE for x in found]
-                for (_, _, token, _), label in zip(found, labels, strict=True):
-                    counts["=" + _shape(token), label, 0] += 1
-                for name, edges in (("skip", skip_edges(found)), ("chain", _chain_edges(found))):
+                skips = skip_edges(found)
+                unknown = _reached(found, skips)  # repeats of a base span are no examples of none
+                for k, (_, _, token, _, _) in enumerate(found):
+                    if k not in unknown:
+                        counts["=" + _shape(token), labels[k], 0] += 1
+                for name, edges in (("skip", skips), ("chain", _chain_edges(found))):
                     for a, b in edges:
-                        counts[name, labels[a], labels[b]] += 1
+                        if a not in unknown and b not in unknown:
+                            counts[name, labels[a], labels[b]] += 1
         keys = list(counts)
         yield pa.record_batch(
             [pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int32()) for i in (1, 2)), pa.array([counts[k] for k in keys], pa.int64())],

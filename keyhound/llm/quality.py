@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from keyhound.llm import flat
 
 DIMS = 1 << 18
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 8_000
 SHARDS = 4
 EPOCHS = 3
 _ALPHA, _BETA, _L1, _L2 = 0.6, 0.05, 0.0, 0.02
@@ -84,7 +84,7 @@ def _learn(table: pa.Table) -> pa.Table:
             for k, y in enumerate(piece.column("label").to_pylist()):
                 index, count = np.unique(ids[bounds[k] : bounds[k + 1]], return_counts=True)
                 size = max(1.0, float(count.sum())) ** 0.5
-                rows.append((np.append(index, DIMS), np.append(count / size, 1.0), float(y)))
+                rows.append((np.append(index, DIMS).astype(np.int32), np.append(count / size, 1.0).astype(np.float32), float(y)))
     z, n = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
     order = np.random.default_rng(7)
     for _ in range(EPOCHS):

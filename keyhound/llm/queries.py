@@ -13,7 +13,14 @@ from keyhound.session import scratch_path
 VOCABULARY = "byte_bpe_50k.json"
 
 
+#: Whole texts travel to Python workers: smaller batches than the default keep the workers small.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000")}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    for key, (usual, smaller) in BATCHES.items():
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, smaller)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

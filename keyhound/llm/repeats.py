@@ -39,7 +39,7 @@ from keyhound.session import written
 LENGTH = 200
 GRAM = 50
 CONTEXTS = 32_768
-TASK_BYTES = 16 << 20
+TASK_BYTES = 8 << 20
 _PLACE = np.uint64(24)
 
 

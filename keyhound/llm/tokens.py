@@ -2,7 +2,7 @@
 
 ``encoder`` gives the ids that the tokenizers library gives for a whole text.  The vocabulary's
 pre-tokenizer always breaks before a blank that stands between two other signs, so a text falls into
-parts whose ids do not depend on each other.  Parts are remembered (``CACHED`` at most per worker) and
+parts whose ids do not depend on each other.  Parts are remembered (up to twice ``CACHED`` per worker, the longest unused go first) and
 unknown ones are encoded many at a time.
 
 Files hold one row per document in ascending id order: ``doc_id``, ``n_tokens``, ``part`` and
@@ -28,10 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CACHED = 400_000
+CACHED = 350_000
 GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2_000
-_JOINED = 20_000
+_JOINED = 10_000
 _BESIDE_SPACE = re.compile(r"\s | \s").search
 _FREE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ANY_SPACE = re.compile(r"\s").search
@@ -72,25 +72,29 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer = load(path)
     newline = tokenizer.encode("\n", add_special_tokens=False).ids
     newline = newline[0] if len(newline) == 1 else -1
-    first: dict[str, bytes] = {}
-    later: dict[str, bytes] = {}
+    # Parts at the start of a text and after a blank: those in use, and those used before.
+    stores: list[list[dict[str, bytes]]] = [[{}, {}], [{}, {}]]
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [_FREE_SPACE.split(x) if _BESIDE_SPACE(x) else x.split(" ") for x in texts]
-        for known, lead in ((first, ""), (later, " ")):
-            if len(known) > CACHED:
-                known.clear()
-            new = {x[0] for x in split} if known is first else set().union(*(x[1:] for x in split))
+        for store, lead in zip(stores, ("", " "), strict=True):
+            if len(store[0]) > CACHED:
+                store[:] = [{}, store[0]]
+            known, before = store
+            new = set().union(*(x[1:] for x in split)) if lead else {x[0] for x in split}
             new.difference_update(known)
+            again = new.intersection(before)
+            known.update((x, before[x]) for x in again)
+            new -= again
             if new:
                 _encode_parts(tokenizer, list(new), lead, known, newline)
-        get = later.__getitem__
+        first, get = stores[0][0], stores[1][0].__getitem__
         return [first[x[0]] + b"".join(map(get, x[1:])) for x in split]
 
     return encode
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Row slices with the texts of each, about ``limit`` characters together; null is empty."""
     texts = [x or "" for x in batch.column(column).to_pylist()]
     row = size = 0
