@@ -273,10 +273,10 @@ def _marked_texts(batch: pa.RecordBatch) -> Iterator[str | None]:
             yield texts[row].as_py() if yes else None
 
 
-def find(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs``, with ``base`` and ``spans``: lists of kind number, start and end."""
+def find(docs: DataFrame, model: dict, keep: list[str], names: tuple[str, str] = ("base", "spans")) -> DataFrame:
+    """Columns ``keep`` of ``docs``, and as ``names`` the base and all spans: lists of kind number, start and end."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("base", _SPANS).add("spans", _SPANS)
+    schema = docs.select(*keep).schema.add(names[0], _SPANS).add(names[1], _SPANS)
     kind = pa.list_(pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +286,7 @@ def find(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
                 own = base_spans(text) if text is not None else []
                 base.append(own)
                 spans.append(sorted([*own, *added_spans(text, own, shared.value)]) if own else own)
-            yield pa.record_batch([*(batch.column(x) for x in keep), pa.array(base, kind), pa.array(spans, kind)], [*keep, "base", "spans"])
+            yield pa.record_batch([*(batch.column(x) for x in keep), pa.array(base, kind), pa.array(spans, kind)], [*keep, *names])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
@@ -316,23 +316,23 @@ def digests(found: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, model: dict) -> DataFrame:
     """The same columns, with every span of ``text`` replaced by its kind in angle brackets."""
     names = docs.columns
-    found = find(docs, model, [*names])
+    found = find(docs, model, [*names], ("__base", "__spans"))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for k, spans in enumerate(batch.column("spans").to_pylist()):
+            for k, spans in enumerate(batch.column("__spans").to_pylist()):
                 if spans:
                     texts[k] = _mask(texts[k], spans)
             columns = {x: batch.column(x) for x in names}
             columns["text"] = pa.array(texts, batch.schema.field("text").type)
             if "n_chars" in columns:
-                changed = [len(t) if s else n for t, s, n in zip(texts, batch.column("spans").to_pylist(), columns["n_chars"].to_pylist(), strict=True)]
+                changed = [len(t) if s else n for t, s, n in zip(texts, batch.column("__spans").to_pylist(), columns["n_chars"].to_pylist(), strict=True)]
                 columns["n_chars"] = pa.array(changed, columns["n_chars"].type)
             yield pa.record_batch(list(columns.values()), names)
 
-    return found.select(*names, "spans").mapInArrow(run, schema)
+    return found.select(*names, "__spans").mapInArrow(run, schema)
 
 
 def _mask(text: str, spans: list[list[int]]) -> str:

@@ -126,12 +126,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``score``, the probability of a good text."""
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str = "score") -> DataFrame:
+    """Columns ``keep`` of ``docs`` and, as ``name``, the probability of a good text."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     kept = [x for x in keep if x != "text"]
     source = docs.select(*kept, "text")
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -141,6 +141,6 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
                 count = np.diff(bounds)
                 dot = flat.row_sums(w[ids], bounds[:-1], bounds[1:]) / np.sqrt(np.maximum(count, 1))
                 p = 1 / (1 + np.exp(-np.clip(dot + w[DIMS], -35, 35)))
-                yield pa.record_batch([*(piece.column(x) for x in keep), pa.array(p, pa.float64())], [*keep, "score"])
+                yield pa.record_batch([*(piece.column(x) for x in keep), pa.array(p, pa.float64())], [*keep, name])
 
     return source.mapInArrow(run, schema)

@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 CACHED = 350_000
 GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2_000
-_JOINED = 10_000
-_BESIDE_SPACE = re.compile(r"\s | \s").search
+_JOINED = 24
+_RARE_SPACE = [x for x in map(chr, range(0x3001)) if x.isspace() and x not in " \n"]
 _FREE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ANY_SPACE = re.compile(r"\s").search
 
@@ -45,25 +45,34 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def _encode_parts(tokenizer, parts: list[str], lead: str, known: dict[str, bytes], newline: int) -> None:
-    """Fill ``known``; plain parts are encoded as lines of one text and cut at the line ends."""
+def _split(text: str) -> list[str]:
+    """Parts of a text; the first is marked by a blank, which no later part begins with."""
+    odd = "  " in text or "\n " in text or " \n" in text or any(x in text for x in _RARE_SPACE)
+    parts = _FREE_SPACE.split(text) if odd else text.split(" ")
+    parts[0] = " " + parts[0]
+    return parts
+
+
+def _encode_parts(tokenizer, parts: list[str], known: dict[str, bytes], newline: int) -> None:
+    """Fill ``known``; plain parts are encoded as lines of short texts and cut at the line ends."""
     plain = [x for x in parts if x and not _ANY_SPACE(x)]
-    for k in range(0, len(plain), _JOINED):
-        lines = plain[k : k + _JOINED]
-        text = "".join([lead + x + "\n" for x in lines])
-        ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        ends = np.flatnonzero(ids == newline)
-        if len(ends) != len(lines):
-            for x in lines:
-                known[x] = np.array(tokenizer.encode(lead + x, add_special_tokens=False).ids, np.uint32).tobytes()
-            continue
+    groups = [plain[k : k + _JOINED] for k in range(0, len(plain), _JOINED)]
+    lines = tokenizer.encode_batch_fast([" " + "\n ".join(x) for x in groups], add_special_tokens=False)
+    stream: list[int] = []
+    for line in lines:
+        stream += line.ids
+        stream.append(newline)
+    ids = np.array(stream, np.uint32)
+    ends = np.flatnonzero(ids == newline)
+    if len(ends) == len(plain):
         raw, start = ids.tobytes(), 0
-        for x, end in zip(lines, (ends * 4).tolist(), strict=True):
+        for x, end in zip(plain, (ends * 4).tolist(), strict=True):
             known[x] = raw[start:end]
             start = end + 4
-    for x in parts:
-        if x not in known:
-            known[x] = np.array(tokenizer.encode(lead + x, add_special_tokens=False).ids, np.uint32).tobytes()
+    rest = [x for x in parts if x not in known]
+    texts = [x[1:] if x[:1] == " " else " " + x for x in rest]
+    for x, found in zip(rest, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        known[x] = np.array(found.ids, np.uint32).tobytes()
 
 
 @cache
@@ -72,24 +81,27 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     tokenizer = load(path)
     newline = tokenizer.encode("\n", add_special_tokens=False).ids
     newline = newline[0] if len(newline) == 1 else -1
-    # Parts at the start of a text and after a blank: those in use, and those used before.
-    stores: list[list[dict[str, bytes]]] = [[{}, {}], [{}, {}]]
+    store: list[dict[str, bytes]] = [{}, {}]  # parts in use, and those used before
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [_FREE_SPACE.split(x) if _BESIDE_SPACE(x) else x.split(" ") for x in texts]
-        for store, lead in zip(stores, ("", " "), strict=True):
-            if len(store[0]) > CACHED:
-                store[:] = [{}, store[0]]
-            known, before = store
-            new = set().union(*(x[1:] for x in split)) if lead else {x[0] for x in split}
-            new.difference_update(known)
-            again = new.intersection(before)
-            known.update((x, before[x]) for x in again)
-            new -= again
-            if new:
-                _encode_parts(tokenizer, list(new), lead, known, newline)
-        first, get = stores[0][0], stores[1][0].__getitem__
-        return [first[x[0]] + b"".join(map(get, x[1:])) for x in split]
+        if len(store[0]) > CACHED:
+            store[:] = [{}, store[0]]
+        known, before = store
+        split = [_split(x) for x in texts]
+        found = [list(map(known.get, x)) for x in split]
+        new: set[str] = set()
+        for parts, ids in zip(split, found, strict=True):
+            if None in ids:
+                new.update([x for x, y in zip(parts, ids, strict=True) if y is None])
+        again = [x for x in new if x in before]
+        known.update([(x, before[x]) for x in again])
+        new.difference_update(again)
+        if new:
+            _encode_parts(tokenizer, list(new), known, newline)
+        out = []
+        for parts, ids in zip(split, found, strict=True):
+            out.append(b"".join([known[x] if y is None else y for x, y in zip(parts, ids, strict=True)] if None in ids else ids))
+        return out
 
     return encode
 
