@@ -1,8 +1,8 @@
 """Token ids of whole texts, written as Parquet list columns and read back in part or whole.
 
 ``encoder`` gives the ids that the tokenizers library gives for a whole text.  The vocabulary's
-pre-tokenizer always breaks before a blank that stands between two other signs, so a text falls into
-parts whose ids do not depend on each other.  Parts are remembered (up to twice ``CACHED`` per worker, the longest unused go first) and
+pre-tokenizer always breaks before a blank and around a line end that stand between two other signs, so a
+text falls into parts whose ids do not depend on each other.  Parts are remembered (up to twice ``CACHED`` per worker, the longest unused go first) and
 unknown ones are encoded many at a time.
 
 Files hold one row per document in ascending id order: ``doc_id``, ``n_tokens``, ``part`` and
@@ -28,11 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CACHED = 350_000
+CACHED = 500_000
 GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2_000
+BROADCAST_FILES = 100_000
 _JOINED = 24
-_RARE_SPACE = [x for x in map(chr, range(0x3001)) if x.isspace() and x not in " \n"]
+_HEAD = "\0"
+_SIGNS = frozenset(".,;:!?")
+_ODD = ["  ", " \n", "\n ", "\n\n", _HEAD, *(x for x in map(chr, range(0x3001)) if x.isspace() and x not in " \n")]
 _FREE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _ANY_SPACE = re.compile(r"\s").search
 
@@ -45,34 +48,54 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-def _split(text: str) -> list[str]:
-    """Parts of a text; the first is marked by a blank, which no later part begins with."""
-    odd = "  " in text or "\n " in text or " \n" in text or any(x in text for x in _RARE_SPACE)
-    parts = _FREE_SPACE.split(text) if odd else text.split(" ")
-    parts[0] = " " + parts[0]
-    return parts
+def _split(text: str, odd: bool) -> list[str]:
+    """Parts of a text.  ``_HEAD`` marks the first and those that follow a line end, which is a part too.
 
+    Parts that stand beside other white space than single blanks and line ends stay together.
+    """
+    if odd:
+        parts = _FREE_SPACE.split(text)
+        parts[0] = _HEAD + parts[0]
+        return parts
+    return (_HEAD + text).replace("\n", " \n " + _HEAD).split(" ")
 
-def _encode_parts(tokenizer, parts: list[str], known: dict[str, bytes], newline: int) -> None:
-    """Fill ``known``; plain parts are encoded as lines of short texts and cut at the line ends."""
-    plain = [x for x in parts if x and not _ANY_SPACE(x)]
+
+def _text(part: str) -> str:
+    return part[1:] if part[:1] == _HEAD else " " + part
+
+
+def _encode_parts(tokenizer, parts: set[str], known: dict[str, bytes], newline: int, spaces: bool) -> None:
+    """Fill ``known``: plain parts as lines of short texts, cut at the line ends, the others one by one.
+
+    A word and one sign after it never share a token, so only the word is encoded.
+    """
+    composed = [x for x in parts if x[-1:] in _SIGNS and x[:-1].lstrip(_HEAD).isalpha()]
+    stems = {x[:-1] for x in composed}
+    parts = parts.difference(composed).union([x for x in stems if x not in known])
+    plain = [x for x in parts if x and x != _HEAD]
+    if spaces:
+        plain = [x for x in plain if not _ANY_SPACE(x) and x.rfind(_HEAD) < 1]
     groups = [plain[k : k + _JOINED] for k in range(0, len(plain), _JOINED)]
-    lines = tokenizer.encode_batch_fast([" " + "\n ".join(x) for x in groups], add_special_tokens=False)
+    lines = tokenizer.encode_batch_fast(["\n".join(map(_text, x)) for x in groups], add_special_tokens=False)
     stream: list[int] = []
     for line in lines:
         stream += line.ids
         stream.append(newline)
     ids = np.array(stream, np.uint32)
     ends = np.flatnonzero(ids == newline)
-    if len(ends) == len(plain):
+    if newline >= 0 and len(ends) == len(plain):
         raw, start = ids.tobytes(), 0
         for x, end in zip(plain, (ends * 4).tolist(), strict=True):
             known[x] = raw[start:end]
             start = end + 4
     rest = [x for x in parts if x not in known]
-    texts = [x[1:] if x[:1] == " " else " " + x for x in rest]
-    for x, found in zip(rest, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+    for x, found in zip(rest, tokenizer.encode_batch_fast([*map(_text, rest)], add_special_tokens=False), strict=True):
         known[x] = np.array(found.ids, np.uint32).tobytes()
+    for x in composed:
+        sign = _HEAD + x[-1]
+        if sign not in known:
+            known[sign] = np.array(tokenizer.encode(x[-1], add_special_tokens=False).ids, np.uint32).tobytes()
+        known[x] = known[x[:-1]] + known[sign]
 
 
 @cache
@@ -80,14 +103,16 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit integers."""
     tokenizer = load(path)
     newline = tokenizer.encode("\n", add_special_tokens=False).ids
+    end_of_line = np.array(newline, np.uint32).tobytes()
     newline = newline[0] if len(newline) == 1 else -1
-    store: list[dict[str, bytes]] = [{}, {}]  # parts in use, and those used before
+    store: list[dict[str, bytes]] = [{"\n": end_of_line}, {}]  # parts in use, and those used before
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(store[0]) > CACHED:
-            store[:] = [{}, store[0]]
+            store[:] = [{"\n": end_of_line}, store[0]]
         known, before = store
-        split = [_split(x) for x in texts]
+        odd = [any(x in text for x in _ODD) for text in texts]
+        split = [_split(x, y) for x, y in zip(texts, odd, strict=True)]
         found = [list(map(known.get, x)) for x in split]
         new: set[str] = set()
         for parts, ids in zip(split, found, strict=True):
@@ -97,7 +122,8 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         known.update([(x, before[x]) for x in again])
         new.difference_update(again)
         if new:
-            _encode_parts(tokenizer, list(new), known, newline)
+            spaces = any(odd)
+            _encode_parts(tokenizer, new, known, newline, spaces)
         out = []
         for parts, ids in zip(split, found, strict=True):
             out.append(b"".join([known[x] if y is None else y for x, y in zip(parts, ids, strict=True)] if None in ids else ids))
@@ -175,7 +201,10 @@ def _part_starts(rows: DataFrame) -> DataFrame:
 
 
 def _with_start(rows: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    joined = rows.join(_part_starts(rows) if starts is None else starts, "part")
+    starts = _part_starts(rows) if starts is None else starts
+    # A few bytes for each file; beyond a number of files both sides are shuffled.
+    few = len(rows.inputFiles()) <= BROADCAST_FILES
+    joined = rows.join(F.broadcast(starts) if few else starts, "part")
     found = joined.withColumn("start", F.col("before") + F.col("part_start"))
     return found.select("doc_id", "start", "n_tokens", *(["ids"] if "ids" in rows.columns else []))
 
