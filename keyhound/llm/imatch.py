@@ -184,9 +184,9 @@ def edited(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     found = written(ranged.mapInArrow(inside, f"{result}, edge string, part int, text string"), "imatch")
     firsts = found.where(F.col("edge") == "first").select("part", F.col("text").alias("next"))
     # One row a range: the range after each, and the first for the last.
-    parts = firsts.select("part", F.lead("part").over(Window.orderBy("part")).alias("after"))
-    lowest = firsts.agg(F.min("part").alias("lowest"))
-    parts = parts.join(F.broadcast(lowest)).select("part", F.coalesce("after", "lowest").alias("after"))
+    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = F.coalesce(F.lead("part").over(Window.orderBy("part")), F.first("part").over(every))
+    parts = firsts.select("part", after.alias("after"))
     lasts = found.where(F.col("edge") == "last").select("doc_id", "part", "text").join(parts, "part")
     meeting = lasts.join(firsts.withColumnRenamed("part", "after"), "after").select("doc_id", "text", "next")
 
