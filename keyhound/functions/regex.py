@@ -27,6 +27,8 @@ except ImportError:  # other Python versions: patterns run without guards
 log = logging.getLogger(__name__)
 
 _LITERAL_ANCHORED = re.compile(r"\^([A-Za-z0-9_ ]+)\$")
+# `^` and `$` may stand at any line of the text: its length says nothing about a match.
+_MULTILINE = re.compile(r"\(\?[a-zA-Z]*m")
 _UNICODE_CLASS = re.compile(r"\\[wWdDsSbBpP]|\[:")
 _LEADING_RUN = re.compile(r"(\[(?:[^\[\]\\]|\\.)+\])(?:\+|(\{\d+),\})(?![+?])")
 # The same searches without backtracking over long runs.  A text that is found from one
@@ -101,11 +103,30 @@ def _outside_groups(pattern: str) -> str:
     return "".join(out)
 
 
+def unicode_case_from_here(pattern: str) -> str:
+    """Let ``(?i)`` inside a pattern hold from where it stands, for all letters."""
+    out, in_class, i = [], False, 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            out.append(pattern[i : i + 2])
+            i += 2
+        elif not in_class and pattern.startswith("(?i)", i):
+            out.append("(?iu)")
+            i += 4
+        else:
+            in_class = pattern[i] != "]" if in_class else pattern[i] == "["
+            out.append(pattern[i])
+            i += 1
+    return "".join(out)
+
+
 def java_pattern(pattern: str, ignorecase: bool = False) -> str:
     """``(?d)`` makes ``.`` and ``$`` know only ``\\n``; ``U`` makes ``\\w \\d \\s`` Unicode."""
     flags = "d"
-    if ignorecase or "(?i)" in pattern:
+    if ignorecase or pattern.startswith("(?i)"):
         flags += "iu"
+    elif "(?i)" in pattern:
+        pattern = unicode_case_from_here(pattern)
     if _UNICODE_CLASS.search(pattern):
         flags += "U"
     return f"(?{flags})" + escape_class_syntax(pattern)
@@ -155,7 +176,7 @@ def needs(pattern: str, ignorecase: bool = False) -> Needs:
     return Needs(
         min_chars=min(low, 10_000),
         # `$` also matches before one final line feed.
-        max_chars=high + 1 if anchored and high < 10_000 else None,
+        max_chars=high + 1 if anchored and high < 10_000 and not _MULTILINE.search(pattern) else None,
         literal=literal if len(literal) > 1 else "",
     )
 

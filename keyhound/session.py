@@ -16,20 +16,24 @@ def build_session(app_name: str = "keyhound", master: str | None = None, **setti
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    # A setting of the JVM's start; the others are set below unless they come from outside.
+    # Call sites per expression double the time it takes to build a plan.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     defaults = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        # Call sites per expression double the time it takes to build a plan.
-        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # HotSpot does not compile larger methods; Spark then splits the code instead.
         "spark.sql.codegen.hugeMethodLimit": "8000",
-        # Text is CPU-heavy to scan: smaller splits keep all cores busy.
-        "spark.sql.files.maxPartitionBytes": "64m",
     }
-    for key, value in {**defaults, **settings}.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
+    outside = spark.sparkContext.getConf()
+    for key, value in defaults.items():
+        if key not in settings and not outside.contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 def scratch_root(spark: SparkSession) -> str:

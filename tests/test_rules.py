@@ -186,3 +186,24 @@ def test_settings_are_merged(tmp_path):
 def test_rules_table_round_trip(spark):
     rules = [Rule("r", "d", "m", "INFO", 0.5, None, MatchConfig("x", True, 2, True))]
     assert rules_from_table(rules_table(spark, rules)) == rules
+
+
+def test_multiline_pattern_finds_a_line_of_a_long_text(kv):
+    from pyspark.sql import functions as F
+
+    from keyhound.functions.regex import search
+
+    long = "x" * 100 + "\nabc\n" + "y" * 100
+    rows = kv(("k", long), ("k", "abc"), ("k", "xabc"))
+    found = rows.select(search(F.col("value"), "(?m)^abc$").alias("m")).collect()
+    assert [r["m"] for r in found] == [True, True, False]
+
+
+def test_inline_case_flag_holds_from_where_it_stands(kv):
+    from pyspark.sql import functions as F
+
+    from keyhound.functions.regex import search
+
+    rows = kv(("k", "abcDEF"), ("k", "ABCdef"), ("k", "abcdef"))
+    found = rows.select(search(F.col("value"), "abc(?i)def").alias("m")).collect()
+    assert [r["m"] for r in found] == [True, False, True]
