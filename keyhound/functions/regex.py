@@ -63,6 +63,53 @@ def escape_class_syntax(pattern: str) -> str:
     return "".join(out)
 
 
+def subtract_classes(pattern: str) -> str:
+    """``[a-z-[aeiou]]``, a class less another one, as ``(?:(?![aeiou])[a-z])``."""
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern[i] == "[":
+            text, i = _class_at(pattern, i)
+        else:
+            text = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+            i += len(text)
+        out.append(text)
+    return "".join(out)
+
+
+def _class_at(pattern: str, start: int) -> tuple[str, int]:
+    """The class that opens at ``start``, without subtraction, and the place after it."""
+    first = start + (2 if pattern.startswith("^", start + 1) else 1)
+    i = first
+    while i < len(pattern):
+        if pattern[i] == "]" and i > first:
+            return pattern[start : i + 1], i + 1
+        if i > first and pattern.startswith("-[", i) and not pattern.startswith("-[:", i):
+            less, end = _class_at(pattern, i + 1)
+            if pattern.startswith("]", end):
+                return f"(?:(?!{less}){pattern[start:i]}])", end + 1
+        i += 2 if pattern[i] == "\\" else 1
+    return pattern[start:], len(pattern)
+
+
+_NAMES = re.compile(
+    r"\\k[<'](?P<used>[A-Za-z_]\w*)[>']|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?[<'](?P<named>[A-Za-z_]\w*)[>']",
+    re.DOTALL,
+)
+
+
+def java_group_names(pattern: str) -> str:
+    """Group names, and references to them, in ASCII letters and digits only, as Java asks."""
+
+    def renamed(found: re.Match) -> str:
+        name = found["used"] or found["named"]
+        if not name:
+            return found[0]
+        plain = "".join(c if c.isascii() and c.isalnum() and c != "x" else f"x{ord(c):x}x" for c in name)
+        return f"\\k<g{plain}>" if found["used"] else f"(?<g{plain}>"
+
+    return _NAMES.sub(renamed, pattern)
+
+
 def simplify_search(pattern: str) -> str:
     """Drop leading repetition, which never changes whether a search succeeds.
 
@@ -129,7 +176,7 @@ def java_pattern(pattern: str, ignorecase: bool = False) -> str:
         pattern = unicode_case_from_here(pattern)
     if _UNICODE_CLASS.search(pattern):
         flags += "U"
-    return f"(?{flags})" + escape_class_syntax(pattern)
+    return f"(?{flags})" + escape_class_syntax(java_group_names(subtract_classes(pattern)))
 
 
 @dataclass(frozen=True)
@@ -159,7 +206,7 @@ def needs(pattern: str, ignorecase: bool = False) -> Needs:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")  # notes on syntax of later versions
-            tree = _parser.parse(pattern)
+            tree = _parser.parse(subtract_classes(pattern))
     except (re.error, OverflowError, RecursionError):
         return Needs()
     low, high = tree.getwidth()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import logging
 
 from pyarrow import fs
@@ -17,7 +16,6 @@ from keyhound.sources.filesystem import open_root
 log = logging.getLogger(__name__)
 
 BYTE_ORDER_MARK = "\ufeff"
-SMALL_REPORT_ROWS = 50_000
 
 
 def _prepared(findings: DataFrame, mask: bool) -> DataFrame:
@@ -29,17 +27,30 @@ def write_json(findings: DataFrame, path: str) -> None:
     findings.select(*FINDING_COLUMNS).write.mode("overwrite").json(path)
 
 
-def write_pretty_json(findings: DataFrame, path: str) -> None:
-    """One indented JSON array in one file, for reports of bounded size only."""
-    rows = findings.select(*FINDING_COLUMNS).limit(SMALL_REPORT_ROWS + 1).toJSON().collect()
-    if len(rows) > SMALL_REPORT_ROWS:
-        raise ValueError(f"more than {SMALL_REPORT_ROWS} findings: write JSON lines instead")
+def write_json_array(findings: DataFrame, path: str) -> None:
+    """One JSON array of any length, in one folder of text files that concatenate by name.
+
+    Each task writes its rows with commas between them; a bracket comes before and after
+    all parts, and a part with rows is parted from the next one by a comma in a small file.
+    """
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its partition
+    row = F.to_json(F.struct(*FINDING_COLUMNS))
+    findings.select(F.concat(F.when(first, "").otherwise(","), row).alias("value")).write.mode("overwrite").text(path)
     filesystem, inner = open_root(path)
-    if isinstance(filesystem, fs.LocalFileSystem):
-        filesystem.create_dir(inner.rpartition("/")[0] or ".", recursive=True)
-    text = json.dumps([json.loads(r) for r in rows], indent=2, ensure_ascii=False) + "\n"
-    with filesystem.open_output_stream(inner) as stream:
-        stream.write(text.encode("utf-8"))
+    files = filesystem.get_file_info(fs.FileSelector(inner))
+    parts = sorted({"-".join(f.base_name.split("-")[:2]) for f in files if f.size and f.base_name.startswith("part-")})
+    for part in parts[:-1]:
+        _write_first(path, ",\n", f"{part}~comma.txt")
+    _write_first(path, "[\n", "part-!head.txt")
+    _write_first(path, "]\n", "part-~tail.txt")
+
+
+def read_json_array(spark, path: str) -> DataFrame:
+    """Findings back from ``write_json_array``."""
+    schema = ", ".join(f"{c} {'INT' if c == 'LineNumber' else 'STRING'}" for c in FINDING_COLUMNS)
+    row = F.ltrim(F.col("value"), F.lit(","))
+    rows = spark.read.text(path).where(F.startswith(row, F.lit("{")))
+    return rows.select(F.from_json(row, schema).alias("row")).select("row.*")
 
 
 def write_csv(findings: DataFrame, path: str) -> None:
@@ -130,11 +141,12 @@ def write_html(findings: DataFrame, path: str) -> None:
 
 WRITERS = {
     "json": write_json,
+    "json_array": write_json_array,
     "csv": write_csv,
     "excel": write_excel_csv,
     "html": write_html,
 }
-SUFFIXES = {"json": ".json", "csv": ".csv", "excel": ".csv", "html": ".html"}
+SUFFIXES = {"json": ".json", "json_array": ".json", "csv": ".csv", "excel": ".csv", "html": ".html"}
 
 
 def write_report(findings: DataFrame, path: str, fmt: str, mask: bool = False) -> str | None:

@@ -36,7 +36,9 @@ _NODE_NAMES = ["file_path", "format", "kind", "key", "value", "kv_path", "line"]
 _NODE_ARROW = pa.schema(
     [(n, pa.int32() if n == "line" else pa.string()) for n in _NODE_NAMES]
 )
+# A batch ends at either; a text column of a batch holds less than 2 GiB.
 _ROWS_PER_BATCH = 20_000
+_CHARS_PER_BATCH = 16_000_000
 _STANDARD_TAG = "tag:yaml.org,2002:"
 _TEMPLATE_KEYS = ("AWSTemplateFormatVersion", "Resources")
 
@@ -64,7 +66,7 @@ def clean_yaml(text: Column) -> Column:
         F.transform(
             line_array(F.regexp_replace(unix, r"(?dm)^---.*$", "")),
             lambda line: F.when(
-                line.rlike(r"(?d)\{\{.*\}\}"),
+                F.contains(line, F.lit("{{")) & F.contains(after(line, "{{"), F.lit("}}")),
                 F.replace(
                     F.replace(
                         F.replace(line, F.lit('"'), F.lit("'")), F.lit("{{"), F.lit('"{{')
@@ -79,12 +81,22 @@ def clean_yaml(text: Column) -> Column:
     templated = F.when(F.contains(unix, F.lit("{{")), quoted).otherwise(
         F.regexp_replace(unix, r"(?dm)^---.*$", "")
     )
-    untagged = F.when(
-        F.contains(templated, F.lit("%")), F.regexp_replace(templated, r"(?s)[<{]%.*?%[}>]", "")
-    ).otherwise(templated)
+    untagged = F.when(F.contains(templated, F.lit("%")), _without_tags(templated)).otherwise(templated)
     return F.regexp_replace(untagged, r"(?dm)^#.*$", "")
 
 
+def _without_tags(text: Column) -> Column:
+    """``text`` without template tags.
+
+    Only the part up to the last end mark is searched: there every tag finds its end, so
+    that tags never closed do not make the search run to the end of the text each time.
+    """
+    rest = F.substring_index(F.replace(text, F.lit("%>"), F.lit("%}")), "%}", -1)
+    length = F.char_length(text) - F.char_length(rest)
+    closed = F.regexp_replace(F.left(text, length), r"(?s)[<{]%.*?%[}>]", "")
+    return F.concat(closed, F.substr(text, length + 1))
+
+
 # --- readers ----------------------------------------------------------------
 
 
@@ -315,17 +327,22 @@ def _read_document(fmt: str, clean: str, raw: str | None) -> list[Node]:
 
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
+    held = 0
     for batch in batches:
-        columns = [batch[n].to_pylist() for n in ("path", "format", "clean", "raw")]
-        for path, fmt, clean, raw in zip(*columns):
+        columns = [batch[n] for n in ("path", "format", "clean", "raw")]
+        for scalars in zip(*columns):
+            path, fmt, clean, raw = (x.as_py() for x in scalars)
             try:
-                rows += [(path, fmt, *node) for node in _read_document(fmt, clean or "", raw)]
+                nodes = _read_document(fmt, clean or "", raw)
             except (yaml.YAMLError, expat.ExpatError, ValueError, RecursionError) as error:
                 # The reason only: parser messages quote the text, which may be a secret.
-                rows.append((path, fmt, "error", "", type(error).__name__, "", 0))
-            while len(rows) >= _ROWS_PER_BATCH:
-                yield _node_batch(rows[:_ROWS_PER_BATCH])
-                rows = rows[_ROWS_PER_BATCH:]
+                nodes = [("error", "", type(error).__name__, "", 0)]
+            for node in nodes:
+                rows.append((path, fmt, *node))
+                held += len(path or "") + sum(len(part) for part in node[:-1])
+                if len(rows) >= _ROWS_PER_BATCH or held >= _CHARS_PER_BATCH:
+                    yield _node_batch(rows)
+                    rows, held = [], 0
     if rows:
         yield _node_batch(rows)
 
@@ -415,7 +432,12 @@ def _entries(text: Column, prefix: Column | None = None) -> Column:
             F.lit(True).alias("fresh"),
         )
 
-    return F.transform(F.map_entries(F.from_json(text, "MAP<STRING, STRING>")), shape)
+    return F.transform(F.map_entries(_object(text)), shape)
+
+
+def _object(text: Column) -> Column:
+    """Keys and raw values of a JSON object; nothing for texts with ``NaN`` or ``Infinity``."""
+    return F.from_json(text, "MAP<STRING, STRING>", {"allowNonNumericNumbers": "false"})
 
 
 def flatten_json_column(df: DataFrame, file_path: Column, json: Column) -> DataFrame:
@@ -432,7 +454,7 @@ def flatten_json_column(df: DataFrame, file_path: Column, json: Column) -> DataF
         (braces <= _NATIVE_DEPTH)
         & text.rlike(r"(?s)\A\s*\{.*\}\s*\z")
         & ~text.rlike(_NOT_PLAIN)
-        & F.from_json(text, "MAP<STRING, STRING>").isNotNull(),
+        & _object(text).isNotNull(),
         F.lit(False),
     )
     key, value, kv_path = F.col("key"), F.col("value"), F.col("kv_path")

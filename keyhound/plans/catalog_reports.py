@@ -488,6 +488,13 @@ def report_json(spark, sf):
     return spark.read.schema(schema).json(path)
 
 
+@query("report_json_array", _FINDINGS)
+def report_json_array(spark, sf):
+    """Written as one JSON array and read back."""
+    path = sinks.write_report(_found(spark, sf), scratch_path(spark, "report"), "json_array")
+    return sinks.read_json_array(spark, path)
+
+
 @query("report_csv", _FINDINGS)
 def report_csv(spark, sf):
     """Written as CSV and read back: quotes, blanks and line breaks survive."""

@@ -20,7 +20,6 @@ except ImportError:  # pragma: no cover - depends on the installation
 log = logging.getLogger(__name__)
 
 BUILTIN_RULES = os.path.join(os.path.dirname(os.path.dirname(__file__)), "rules")
-MAX_RULES = 5_000
 
 
 @dataclass(frozen=True)
@@ -154,10 +153,8 @@ def load_rules(spark: SparkSession, folder: str = BUILTIN_RULES) -> DataFrame:
 
 
 def rules_from_table(rules: DataFrame) -> list[Rule]:
-    """Rules back from a table.  A rule table is small; anything larger is refused."""
-    rows = rules.orderBy("rule_order").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule table holds at most {MAX_RULES} rules")
+    """Rules back from a table, as many as there are; like rules of a folder they go to the driver."""
+    rows = rules.orderBy("rule_order").collect()
     return [
         Rule(
             rule_id=row.rule_id,

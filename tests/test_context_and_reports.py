@@ -132,9 +132,13 @@ def test_excel_csv(found, tmp_path):
 def test_json_and_html(found, tmp_path, spark):
     path = sinks.write_report(found, str(tmp_path / "r"), "json")
     assert spark.read.json(path).count() == len(ROWS)
-    sinks.write_pretty_json(found, str(tmp_path / "one.json"))
-    text = (tmp_path / "one.json").read_text()
-    assert text.startswith('[\n  {\n    "RuleID"') and len(json.loads(text)) == len(ROWS)
+    for parts in (1, 3, 9):
+        path = sinks.write_report(found.repartition(parts), str(tmp_path / f"a{parts}"), "json_array")
+        rows = json.loads("".join(text_parts(path)))
+        assert sorted(tuple(r.values()) for r in rows) == sorted(ROWS)
+        assert sorted(map(tuple, sinks.read_json_array(spark, path).collect())) == sorted(ROWS)
+    sinks.write_json_array(found.limit(0), str(tmp_path / "none"))
+    assert json.loads("".join(text_parts(tmp_path / "none"))) == []
     page = "".join(text_parts(sinks.write_report(found, str(tmp_path / "p"), "html")))
     assert page.startswith("<!DOCTYPE html>") and page.endswith("</html>\n")
     assert '<span class="badge critical">CRITICAL</span>' in page and "&lt;z&gt;" in page

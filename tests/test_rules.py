@@ -207,3 +207,27 @@ def test_inline_case_flag_holds_from_where_it_stands(kv):
     rows = kv(("k", "abcDEF"), ("k", "ABCdef"), ("k", "abcdef"))
     found = rows.select(search(F.col("value"), "abc(?i)def").alias("m")).collect()
     assert [r["m"] for r in found] == [True, False, True]
+
+
+def test_large_rule_tables_are_read_whole(spark):
+    rules = [Rule(f"r{i}") for i in range(6000)]
+    assert rules_from_table(rules_table(spark, rules)) == rules
+
+
+def test_class_subtraction_and_group_names(kv):
+    from pyspark.sql import functions as F
+
+    from keyhound.functions.regex import search
+
+    def hits(pattern):
+        texts = ("bcd", "bad", "xy]", "aa", "a]")
+        found = kv(*(("k", t) for t in texts)).select("value", search(F.col("value"), pattern).alias("m"))
+        return {r["value"] for r in found.collect() if r["m"]}
+
+    assert hits("^[a-z-[aeiou]]+$") == {"bcd"}
+    assert hits("^[^0-9-[aeiou]]+$") == {"bcd", "xy]"}
+    assert hits("^[a-z-[a-f-[a]]]+$") == {"aa"}
+    assert hits(r"^[\w\]-[b]]{2}$") == {"aa", "a]"}
+    assert hits("(?<a_b>a)\\k<a_b>") == {"aa"}
+    assert hits("(?'x_1'x)y") == {"xy]"}
+    assert hits("^[a-]+$") == {"aa"}

@@ -2,12 +2,15 @@
 
 import json
 import random
+import time
 from xml.parsers import expat
 
 from conftest import pairs
 from pyspark.sql import functions as F
 
+from keyhound.operators import tree
 from keyhound.operators.tree import (
+    clean_yaml,
     extract_trees,
     flatten_json_column,
     read_trees,
@@ -138,3 +141,46 @@ def test_native_and_document_json_agree(spark, files):
     expected = read_trees(documents)
     assert pairs(got, *columns) == pairs(extract_trees(documents), *columns)
     assert expected.filter("kind = 'error'").count() == 0
+
+
+def test_unclosed_template_marks_take_linear_time(spark):
+    texts = ["{%" * 500_000, "{{" * 500_000, "a: {% b %}" + "{%" * 500_000, "}}" + "{{" * 500_000]
+    table = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    started = time.time()
+    got = [r.c for r in table.select(clean_yaml(F.col("t")).alias("c")).collect()]
+    assert time.time() - started < 20
+    assert got == [texts[0], texts[1], "a: " + "{%" * 500_000, texts[3]]
+    small = spark.createDataFrame([("a {% b\n %} c <% d %> e %} {% f",)], "t STRING")
+    assert small.select(clean_yaml(F.col("t"))).first()[0] == "a  c  e %} {% f"
+
+
+def test_batches_end_at_a_number_of_characters(files, monkeypatch):
+    texts = {f"f{i}": "".join(f"k{j}: v{i}\n" for j in range(50)) for i in range(5)}
+    plain = read_trees(files(texts).withColumn("format", F.lit("yaml"))).collect()
+    sizes = []
+
+    class Column:
+        def __init__(self, values):
+            self.values = values
+
+        def __iter__(self):
+            return iter(tree.pa.array(self.values, tree.pa.string()))
+
+    batch = {"path": Column(list(texts)), "format": Column(["yaml"] * 5), "clean": Column(list(texts.values())), "raw": Column([None] * 5)}
+    monkeypatch.setattr(tree, "_CHARS_PER_BATCH", 200)
+    rows = []
+    for out in tree._read_batches(iter([batch])):
+        sizes.append(out.num_rows)
+        rows += [tuple(r.values()) for r in out.to_pylist()]
+    assert len(sizes) > 5 and max(sizes) < 50
+    assert sorted(rows) == sorted(map(tuple, plain))
+
+
+def test_numbers_that_are_none_take_the_document_reader(spark, files):
+    texts = ['{"a": NaN}', '{"a": Infinity, "b": 1}', '{"a": -Infinity}', '{"a": "NaN"}']
+    table = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id STRING, t STRING")
+    got = flatten_json_column(table, F.col("id"), F.col("t"))
+    documents = files({str(i): t for i, t in enumerate(texts)}).withColumn("format", F.lit("json"))
+    columns = ("file_path", "key", "value", "kv_path")
+    assert pairs(got, *columns) == pairs(extract_trees(documents), *columns)
+    assert ("0", "a", "NaN", "a") in pairs(got, *columns)
