@@ -13,7 +13,6 @@ from keyhound.functions.predicates import any_of
 from keyhound.functions.strings import base_name, let, starts_with
 
 # Formats whose rows are lines, whole documents, or trees.
-WHOLE_FORMATS = ["html", "dockercfg"]
 TREE_FORMATS = ["yaml", "json", "xml"]
 CONFIG_LIKE = "conf"
 

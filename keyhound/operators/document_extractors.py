@@ -33,18 +33,42 @@ def html_items(text: Column) -> Column:
 
 
 def dockercfg_items(text: Column) -> Column:
-    """The non-empty logins of a registry configuration; other JSON gives nothing."""
-    logins = F.map_values(
-        F.from_json(
-            text, "auths MAP<STRING, STRUCT<auth: STRING>>", {"allowSingleQuotes": "false"}
-        )["auths"]
+    """The non-empty logins of a registry configuration; other JSON gives nothing.
+
+    Field names are found in any letter case.  A login that is neither text nor null, or
+    anything behind the object, makes the whole document give nothing.  The text is read as
+    the first of two array elements: what ends the array early, or adds to it, loses the
+    second one, whose name is a hash of the text.  Repeated field names all count.
+    """
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    mark = F.md5(text)
+    wrapped = F.concat(F.lit("["), text, F.lit(',{"'), mark, F.lit('":""}]'))
+    parts = F.from_json(wrapped, "ARRAY<MAP<STRING, STRING>>", strict)
+    alone = (F.size(parts) == 2) & F.map_contains_key(F.get(parts, F.lit(1)), mark)
+    named = F.filter(
+        F.map_entries(F.get(parts, F.lit(0))),
+        lambda e: (F.lower(e["key"]) == "auths") & e["value"].isNotNull(),
     )
-    kept = F.filter(
-        F.transform(logins, lambda x: x["auth"]), lambda a: a.isNotNull() & (a != "")
+    hosts = F.transform(
+        named, lambda e: F.from_json(e["value"], "MAP<STRING, MAP<STRING, VARIANT>>", strict)
+    )
+    fields = F.flatten(
+        F.transform(
+            F.flatten(F.transform(hosts, F.map_values)),
+            lambda host: F.coalesce(F.map_entries(host), F.array().cast(_LOGIN_FIELDS)),
+        )
     )
-    return F.coalesce(
-        F.transform(kept, lambda a: item(F.lit("Dockercfg"), a, "dockercfg")), no_items()
+    logins = F.transform(
+        F.filter(fields, lambda e: F.lower(e["key"]) == "auth"), lambda e: e["value"]
     )
+    plain = F.forall(logins, lambda a: a.isNull() | F.schema_of_variant(a).isin("STRING", "VOID"))
+    kept = F.filter(F.transform(logins, lambda a: a.cast("string")), lambda a: a != "")
+    return F.when(
+        alone & plain, F.transform(kept, lambda a: item(F.lit("Dockercfg"), a, "dockercfg"))
+    ).otherwise(no_items())
+
+
+_LOGIN_FIELDS = "ARRAY<STRUCT<key: STRING, value: VARIANT>>"
 
 
 DOCUMENT_EXTRACTORS: dict[str, Callable[[Column], Column]] = {

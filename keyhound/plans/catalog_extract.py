@@ -468,20 +468,25 @@ def extract_html_comments(spark, sf):
 @query(
     "extract_docker_logins",
     kv_rows(
-        "customer WHERE c_mktsegment <> 'FURNITURE'",
+        "customer WHERE c_mktsegment <> 'FURNITURE' AND c_custkey % 5 < 3",
         _CUSTOMER,
         ("'Dockercfg'", "md5(c_name)", "dockercfg", 0),
         ("'Dockercfg'", "c_mktsegment", "dockercfg", 0),
     ),
 )
 def extract_docker_logins(spark, sf):
+    """Field names in any case; a number as login or text behind the object spoils a file."""
     q = "chr(34)"
+    name = "CASE WHEN c_custkey % 5 = 1 THEN 'Auths' ELSE 'auths' END"
+    auth = "CASE WHEN c_custkey % 5 = 2 THEN 'AUTH' ELSE 'auth' END"
+    last = f"CASE WHEN c_custkey % 5 = 3 THEN '5' ELSE {q} || {q} END"
     text = (
         f"CASE WHEN c_mktsegment = 'FURNITURE' THEN 'not json ' || c_name ELSE "
-        f"'{{' || {q} || 'auths' || {q} || ': {{' || {q} || 'a' || {q} || ': {{' || {q} || 'auth' "
+        f"'{{' || {q} || {name} || {q} || ': {{' || {q} || 'a' || {q} || ': {{' || {q} || {auth} "
         f"|| {q} || ':' || {q} || md5(c_name) || {q} || '}}, ' || {q} || 'b' || {q} || ': {{' "
         f"|| {q} || 'auth' || {q} || ':' || {q} || c_mktsegment || {q} || '}}, ' || {q} || 'c' "
-        f"|| {q} || ': {{' || {q} || 'auth' || {q} || ':' || {q} || {q} || '}}}}}}' END"
+        f"|| {q} || ': {{' || {q} || 'auth' || {q} || ':' || {last} || '}}}}}}' "
+        f"|| CASE WHEN c_custkey % 5 = 4 THEN ' ' || c_name ELSE '' END END"
     )
     files = built_files(table(spark, sf, "customer"), _CUSTOMER, text)
     return extract_documents(files, dockercfg_items)

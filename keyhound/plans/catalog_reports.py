@@ -555,6 +555,26 @@ def stream_findings(spark, sf):
     return spark.read.parquet(live.run_to_table(found, "stream-findings"))
 
 
+@query(
+    "stream_corpus_arrivals",
+    """SELECT page_id % 2 || '/.page_' || CAST(page_id AS VARCHAR) || '.html' AS name,
+              CAST(strlen(html) AS BIGINT) AS length, md5(html) AS digest
+       FROM pages""",
+)
+def stream_corpus_arrivals(spark, sf):
+    """A file tree streamed, grown and streamed on: every file comes once."""
+    pages = table(spark, sf, "pages")
+    root, target, progress = (scratch_path(spark, f"arrivals{x}") for x in ("", "-seen", "-progress"))
+    path = "CAST(page_id % 2 AS STRING) || '/.page_' || CAST(page_id AS STRING) || '.html'"
+    for part in (0, 1):
+        write_files(built_files(pages.where(F.col("page_id") % 2 == part), path, "html"), root)
+        files = live.stream_corpus(spark, root, settle_ms=0).select(
+            F.substring_index("path", "/", -2).alias("name"), "length", F.md5("content").alias("digest")
+        )
+        live.run_to_table(files, "arrivals", target, progress)
+    return spark.read.parquet(target)
+
+
 @query(
     "stream_running_counts",
     f"""SELECT "Severity", count(*) AS findings FROM ({findings_sql(_PAGE_KV)})

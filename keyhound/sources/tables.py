@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from keyhound.fixed_values import FILE_NAME_KEY, FILE_NAME_KV_PATH, MIN_FILE_BYTES
 from keyhound.functions.strings import base_name
-from keyhound.schemas import KV_COLUMNS
 
 
 def files_from_table(df: DataFrame, path: Column, text: Column) -> DataFrame:
@@ -88,7 +87,3 @@ def kv_from_table(
     return df.select(file_path.alias("file_path"), F.inline(pairs)).select(
         "file_path", "key", "value", F.lit(kv_path).alias("kv_path"), F.lit(0).alias("line")
     )
-
-
-def kv_columns(df: DataFrame) -> DataFrame:
-    return df.select(*KV_COLUMNS)

@@ -17,7 +17,7 @@ from keyhound.operators.report import count_by_severity
 from keyhound.plans.scan import Extractors, scan
 from keyhound.session import scratch_path
 from keyhound.sources.config import ScanConfig
-from keyhound.sources.corpus import list_corpus, load_content
+from keyhound.sources.corpus import SETTLE_MS, list_corpus, load_content
 from keyhound.sources.rules import Rule, read_rules
 
 
@@ -30,9 +30,14 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
-def stream_corpus(spark: SparkSession, root: str, excluded: Sequence[str] = ()) -> DataFrame:
-    """Files of a tree as they appear, hidden ones included."""
-    return load_content(list_corpus(spark, root, excluded, streaming=True), root)
+def stream_corpus(
+    spark: SparkSession, root: str, excluded: Sequence[str] = (), settle_ms: int = SETTLE_MS
+) -> DataFrame:
+    """Files of a tree as they appear, hidden ones included.
+
+    Files changed less than ``settle_ms`` ago wait for the next batch, or the next run.
+    """
+    return load_content(list_corpus(spark, root, excluded, True, settle_ms), root)
 
 
 def live_scan(
@@ -88,17 +93,19 @@ def running_counts(findings: DataFrame) -> DataFrame:
     return count_by_severity(findings)
 
 
-def run_to_table(stream: DataFrame, name: str, path: str | None = None) -> str:
+def run_to_table(
+    stream: DataFrame, name: str, path: str | None = None, progress: str | None = None
+) -> str:
     """Run an append stream over everything there is, into parquet; returns its path.
 
-    Reading that path afterwards gives the complete list of a finished scan.
+    With the path and the progress folder of an earlier run it goes on from there.  Reading that path afterwards gives the complete list of a finished scan.
     """
     spark = stream.sparkSession
     target = path or scratch_path(spark, name)
     query = (
         stream.writeStream.format("parquet")
         .option("path", target)
-        .option("checkpointLocation", scratch_path(spark, f"{name}-progress"))
+        .option("checkpointLocation", progress or scratch_path(spark, f"{name}-progress"))
         .outputMode("append")
         .trigger(availableNow=True)
         .start()

@@ -149,7 +149,21 @@ def test_a_stream_over_a_growing_tree(spark, tmp_path):
     try:
         wait_for({".env", "first-value"})
         (root / "b.ini").write_text("password=second-value\n")
-        wait_for({".env", "first-value", "b.ini", "second-value"})
+        seen = {".env", "first-value", "b.ini", "second-value"}
+        wait_for(seen)
+        # Files that arrive with an old time, under a new name, or with other content.
+        old = tmp_path / "c.ini"
+        old.write_text("password=third-value\n")
+        os.utime(old, (1_000_000_000, 1_000_000_000))
+        old.rename(root / "c.ini")
+        wait_for(seen := seen | {"c.ini", "third-value"})
+        (root / "b.ini").rename(root / "d.ini")
+        wait_for(seen := seen | {"d.ini"})
+        (root / "d.ini").write_text("password=fourth-value\n")
+        wait_for(seen | {"fourth-value"})
+        found = [r.Content for r in spark.table("tree_findings").collect()]
+        assert found.count("first-value") == found.count("third-value") == 1
+        assert found.count("second-value") == 2
     finally:
         query.stop()
 

@@ -202,10 +202,19 @@ def test_comments(files):
 def test_logins(files):
     texts = {
         "a": '{"auths": {"x": {"auth": "QQ=="}, "y": {"auth": ""}, "z": {}}}', "b": "{'auths': {}}",
-        "c": "[]", "d": '{"auths": null}', "e": "",
+        "c": "[]", "d": '{"auths": null}', "e": "", "f": '{"Auths": {"x": {"Auth": "Rg=="}}}',
+        "g": '{"auths": {"x": {"auth": 5}, "y": {"auth": "Rw=="}}}',
+        "h": '{"auths": {"x": {"auth": "SA=="}}} rest', "i": '{"auths": {"x": {"auth": "SQ=="}}}]',
+        "j": '{"auths": {"x": {"auth": "Sg=="}}},{}', "k": ' \n{"auths": {"x": {"auth": "Sw=="}}}\n',
+        "l": '{"n": [1, {"m": null}], "auths": {"x": {"auth": null}, "y": null, "z": {"auth": "TA==", "o": {}}}}',
+        "m": '{"auths": "none"}', "n": '{"auths": {"x": "none"}}', "o": "5",
+        "p": '{"auths": {"x": {"auth": {"auth": "UA=="}}}}',
     }
     got = extract_documents(files(texts), dockercfg_items)
-    assert pairs(got, "file_path", "key", "value") == [("a", "Dockercfg", "QQ==")]
+    assert pairs(got, "file_path", "key", "value") == [
+        ("a", "Dockercfg", "QQ=="), ("f", "Dockercfg", "Rg=="), ("k", "Dockercfg", "Sw=="),
+        ("l", "Dockercfg", "TA=="),
+    ]
 
 
 def test_unusual_lines(spark):
