@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyhound.fixed_values import CSV_COLUMNS, EXCEL_HEADER, HTML_TABLE_HEADER
-from keyhound.operators.report import masked
+from keyhound.operators.report import masked, observe_findings
 from keyhound.schemas import FINDING_COLUMNS
 from keyhound.sources.filesystem import open_root
 
@@ -132,10 +132,13 @@ HTML_TAIL = "</tbody></table></body></html>\n"
 
 
 def write_html(findings: DataFrame, path: str) -> None:
-    """Table rows as text parts between a head and a tail part; together one page."""
-    total = findings.count()
-    html_rows(findings).write.mode("overwrite").text(path)
-    _write_first(path, html_head(total), "part-!head.txt")
+    """Table rows as text parts between a head and a tail part; together one page.
+
+    The total in the head is counted while the rows are written.
+    """
+    observed, observation = observe_findings(findings, "html")
+    html_rows(observed).write.mode("overwrite").text(path)
+    _write_first(path, html_head(observation.get["findings"]), "part-!head.txt")
     _write_first(path, HTML_TAIL, "part-~tail.txt")
 
 

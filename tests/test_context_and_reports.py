@@ -142,6 +142,9 @@ def test_json_and_html(found, tmp_path, spark):
     page = "".join(text_parts(sinks.write_report(found, str(tmp_path / "p"), "html")))
     assert page.startswith("<!DOCTYPE html>") and page.endswith("</html>\n")
     assert '<span class="badge critical">CRITICAL</span>' in page and "&lt;z&gt;" in page
+    assert f'<p class="meta">{len(ROWS)}</p>' in page
+    sinks.write_html(found.limit(0), str(tmp_path / "empty"))
+    assert '<p class="meta">0</p>' in "".join(text_parts(tmp_path / "empty"))
 
 
 def test_guard_and_masking(found, tmp_path):
