@@ -1,13 +1,14 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 A text is lower-cased letter by letter, everything else becomes a blank, and n-grams of 2 and 3 code
-points are hashed to ``DIMS`` numbers.  Counts per language come from a bounded sample of labelled rows
-(``TRAIN_ROWS``, chosen by a hash of the id); the matrix of log probabilities (``DIMS`` x languages) is
-broadcast, and a batch is scored by table look-ups and running sums in numpy.
+points are hashed to ``DIMS`` numbers.  Counts per language come from all labelled rows: each task sums
+its own, so the rows exchanged depend on tasks, languages and ``DIMS`` alone.  The matrix of log
+probabilities (``DIMS`` x languages) is broadcast, and a batch is scored by table look-ups and running
+sums in numpy.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; null languages are not
-learned from; if nothing can be learned every text is ``und``; on equal scores the language first in
-order wins; extra columns are ignored.
+learned from; a language whose texts hold no letter is left out; if nothing can be learned every text is
+``und``; on equal scores the language first in order wins; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from keyhound.llm import flat
 
 DIMS = 1 << 15
 ORDERS = (2, 3)
-TRAIN_ROWS = 20_000
 MAX_LANGUAGES = 512
 UNKNOWN = "und"
 
@@ -61,20 +61,17 @@ def grams(points: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, usable: Column, max_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, usable: Column) -> tuple[list[str], np.ndarray]:
     """Languages in order, and their log probabilities as (language, n-gram) with a column of zeros last."""
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
+    named = [r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
+    if len(named) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; the model would be too large to broadcast")
-    languages, total = sorted(sizes), sum(sizes.values())
-    if total > max_rows:
-        share = int(max_rows / total * 1_000_000)
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share)
+    languages = sorted(named)
     number = {x: k for k, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), DIMS + 1), np.int64)
+        counts = np.zeros(len(languages) * (DIMS + 1), np.int64)
         for batch in batches:
             for piece, data, offsets in flat.pieces(batch):
                 points, bounds = _points(data, offsets)
@@ -83,17 +80,19 @@ def train(docs: DataFrame, usable: Column, max_rows: int = TRAIN_ROWS) -> tuple[
                     hashed = grams(points, order)
                     row = np.searchsorted(bounds, np.arange(len(hashed)), "right") - 1
                     inside = np.arange(len(hashed)) + order <= bounds[row + 1]
-                    for k in np.unique(codes):
-                        counts[k] += np.bincount(hashed[inside & (codes[row] == k)], minlength=DIMS + 1)
-        lang, gram = np.nonzero(counts[:, :DIMS])
-        yield pa.record_batch(
-            [pa.array(lang, pa.int32()), pa.array(gram, pa.int32()), pa.array(counts[lang, gram], pa.int64())],
-            ["lang", "gram", "n"],
-        )
+                    np.add.at(counts, codes[row[inside]] * (DIMS + 1) + hashed[inside], 1)
+        for lang, own in enumerate(counts.reshape(-1, DIMS + 1)):
+            gram = np.flatnonzero(own[:DIMS])
+            yield pa.record_batch(
+                [pa.array(np.full(len(gram), lang), pa.int32()), pa.array(gram, pa.int32()), pa.array(own[gram], pa.int64())],
+                ["lang", "gram", "n"],
+            )
 
     found = rows.mapInArrow(count, "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    learned, lang = np.unique(found["lang"].to_numpy(), return_inverse=True)
+    languages = [languages[k] for k in learned]
     counts = np.full((max(1, len(languages)), DIMS), 0.2)
-    counts[found["lang"].to_numpy(), found["gram"].to_numpy()] += found["n"].to_numpy()
+    counts[lang, found["gram"].to_numpy()] += found["n"].to_numpy()
     matrix = np.zeros((len(languages), DIMS + 1), np.float32)
     if languages:
         matrix[:, :DIMS] = np.log(counts / counts.sum(1, keepdims=True))

@@ -45,6 +45,19 @@ def test_language_refuses_a_matrix_without_bound(spark, monkeypatch):
         language.train(edge_docs(spark), F.lit(True))
 
 
+def test_language_counts_rare_languages_among_many_rows(spark):
+    many = spark.range(30_000).selectExpr("id AS doc_id", "'the house and the garden' AS text", "'en' AS lang")
+    rare = spark.createDataFrame([(40_000, "жук летит над лесом", "ru"), (40_001, "2024 - 77", "zz")], many.schema)
+    languages, matrix = language.train(many.unionByName(rare), F.lit(True))
+    assert languages == ["en", "ru"] and len(matrix) == 2
+    # The counts are those of every row: 30,000 texts, and one.
+    _, one = language.train(many.limit(1).unionByName(rare), F.lit(True))
+    seen = one[1] - one[0] > 1
+    assert seen.any() and (matrix[1] - matrix[0])[seen].min() > 1
+    got = {r["lang_pred"] for r in language.predict(rare.where("lang = 'ru'"), languages, matrix, ["doc_id"]).collect()}
+    assert got == {"ru"}
+
+
 def test_language_of_held_out_documents(spark, tables):
     folder = tables.replace("0.001", "0.01")
     got = llm.op1_language_id(spark, folder).where("held_out").join(llm.table(spark, folder, "documents"), "doc_id")
