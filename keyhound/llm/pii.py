@@ -5,13 +5,18 @@ further conditions (parts of an address, check digits, number of digits) are dro
 expressions are linear on long texts.
 
 The random field has a node for every token with a digit or ``@`` and for every token that repeats the name
-of an e-mail address of the document.  Labels are the four kinds and none.  Potentials are learned piece by
-piece from base labels of a bounded sample (``TRAIN_ROWS`` documents): of a token's shape and label, of the
-labels of neighbouring nodes, and of the labels of tokens that repeat one another.  Distant tokens of equal
-letters and digits, or of equal last eight digits, are joined by skip edges (each to the next of its group,
-so a token that repeats a thousand times has a thousand edges).  Loopy message passing spreads the labels of
-base spans, which are fixed.  A free token joined to a base span, directly or over others, gets a span when
-its marginal for a kind is at least ``SURE``.  Base spans stay as they are.
+of an e-mail address of the document.  Where neighbouring groups of digits (joined over blanks, brackets,
+dots, dashes and slashes, not behind a letter) repeat digits of a phone number or card, they are one node in
+place of their tokens, however they are grouped: the end of a phone number (after zeros dialled first), or
+any stretch of a card, of at least ``LEAST`` digits.  Such a node has no shape of its own: its edges decide.
+Fewer digits, such as a card's last four, tell too little and are no repeat.  Labels are the four kinds and
+none.  Potentials are learned piece by piece from base labels of a bounded sample (``TRAIN_ROWS`` documents):
+of a token's shape and label, of the labels of neighbouring nodes, and of the labels of tokens that repeat one
+another.  Distant tokens of equal letters and digits, or of equal last eight digits, or that repeat digits as
+said, are joined by skip edges (each to the next of its group, so a token that repeats a thousand times has a
+thousand edges).  Loopy message passing spreads the labels of base spans, which are fixed.  A free token joined
+to a base span, directly or over others, gets a span when its marginal for a kind is at least ``SURE``.  Base
+spans stay as they are.
 
 Positions are code points, ends exclusive.  Defined cases: a null text is empty; texts without a digit and
 ``@`` have no spans; without any learned potential nothing is added; repeated rows are rows of their own;
@@ -23,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +49,14 @@ _SPANS = ArrayType(ArrayType(IntegerType()))
 
 TRAIN_ROWS = 20_000
 SURE = 0.9
+LEAST = 7
 ROUNDS = 12
 _NONE = len(KINDS)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_GROUP = re.compile(r"[0-9]+")
+_BETWEEN = re.compile(r"[\s().\[\]/\u2010-\u2015-]{1,4}")
+_LONGEST = 21  # digits of a card, or of a phone number after zeros dialled first
+_CARD_KIND, _PHONE_KIND = 2, 3
 _TOKEN = re.compile(r"[^\s,;:()<>\[\]{}\"']+")
 _MARKED = np.zeros(256, bool)
 _MARKED[48:58] = _MARKED[64] = True
@@ -108,12 +118,88 @@ def _shape(token: str) -> str:
 Node = tuple[int, int, str, int, str]
 
 
+class Parts:
+    """The ends of phone numbers, and the stretches of ``LEAST`` digits of cards."""
+
+    def __init__(self, spans: Iterable[tuple[int, str]]):
+        self.tails: set[str] = set()
+        self.grams: set[str] = set()
+        for kind, whole in spans:
+            if kind == _PHONE_KIND:
+                digits = _digits(whole)
+                self.tails.update(digits[k:] for k in range(len(digits) - LEAST + 1))
+            elif kind == _CARD_KIND:
+                self.grams.update(grams(_digits(whole)))
+
+    def __bool__(self) -> bool:
+        return bool(self.tails or self.grams)
+
+    def phone(self, digits: str) -> bool:
+        zeros = 2 if digits[:2] == "00" else digits[:1] == "0"
+        return any(digits[k:] in self.tails for k in range(zeros + 1))
+
+    def card(self, digits: str) -> bool:
+        return bool(self.grams) and LEAST <= len(digits) <= 19 and all(x in self.grams for x in grams(digits))
+
+
+def grams(digits: str) -> list[str]:
+    return [digits[k : k + LEAST] for k in range(len(digits) - LEAST + 1)]
+
+
+def runs(text: str, spans: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Neighbouring groups of digits outside ``spans`` (start, end, kind, in order).  A group behind a letter is in none; a letter ends a run."""
+    held: list[tuple[int, int]] = []
+    k = done = 0
+    for m in _GROUP.finditer(text):
+        start, end = m.span()
+        while k < len(spans) and spans[k][0] < end:
+            done = max(done, spans[k][1])
+            k += 1
+        before = text[max(start - 1, 0) : start]
+        inside = start < done or before.isalnum() or before in ("_", "@")
+        if held and (inside or not _BETWEEN.fullmatch(text, held[-1][1], start)):
+            yield held
+            held = []
+        if not inside:
+            held.append((start, end))
+    if held:
+        yield held
+
+
+def repeats(text: str, run: list[tuple[int, int]], parts: Parts) -> Iterator[tuple[int, int]]:
+    """The longest stretches of groups that repeat digits of a base span, from the last group on."""
+    last = len(run) - 1
+    while last >= 0:
+        digits, first = "", None
+        for k in range(last, -1, -1):
+            start, end = run[k]
+            if len(digits) + end - start > _LONGEST:
+                break
+            digits = text[start:end] + digits
+            if parts.phone(digits) or parts.card(digits):
+                first = k
+        if first is None:
+            last -= 1
+            continue
+        start, end = run[first][0], run[last][1]
+        if text[max(start - 1, 0) : start] in ("(", "[") and (")" in text[start:end] or "]" in text[start:end]):
+            start -= 1
+        yield start, end
+        last = first - 1
+
+
 def nodes(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
-    """``start, end, token, label, whole``: label -1 where no base span touches, else the span as ``whole``."""
+    """``start, end, token, label, whole``: label -1 where no base span touches, else the span as ``whole``.
+
+    Groups of digits that repeat a base span have an empty token.
+    """
     names = {text[a : text.index("@", a)].lower() for kind, a, _ in base if kind == 0}
     names = {x for x in names if len(x) >= 5}
     spans = sorted((a, b, kind) for kind, a, b in base)
-    out, k = [], 0
+    parts = Parts((kind, text[a:b]) for kind, a, b in base)
+    joined = sorted(x for run in runs(text, spans) for x in repeats(text, run, parts)) if parts else []
+    out: list[Node] = [(a, b, "", -1, text[a:b]) for a, b in joined]
+    k = near = 0
     for m in _TOKEN.finditer(text):
         start, end = m.start(), m.end()
         while end > start and text[end - 1] in ".!?":
@@ -124,15 +210,20 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[Node]:
         while k < len(spans) and spans[k][1] <= start:
             k += 1
         inside = k < len(spans) and spans[k][0] < end
+        while near < len(joined) and joined[near][1] <= start:
+            near += 1
+        if not inside and near < len(joined) and joined[near][0] < end:
+            continue  # its digits have a node of their own
         whole = text[spans[k][0] : spans[k][1]] if inside else token
         out.append((start, end, token, spans[k][2] if inside else -1, whole))
-    return out
+    return sorted(out) if joined else out
 
 
 def skip_edges(found: list[Node]) -> list[tuple[int, int]]:
     """Pairs of nodes that repeat one another, each with the next of its group."""
     groups: dict[str, list[int]] = defaultdict(list)
-    for k, (_, _, _, _, token) in enumerate(found):
+    parts = Parts({(label, whole) for _, _, _, label, whole in found if label >= 0})
+    for k, (_, _, _, label, token) in enumerate(found):
         plain = "".join([x for x in token.lower() if x.isalnum()])
         digits = _digits(token)
         if len(plain) >= 5:
@@ -141,6 +232,13 @@ def skip_edges(found: list[Node]) -> list[tuple[int, int]]:
             groups["=" + "".join([x for x in name if x.isalnum()])].append(k)
         if len(digits) >= 8:
             groups["8" + digits[-8:]].append(k)
+        if label == _PHONE_KIND or (label < 0 and plain == digits and parts.phone(digits)):
+            groups["p" + digits[-LEAST:]].append(k)
+        if label == _CARD_KIND:
+            for x in dict.fromkeys(grams(digits)):
+                groups["c" + x].append(k)
+        elif label < 0 and plain == digits and parts.card(digits):
+            groups["c" + digits[-LEAST:]].append(k)
     return sorted({(a, b) for x in groups.values() for a, b in zip(x, x[1:], strict=False)})
 
 
@@ -201,6 +299,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: dict) -> lis
     for k, (_, _, token, label, _) in enumerate(found):
         if label >= 0:
             unary[k, label] = 0.0
+        elif not token:
+            unary[k] = 0.0
         else:
             unary[k] = model["shape"].get(_shape(token), model["prior"])
     edges = np.array([*skips, *chains], np.int64).reshape(-1, 2)

@@ -155,6 +155,34 @@ def test_field_adds_repeated_tokens_only(spark):
     assert pii.train(docs.where("false"))["shape"] == {}
 
 
+def test_field_adds_repeats_in_other_groups(spark):
+    phone, card = "+1 (407) 555-7710", "4111 1111 1111 1111"
+    forms = {
+        "(407) 555-7710": "phone", "407 555 7710": "phone", "555-7710": "phone", "407.555.7710": "phone",
+        "0407 555 77 10": "phone", "1111 1111": "card", "4111 1111 1111": "card", "1111-1111-1111": "card", "11111111": "card",
+    }
+    rows = [(k, f"call {phone} or pay by {card} now. Later {form}, of 2024 and 31 12 1999 in 12 rooms.") for k, form in enumerate(forms)]
+    others = ("407 555 7711", "(407) 555-7701", "7710", "555 77 1", "a555-7710", "4111 1112 1111", "1111")
+    rows += [(100 + k, f"call {phone} or pay by {card} now. Later {form}, of 2024.") for k, form in enumerate(others)]
+    rows += [(200 + k, f"call +1 (4{k}7) 555-9{k}34 from 10.0.0.{k}, see 17 18 1919{k} 20 of 7 8 9 10 11 12 13") for k in range(90)]
+    rows += [(300, f"we called 12 {phone}\n\n12 407 555 7710 13"), (301, "only (407) 555-7710 and 1111 1111 here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find(docs, pii.train(docs), ["doc_id"]).collect()
+    text = dict(rows)
+    added = {r["doc_id"]: [(pii.KINDS[k], text[r["doc_id"]][a:b]) for k, a, b in r["spans"] if [k, a, b] not in r["base"]] for r in found}
+    assert {form: added[k] for k, form in enumerate(forms)} == {form: [(kind, form)] for form, kind in forms.items()}
+    assert {form: added[100 + k] for k, form in enumerate(others)} == {form: [] for form in others}
+    assert added[300] == [("phone", "407 555 7710")] and added[301] == []
+    out = {r["doc_id"]: r["text"] for r in pii.masked(docs, pii.train(docs)).collect()}
+    assert all(form not in out[k] for k, form in enumerate(forms))
+
+
+@pytest.mark.parametrize("sign", ["1", "1 ", "1234 ", "555-7710 ", "(407) ", "+1 (407) 555-7710, "])
+def test_nodes_are_linear_on_long_texts(sign):
+    text = "call +1 (407) 555-7710 or pay by 4111 1111 1111 1111, " + sign * 20_000
+    pii.skip_edges(pii.nodes(text, pii.base_spans(text)))
+
+
 def test_message_passing_spreads_a_label():
     import numpy as np
 
