@@ -34,7 +34,7 @@ from keyhound.operators.line_extractors import (
 from keyhound.operators.match import Rules, findings, match
 from keyhound.operators.tree import read_trees, tree_errors, tree_kv
 from keyhound.sources.config import ScanConfig
-from keyhound.sources.corpus import list_corpus, load_content
+from keyhound.sources.corpus import list_corpus, load_content, load_files
 from keyhound.sources.rules import read_rules
 from keyhound.sources.tables import (
     filename_kv,
@@ -176,6 +176,30 @@ def parse_errors(files: DataFrame, extractors: Extractors | None = None) -> Data
     return tree_errors(read_trees(route(files, extractors or Extractors())))
 
 
+def corpus_errors(
+    spark: SparkSession,
+    root: str,
+    config: ScanConfig | None = None,
+    extractors: Extractors | None = None,
+    streaming: bool = False,
+) -> DataFrame:
+    """``file_path, format, message`` of the files a scan of a tree has to skip: not readable, or not parsable."""
+    config, extractors = config or ScanConfig(), extractors or Extractors()
+    listing = list_corpus(spark, root, config.exclude_files, streaming)
+    named = route(listing, extractors, sniff=False).filter(F.col("format").isNotNull())
+    return file_errors(load_files(named, root), extractors)
+
+
+def file_errors(loaded: DataFrame, extractors: Extractors | None = None) -> DataFrame:
+    """The same of ``path, length, content, error`` rows, as ``load_files`` gives them."""
+    extractors = extractors or Extractors()
+    unread = route(loaded.filter(F.col("error").isNotNull()), extractors, sniff=False).select(
+        F.col("path").alias("file_path"), "format", F.col("error").alias("message")
+    )
+    read = loaded.filter(F.col("error").isNull()).drop("error")
+    return unread.unionByName(parse_errors(read, extractors))
+
+
 def scan(
     files: DataFrame,
     rules: Rules | None = None,

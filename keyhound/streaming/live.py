@@ -17,7 +17,7 @@ from keyhound.operators.report import count_by_severity
 from keyhound.plans.scan import Extractors, scan
 from keyhound.session import scratch_path
 from keyhound.sources.config import ScanConfig
-from keyhound.sources.corpus import SETTLE_MS, list_corpus, load_content
+from keyhound.sources.corpus import SETTLE_MS, list_corpus, load_content, load_files
 from keyhound.sources.rules import Rule, read_rules
 
 
@@ -31,13 +31,19 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stream_corpus(
-    spark: SparkSession, root: str, excluded: Sequence[str] = (), settle_ms: int = SETTLE_MS
+    spark: SparkSession,
+    root: str,
+    excluded: Sequence[str] = (),
+    settle_ms: int = SETTLE_MS,
+    with_errors: bool = False,
 ) -> DataFrame:
     """Files of a tree as they appear, hidden ones included.
 
     Files changed less than ``settle_ms`` ago wait for the next batch, or the next run.
+    ``with_errors`` keeps a row with null content and ``error`` for each file that cannot be read.
     """
-    return load_content(list_corpus(spark, root, excluded, True, settle_ms), root)
+    load = load_files if with_errors else load_content
+    return load(list_corpus(spark, root, excluded, True, settle_ms), root)
 
 
 def live_scan(

@@ -1,5 +1,7 @@
 """File trees, custom extractors and live scans."""
 
+import errno
+import io
 import os
 import time
 
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from keyhound.operators.dispatch import with_format
 from keyhound.operators.match import match
-from keyhound.plans.scan import Extractors, extract, parse_errors, scan
+from keyhound.plans.scan import Extractors, corpus_errors, extract, file_errors, parse_errors, scan
+from keyhound.sources import corpus
 from keyhound.sources.corpus import _deal, list_corpus, read_corpus
 from keyhound.sources.rules import read_rules
 from keyhound.streaming import live
@@ -125,6 +128,44 @@ def test_parse_errors_do_not_stop_a_scan(files):
     assert pairs(parse_errors(table), "file_path", "format") == [("bad.json", "json")]
 
 
+class _Store:
+    """A file system whose files fail so many times before they open."""
+
+    def __init__(self, error, times):
+        self.error, self.left = error, times
+
+    def open_input_stream(self, path):
+        self.left -= 1
+        if self.left >= 0:
+            raise self.error
+        return io.BytesIO(b"content")
+
+
+def test_errors_that_may_pass_are_tried_again_and_then_fail(monkeypatch):
+    monkeypatch.setattr(corpus, "PAUSES", (0, 0))
+    for error in (OSError(errno.EIO, "i/o"), TimeoutError("late"), OSError("AWS Error SLOW_DOWN")):
+        assert corpus._read(_Store(error, 2), "f") == (b"content", None)
+        with pytest.raises(OSError):
+            corpus._read(_Store(error, 9), "f")
+    for error in (PermissionError("no"), FileNotFoundError("no"), OSError("AWS Error ACCESS_DENIED")):
+        assert corpus._read(_Store(error, 9), "f") == (None, type(error).__name__)
+
+
+def test_unreadable_files_are_rows_of_the_errors(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"password": "x1y2z3"}')
+    (tmp_path / "b.json").write_text('{"password": ')
+    gone = str(tmp_path / "gone.json")
+    listing = list_corpus(spark, str(tmp_path)).union(spark.createDataFrame([(gone, 9)], "path STRING, length BIGINT"))
+    loaded = corpus.load_files(listing, str(tmp_path))
+    assert {(r.path, r.error) for r in loaded.collect() if r.content is None} == {(gone, "FileNotFoundError")}
+    found = {r.file_path: (r.format, r.message) for r in file_errors(loaded).collect()}
+    assert set(found) == {gone, str(tmp_path / "b.json")} and found[gone] == ("json", "FileNotFoundError")
+    assert names(corpus.load_content(listing, str(tmp_path)), str(tmp_path)) == ["a.json", "b.json"]
+    assert [r.file_path for r in corpus_errors(spark, str(tmp_path)).collect()] == [str(tmp_path / "b.json")]
+    stream = live.stream_corpus(spark, str(tmp_path), with_errors=True)
+    assert stream.isStreaming and stream.columns == ["path", "length", "content", "error"]
+
+
 def test_a_stream_over_a_growing_tree(spark, tmp_path):
     root = tmp_path / "tree"
     root.mkdir()
