@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from keyhound.llm import tokens
 
 STRETCH = 1 << 19
-GRID = 64
+GRID = 32
 SENTENCE, INSIDE, SHORT = 1.0, 10.0, 8.0
 _KEPT_BACK = 6
 

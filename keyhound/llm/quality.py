@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from keyhound.llm import flat
 
 DIMS = 1 << 18
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 12_000
 SHARDS = 4
 EPOCHS = 3
 _ALPHA, _BETA, _L1, _L2 = 0.6, 0.05, 0.0, 0.02

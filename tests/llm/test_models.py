@@ -86,6 +86,10 @@ def test_quality_edge_cases(spark):
     assert quality.score(docs.where("false"), weights, ["doc_id"]).count() == 0
 
 
+def test_quality_learns_from_twelve_thousand_rows():
+    assert quality.TRAIN_ROWS >= 12_000 and quality.train.__defaults__[-1] == quality.TRAIN_ROWS
+
+
 def test_quality_of_held_out_documents(spark, tables):
     folder = tables.replace("0.001", "0.01")
     got = llm.op7_quality(spark, folder).where("held_out").join(llm.table(spark, folder, "labels"), "doc_id")

@@ -232,6 +232,11 @@ def test_token_files_round_trip(spark):
     assert tokens.with_crc(tokens.read_tokens(spark, empty)).count() == 0
 
 
+def test_free_cut_places_are_32_ids_apart():
+    ids = np.zeros(192, np.int64)
+    assert packing.cuts(ids, np.array([192]), np.zeros(1, bool), 96) == [96, 192]
+
+
 @pytest.mark.parametrize("stretch", [1 << 19, 4096])
 def test_packing_keeps_every_id_once(spark, monkeypatch, stretch):
     monkeypatch.setattr(packing, "STRETCH", stretch)
