@@ -1,22 +1,22 @@
-"""Exact substring dedup: longest-previous-factor arrays over the places where repeats can be.
+"""Exact substring dedup: equal windows of ``LENGTH`` bytes, by anchors and window hashes.
 
-A whole-corpus suffix array is out of reach, but only suffixes that share ``LENGTH`` bytes with another matter:
+This takes the place of suffix order and longest previous factors: no suffixes are sorted and no factor lengths
+are held, as a fixed ``LENGTH`` asks only whether another window is equal:
 
 1. In each window of ``LENGTH`` bytes the ``GRAM`` bytes with the smallest hash are its anchor (about 1.3
    anchors in 100 bytes).  Equal windows have equal anchors at equal places.  Anchors are counted over the
    corpus; those that occur once are done.  An anchor's windows form its context: one stretch of bytes.
-2. If all contexts of an anchor are equal, all its windows repeat.  No bytes are looked at.
-3. Otherwise one copy of each context is fetched.  Their suffixes of ``LENGTH`` bytes are put in suffix order
-   (by the hash of these bytes: a longer match decides nothing, so order inside equal stretches is by place),
-   compared byte by byte with their neighbour, and the previous and the next smaller place in that order give
-   each suffix its longest previous factor, up to ``LENGTH``, and its match among later ones.
+2. If all contexts of an anchor are equal by their hash, all its windows repeat.  No bytes are looked at.
+3. Otherwise one copy of each context is fetched.  Their windows of ``LENGTH`` bytes are ordered by hash, equal
+   ones by place, and compared byte by byte with their neighbour: the one before tells whether an earlier window
+   is equal, the two together whether any other is.
 
 ``removed="all"`` removes bytes that any other place repeats; ``removed="later"`` keeps the first place of
 each repeated string (smallest id, then place) and removes later ones.
 
 Contexts of one anchor are handled in one task, which sorts them in stretches of ``TASK_BYTES``.  An anchor
 with more than ``CONTEXTS`` different contexts (a very common line) is handled window by window instead: its
-windows' hashes are dealt out and counted with a sum on the map side, so no task holds them all.
+windows' hashes (two of 64 bits, no bytes) are dealt out and counted with a sum on the map side, so no task holds them all.
 
 Defined cases: a null text is empty; texts below ``LENGTH`` bytes keep everything; repeated rows repeat each
 other and get equal results; rows are told apart by id and a hash of the text; an empty table gives no rows;
@@ -154,8 +154,8 @@ def _contexts(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
 def longest_previous(contexts: list[bytes], anchor: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """For the suffixes of ``length`` bytes of contexts given in order of place.
 
-    Returns the context and place of each suffix, whether an earlier place has its first ``length`` bytes
-    (its longest previous factor reaches ``length``), and whether any other place has.
+    Returns the context and place of each suffix, whether an earlier place has its first ``length`` bytes,
+    and whether any other place has.
     """
     sizes = np.array([len(x) for x in contexts], np.int64)
     data = np.frombuffer(b"".join(contexts), np.uint8)
