@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyhound.llm import chat, decontaminate, imatch, language, ngram_join, packing, pii, quality, repeats, tokens
+from keyhound.llm import chat, decontaminate, imatch, language, ngram_join, packing, pii, quality, repeats, sharding, tokens
 from keyhound.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
+SHARDS, SEED = 16, 20260
 
 
 #: Whole texts travel to Python workers: smaller batches than the default keep the workers small.
@@ -107,6 +108,19 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.assign(sharding.sizes(table(spark, folder, "documents")), ["doc_id"], SHARDS, SEED)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 _OP10 = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -150,8 +164,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_imatch": op9_imatch,
         "op10_decontamination": op10_decontamination,
+        "op12_sharding": op12_sharding,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op10_decontamination": _OP10}
+    return {"op10_decontamination": _OP10, "op12_sharding": sharding.oracle(SHARDS, SEED)}
