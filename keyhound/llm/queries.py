@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyhound.llm import chat, decontaminate, imatch, language, ngram_join, packing, pii, quality, repeats, sharding, tokens
+from keyhound.llm import (
+    chat,
+    decontaminate,
+    imatch,
+    language,
+    ngram_join,
+    packing,
+    pii,
+    quality,
+    repeats,
+    sharding,
+    tokens,
+    whitening,
+)
 from keyhound.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -121,6 +134,10 @@ def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 _OP10 = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -165,6 +182,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_imatch": op9_imatch,
         "op10_decontamination": op10_decontamination,
         "op12_sharding": op12_sharding,
+        "op13_whitening": op13_whitening,
     }
 
 

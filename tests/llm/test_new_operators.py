@@ -2,11 +2,12 @@
 
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from keyhound.llm import queries as llm
-from keyhound.llm import sharding
+from keyhound.llm import sharding, whitening
 
 
 def _plain_network(x, n, seed, back=False, sides=None, once=False):
@@ -91,3 +92,127 @@ def test_shard_files(spark, tmp_path):
 def test_sharding_runs_no_python(spark, tables):
     plan = llm.op12_sharding(spark, tables)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def _matrix(kind, n, draw):
+    turn, _ = np.linalg.qr(draw.normal(size=(n, n)))
+    if kind == "sample":
+        rows = draw.normal(size=(3 * n, n))
+        return rows.T @ rows / len(rows)
+    values = {
+        "equal": np.full(n, 3.0),
+        "groups": np.repeat([5.0, 3.0, 3.0, 1.0], n // 4),
+        "close": 1 + 1e-9 * np.arange(n),
+        "rank": np.where(np.arange(n) < n // 4, 2.0 + np.arange(n), 0.0),
+        "steep": 2.0 ** -np.arange(n),
+        "zero": np.zeros(n),
+    }[kind]
+    return turn @ np.diag(values) @ turn.T
+
+
+@pytest.mark.parametrize("kind", ["sample", "equal", "groups", "close", "rank", "steep", "zero"])
+@pytest.mark.parametrize("n", [4, 64])
+def test_components_of_matrices(kind, n):
+    v = _matrix(kind, n, np.random.default_rng(n))
+    values, vectors = whitening.components(v)
+    size = max(np.linalg.norm(v), 1e-300)
+    assert np.abs(values - np.linalg.eigvalsh((v + v.T) / 2)[::-1]).max() < 1e-14 * size
+    assert np.abs(v @ vectors - vectors * values).max() < 1e-14 * size
+    assert np.abs(vectors.T @ vectors - np.eye(n)).max() < 1e-13
+
+
+@pytest.mark.parametrize("v", [[[2.0]], [[1.0, 0.5], [0.5, 1.0]], [[0.0, 1.0], [1.0, 0.0]], [[1.0] * 7] * 7])
+def test_components_of_small_matrices(v):
+    v = np.array(v)
+    values, vectors = whitening.components(v)
+    assert np.allclose(vectors @ np.diag(values) @ vectors.T, v, atol=1e-14)
+
+
+def test_polar_factor():
+    draw = np.random.default_rng(1)
+    for scale in (0, 6, 12):
+        turn, _ = np.linalg.qr(draw.normal(size=(30, 30)))
+        values = np.logspace(0, -scale, 30) * np.where(np.arange(30) % 2, 1, -1)
+        factor = whitening.polar(turn @ np.diag(values) @ turn.T)
+        assert np.abs(factor @ factor - np.eye(30)).max() < 1e-13
+        assert np.abs(factor - turn @ np.diag(np.sign(values)) @ turn.T).max() < 1e-14 * 10 ** (scale + 1)
+
+
+VECTORS = "vec_id long, embedding array<float>, component string, n int"
+
+
+def _plain_whitening(rows):
+    x = [[int(np.floor(float(c) * 64)) + 1_000_000 for c in v] for _, v in rows]
+    n = len(x)
+    sums = [sum(c) for c in zip(*x, strict=True)]
+    deviation = [sum((n * a - s) ** 2 for a, s in zip(v, sums, strict=True)) for v in x]
+    centred = np.array([[(n * a - s) / n for a, s in zip(v, sums, strict=True)] for v in x])
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    return n, deviation, centred, values[::-1], vectors[:, ::-1]
+
+
+def test_whitening_against_plain(spark):
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=(400, 40)) * np.linspace(0.2, 3, 40)
+    rows = [(k, [float(np.float32(c)) for c in v]) for k, v in enumerate(base)]
+    rows += [(0, rows[5][1]), (None, rows[6][1])]
+    bad = [(900, None), (901, []), (902, [float("nan")] + [0.0] * 39), (903, [float("-inf")] + [0.0] * 39), (904, [None] + [0.0] * 39)]
+    table = spark.createDataFrame([(k, v, "c", 1) for k, v in rows + bad], VECTORS).repartition(6)
+    got = whitening.whiten(table).collect()
+    n, deviation, centred, values, vectors = _plain_whitening(rows)
+    assert len(got) == n * 32 and {r.n for r in got} == {n}
+    assert {r.identity_error for r in got} == {got[0].identity_error} and got[0].identity_error < 1e-10
+    by_deviation = {}
+    for r in got:
+        by_deviation.setdefault((r.vec_id, r.deviation), {})[r.component] = r
+    assert set(by_deviation) == {(k, d) for (k, _), d in zip(rows, deviation, strict=True)}
+    plain = centred @ vectors[:, :32] / np.sqrt(values[:32])
+    order = {(k, d): i for i, ((k, _), d) in enumerate(zip(rows, deviation, strict=True))}
+    mine = np.zeros((n, 32))
+    for key, found in by_deviation.items():
+        for c, r in found.items():
+            mine[order[key], c - 1] = r.whitened
+            assert r.explained == pytest.approx(values[c - 1] / values.sum(), rel=1e-9)
+    kept = sorted(set(order.values()))
+    signs = np.sign((mine[kept] * plain[kept]).sum(0))
+    assert np.abs(mine[kept] * signs - plain[kept]).max() < 1e-8
+
+
+def test_vectors_without_variance(spark):
+    same = spark.createDataFrame([(k, [1.0, 2.0, 3.0], "c", 1) for k in range(5)], VECTORS)
+    got = whitening.whiten(same).collect()
+    assert len(got) == 15 and {(r.deviation, r.whitened, r.explained, r.identity_error) for r in got} == {(0, 0.0, 0.0, 0.0)}
+    line = spark.createDataFrame([(k, [float(k), 2.0 * k], "c", 1) for k in range(5)], VECTORS)
+    got = whitening.whiten(line).collect()
+    assert {r.explained for r in got if r.component == 1} == {1.0}
+    assert {r.whitened for r in got if r.component == 2} == {0.0}
+    assert whitening.whiten(same.limit(1)).count() == 3
+
+
+def test_no_vectors(spark):
+    empty = spark.createDataFrame([], VECTORS)
+    assert whitening.whiten(empty).columns[:3] == ["vec_id", "component", "n"] and whitening.whiten(empty).collect() == []
+    nothing = spark.createDataFrame([(1, None, "c", 1)], VECTORS)
+    assert whitening.whiten(nothing).collect() == []
+
+
+def test_vectors_of_several_lengths(spark):
+    mixed = spark.createDataFrame([(1, [1.0], "c", 1), (2, [1.0, 2.0], "c", 1)], VECTORS)
+    with pytest.raises(ValueError):
+        whitening.whiten(mixed)
+
+
+def test_large_entries_stay_exact(spark):
+    rows = [(1, [1e9, 0.0]), (2, [-1e9, 0.5]), (3, [3.0, 1e30])]
+    table = spark.createDataFrame([(k, v, "c", 1) for k, v in rows], VECTORS)
+    got = whitening.whiten(table).collect()
+    x = [[min(max(int(np.floor(float(np.float32(c)) * 64)), -(1 << 52)), 1 << 52) + 1_000_000 for c in v] for _, v in rows]
+    sums = [sum(c) for c in zip(*x, strict=True)]
+    exact = [sum((3 * a - s) ** 2 for a, s in zip(v, sums, strict=True)) for v in x]
+    assert {(r.vec_id, r.deviation) for r in got} == {(k, e if e < 1 << 63 else None) for (k, _), e in zip(rows, exact, strict=True)}
+
+
+def test_whitening_query(spark, tables):
+    got = llm.op13_whitening(spark, tables)
+    assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    assert got.agg(F.max("identity_error")).first()[0] < 1e-4
