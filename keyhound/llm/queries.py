@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keyhound.llm import (
     chat,
     decontaminate,
+    divergence,
     imatch,
     language,
     ngram_join,
@@ -121,6 +122,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents").select("text", "lang", "source"))
+
+
 def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.assign(sharding.sizes(table(spark, folder, "documents")), ["doc_id"], SHARDS, SEED)
     return placed.select(
@@ -181,10 +186,15 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_imatch": op9_imatch,
         "op10_decontamination": op10_decontamination,
+        "op11_divergence": op11_divergence,
         "op12_sharding": op12_sharding,
         "op13_whitening": op13_whitening,
     }
 
 
 def all_oracles() -> dict[str, str]:
-    return {"op10_decontamination": _OP10, "op12_sharding": sharding.oracle(SHARDS, SEED)}
+    return {
+        "op10_decontamination": _OP10,
+        "op11_divergence": divergence.oracle(),
+        "op12_sharding": sharding.oracle(SHARDS, SEED),
+    }

@@ -1,13 +1,19 @@
 """Sharding, source divergence and whitening against brute force."""
 
+import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from keyhound.llm import divergence, sharding, whitening
 from keyhound.llm import queries as llm
-from keyhound.llm import sharding, whitening
 
 
 def _plain_network(x, n, seed, back=False, sides=None, once=False):
@@ -216,3 +222,107 @@ def test_whitening_query(spark, tables):
     got = llm.op13_whitening(spark, tables)
     assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
     assert got.agg(F.max("identity_error")).first()[0] < 1e-4
+
+
+# --- source divergence --------------------------------------------------------
+
+TEXTS = "text string, lang string, source string, term string, n long, value string, part string"
+
+
+def _terms(text):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall("[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+", lower)
+
+
+def _plain_audit(rows, least=10, top=10):
+    n, docs = defaultdict(int), defaultdict(int)
+    groups = {(lang or "", source or "") for _, lang, source in rows}
+    for text, lang, source in rows:
+        for t in _terms(text):
+            n[lang or "", source or "", t] += 1
+            n[lang or "", None, t] += 1
+        for t in set(_terms(text)):
+            docs[lang or "", t] += 1
+    out = []
+    for lang in {x for x, _ in groups}:
+        kept = [t for (x, t), d in docs.items() if x == lang and d >= least]
+        sources = [s for x, s in groups if x == lang]
+        share = {}
+        for s in [*sources, None]:
+            total = sum(n[lang, s, t] for t in kept)
+            share[s] = {t: 1 + 10**9 * (n[lang, s, t] + 2) // (total + 2 * len(kept)) for t in kept}
+
+        def f(p, q):
+            return (p - q) ** 2 // (p + q)
+
+        for s in sources:
+            pairs = sorted((-sum(f(share[s][t], share[o][t]) for t in kept), o.encode(), o) for o in sources if o != s)
+            out += [(lang, s, "pair", o, -v, k + 1) for k, (v, _, o) in enumerate(pairs)]
+            own = [t for t in kept if n[lang, s, t] and share[s][t] > share[None][t]]
+            best = sorted((-f(share[s][t], share[None][t]), t.encode(), t) for t in own)[:top]
+            out += [(lang, s, "term", t, -v, k + 1) for k, (v, _, t) in enumerate(best)]
+    return sorted(out)
+
+
+def _audited(spark, rows, **limits):
+    table = spark.createDataFrame([(*r, "t", 1, "v", "p") for r in rows], TEXTS).repartition(3)
+    return sorted(map(tuple, divergence.audit(table, **limits).collect()))
+
+
+def _corpus(seed, size):
+    draw = random.Random(seed)
+    words = [f"{'abcdefgh' * (k % 3)}{chr(97 + k % 26)}{'é' * (k % 2)}{'x' * (k % 11)}" for k in range(60)]
+    words += ["Same", "SAME", "ÀB", "àb", "文字", "a_b", "don't", "x" * 40, "x" * 41, "x" * 48, "x" * 8, "x" * 16]
+    rows = []
+    for _ in range(size):
+        text = draw.choice([" ", ", ", "1"]).join(draw.choices(words, k=draw.randrange(30)))
+        rows.append((text, draw.choice(["en", "de", None, "zz"]), draw.choice(["a", "b", "c", None, "é", "Z"])))
+    return rows
+
+
+def test_divergence_against_plain(spark):
+    rows = _corpus(1, 300)
+    rows += [(None, "en", "a"), ("", "en", "empty"), ("123 !", "fr", "only"), (None, "fr", "other"), (None, None, None)]
+    rows += [("same same words here", "en", "a")] * 40 + [("tie one", "it", s) for s in "abcd" for _ in range(10)]
+    assert _audited(spark, rows) == _plain_audit(rows)
+    assert _audited(spark, rows, least=1, top=3) == _plain_audit(rows, 1, 3)
+
+
+def test_divergence_in_small_tiles(spark, monkeypatch):
+    for name, value in {"TILE": 2, "BLOCK_ROWS": 7, "CELLS": 5, "SLICE_BYTES": 400, "MAX_BROADCAST": 0}.items():
+        monkeypatch.setattr(divergence, name, value)
+    rows = _corpus(2, 120)
+    assert _audited(spark, rows, least=2) == _plain_audit(rows, 2)
+
+
+def test_long_documents_count_once(monkeypatch):
+    monkeypatch.setattr(divergence, "SLICE_BYTES", 50)
+    text = " ".join(random.Random(4).choices(["one", "two", "three", "é" * 60, "y" * 130], k=300))
+    batch = pa.record_batch([pa.array([text.encode()]), pa.array(["en"]), pa.array(["s"])], ["text", "lang", "source"])
+    got = divergence.count_slice(batch)
+    plain = Counter(_terms(text))
+    assert dict(zip([t.decode() for t in got["term"].to_pylist()], got["n"].to_pylist(), strict=True)) == dict(plain)
+    assert set(got["docs"].to_pylist()) == {1}
+
+
+@given(st.lists(st.text("abé", min_size=1, max_size=30), max_size=60))
+@settings(max_examples=60, deadline=None)
+def test_pointers_are_sorted(terms):
+    data = np.frombuffer(" ".join(terms).encode(), np.uint8)
+    lengths = np.array([len(t.encode()) for t in terms], np.int64)
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    order, fresh = divergence.sort_pointers(data, starts, starts + lengths)
+    expected = sorted(range(len(terms)), key=lambda k: terms[k].encode())
+    assert order.tolist() == expected
+    assert fresh.tolist() == [k == 0 or terms[expected[k]] != terms[expected[k - 1]] for k in range(len(terms))]
+
+
+def test_no_rows_to_audit(spark):
+    empty = spark.createDataFrame([], TEXTS)
+    assert divergence.audit(empty).collect() == []
+
+
+def test_large_counts_stay_exact(spark):
+    df = spark.createDataFrame([(9_000_000_000_000, 30_000_000_000_001, 7)], "n long, total long, V long")
+    got = df.select(divergence._share("n", "total")).first()[0]
+    assert got == 1 + 10**9 * 9_000_000_000_002 // (30_000_000_000_001 + 14)
