@@ -9,7 +9,8 @@ the few starts a power of two back are looked up.  What remains at the end of a
 powers of two, so it needs no padding either.
 
 A partition is worked off in stretches of ``STRETCH`` ids; the last windows of a stretch are decided
-again with the next, so memory does not grow with the partition.  Documents keep the table's order, no
+again with the next, so memory does not grow with the partition, and the end of a stretch inside a document is neither a
+free cut nor the end of a piece.  Documents keep the table's order, no
 rows are shuffled, and a sequence never spans partitions.
 
 Defined cases: a null text is empty and has the end id alone; repeated rows are packed as rows of their
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from keyhound.llm import tokens
+from keyhound.llm import encoding, tokens
 
 STRETCH = 1 << 19
 GRID = 32
@@ -39,7 +40,7 @@ _KEPT_BACK = 6
 @cache
 def _sentence_ends(path: str) -> np.ndarray:
     """For each id whether its text ends a sentence or a line."""
-    tokenizer = tokens.load(path)
+    tokenizer = encoding.load(path)
     vocabulary = tokenizer.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     for text, number in vocabulary.items():
@@ -47,14 +48,16 @@ def _sentence_ends(path: str) -> np.ndarray:
     return ends
 
 
-def cuts(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, size: int) -> list[int]:
-    """Ends of the windows, the last of them ``len(ids)``."""
+def cuts(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, size: int, last: bool = True) -> list[int]:
+    """Ends of the windows, the last of them ``len(ids)``; or, if more ids follow, the cheapest in reach of it."""
     total = len(ids)
     price = np.full(total + 1, np.inf)
     price[::GRID] = INSIDE
     price[np.flatnonzero(sentence[ids]) + 1] = SENTENCE
     price[doc_ends] = 0.0
-    price[0] = price[total] = 0.0
+    price[0] = 0.0
+    if last:
+        price[total] = 0.0
     places = np.flatnonzero(np.isfinite(price))
     number = np.full(total + 1, -1, np.int64)
     number[places] = np.arange(len(places))
@@ -80,6 +83,9 @@ def cuts(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, size: int)
             queue.pop()
         queue.append((key, end, j))
     out, j = [], len(at) - 1
+    if not last:
+        near = [k for k in range(len(at)) if at[k] > total - size] or [j]
+        j = min(near, key=lambda k: (best[k], -k))
     while j > 0:
         out.append(at[j])
         j = origin[j]
@@ -95,20 +101,21 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 0, size: int = 1024,
 
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, on demand, ``ids``.
     """
-    tail = b"" if end is None else np.array([end], np.uint32).tobytes()
+    tail = np.zeros(0, np.int32) if end is None else np.array([end], np.int32)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, sentence = tokens.encoder(tokenizer), _sentence_ends(tokenizer)
+        encoder, sentence = encoding.encoder(tokenizer), _sentence_ends(tokenizer)
         sequence = TaskContext.get().partitionId() << 32
-        held: list[tuple] = []  # doc_id, doc_tokens, start, ids
+        held: list[tuple] = []  # doc_id, doc_tokens, start, ids: a document, or a stretch of a long one
         waiting = 0
 
         def settle(last: bool) -> pa.RecordBatch:
             nonlocal held, waiting, sequence
             stream = np.concatenate([x[3] for x in held])
             doc_ends = np.cumsum([len(x[3]) for x in held])
-            ends = cuts(stream, doc_ends, sentence, size)
+            whole = np.array([start + len(ids) == total for _, total, start, ids in held])
+            ends = cuts(stream, doc_ends[whole], sentence, size, last)
             if last:
                 begin = ends[-2] if len(ends) > 1 else 0
                 rest = len(stream) - begin
@@ -119,7 +126,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 0, size: int = 1024,
             bounds = np.array([0, *ends], np.int64)
             stop = int(bounds[-1])
             doc_starts = doc_ends - np.array([len(x[3]) for x in held])
-            edges = np.union1d(bounds, doc_starts[doc_starts < stop])
+            begins = doc_starts[np.array([x[2] == 0 for x in held])]
+            edges = np.union1d(bounds, begins[begins < stop])
             first, final = edges[:-1], edges[1:]
             doc = np.searchsorted(doc_ends, first, "right")
             window = np.searchsorted(bounds, first, "right") - 1
@@ -137,7 +145,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 0, size: int = 1024,
             ]
             if with_ids:
                 offsets = pa.array(np.append(first, stop).astype(np.int32))
-                columns.append(pa.ListArray.from_arrays(offsets, pa.array(stream[:stop].astype(np.int32))))
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(stream[:stop])))
             sequence += len(ends)
             rest = []
             for k in range(int(np.searchsorted(doc_ends, stop, "right")), len(held)):
@@ -150,10 +158,11 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 0, size: int = 1024,
         for batch in batches:
             key = batch.schema.field("doc_id").type
             for rows, texts in tokens.slices(batch):
-                for name, raw in zip(rows.column("doc_id").to_pylist(), ids_of(texts), strict=True):
-                    ids = np.frombuffer(raw + tail, np.uint32)
-                    for k in range(0, len(ids), STRETCH):
-                        held.append((name, len(ids), k, ids[k : k + STRETCH]))
+                found, offsets = encoder.encode(texts)
+                for k, name in enumerate(rows.column("doc_id").to_pylist()):
+                    ids = np.concatenate([found[offsets[k] : offsets[k + 1]], tail])
+                    for at in range(0, len(ids), STRETCH):
+                        held.append((name, len(ids), at, ids[at : at + STRETCH]))
                         waiting += len(held[-1][3])
                         if waiting >= STRETCH:
                             yield settle(False)

@@ -1,9 +1,6 @@
 """Token ids of whole texts, written as Parquet list columns and read back in part or whole.
 
-``encoder`` gives the ids that the tokenizers library gives for a whole text.  The vocabulary's
-pre-tokenizer always breaks before a blank and around a line end that stand between two other signs, so a
-text falls into parts whose ids do not depend on each other.  Parts are remembered (up to twice ``CACHED`` per worker, the longest unused go first) and
-unknown ones are encoded many at a time.
+Ids are those that the tokenizers library gives for a whole text (see ``encoding``).
 
 Files hold one row per document in ascending id order: ``doc_id``, ``n_tokens``, ``part`` and
 ``part_start`` (delta encoding) and ``ids`` (dictionary encoding: a vocabulary fits one dictionary page),
@@ -16,11 +13,8 @@ ids come first; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from collections.abc import Callable, Iterator
-from functools import cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,113 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-CACHED = 500_000
+from keyhound.llm import encoding
+
 GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2_000
 BROADCAST_FILES = 100_000
-_JOINED = 24
-_HEAD = "\0"
-_SIGNS = frozenset(".,;:!?")
-_ODD = ["  ", " \n", "\n ", "\n\n", _HEAD, *(x for x in map(chr, range(0x3001)) if x.isspace() and x not in " \n")]
-_FREE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ANY_SPACE = re.compile(r"\s").search
-
-
-@cache
-def load(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def _split(text: str, odd: bool) -> list[str]:
-    """Parts of a text.  ``_HEAD`` marks the first and those that follow a line end, which is a part too.
-
-    Parts that stand beside other white space than single blanks and line ends stay together.
-    """
-    if odd:
-        parts = _FREE_SPACE.split(text)
-        parts[0] = _HEAD + parts[0]
-        return parts
-    return (_HEAD + text).replace("\n", " \n " + _HEAD).split(" ")
-
-
-def _text(part: str) -> str:
-    return part[1:] if part[:1] == _HEAD else " " + part
-
-
-def _encode_parts(tokenizer, parts: set[str], known: dict[str, bytes], newline: int, spaces: bool) -> None:
-    """Fill ``known``: plain parts as lines of short texts, cut at the line ends, the others one by one.
-
-    A word and one sign after it never share a token, so only the word is encoded.
-    """
-    composed = [x for x in parts if x[-1:] in _SIGNS and x[:-1].lstrip(_HEAD).isalpha()]
-    stems = {x[:-1] for x in composed}
-    parts = parts.difference(composed).union([x for x in stems if x not in known])
-    plain = [x for x in parts if x and x != _HEAD]
-    if spaces:
-        plain = [x for x in plain if not _ANY_SPACE(x) and x.rfind(_HEAD) < 1]
-    groups = [plain[k : k + _JOINED] for k in range(0, len(plain), _JOINED)]
-    lines = tokenizer.encode_batch_fast(["\n".join(map(_text, x)) for x in groups], add_special_tokens=False)
-    stream: list[int] = []
-    for line in lines:
-        stream += line.ids
-        stream.append(newline)
-    ids = np.array(stream, np.uint32)
-    ends = np.flatnonzero(ids == newline)
-    if newline >= 0 and len(ends) == len(plain):
-        raw, start = ids.tobytes(), 0
-        for x, end in zip(plain, (ends * 4).tolist(), strict=True):
-            known[x] = raw[start:end]
-            start = end + 4
-    rest = [x for x in parts if x not in known]
-    for x, found in zip(rest, tokenizer.encode_batch_fast([*map(_text, rest)], add_special_tokens=False), strict=True):
-        known[x] = np.array(found.ids, np.uint32).tobytes()
-    for x in composed:
-        sign = _HEAD + x[-1]
-        if sign not in known:
-            known[sign] = np.array(tokenizer.encode(x[-1], add_special_tokens=False).ids, np.uint32).tobytes()
-        known[x] = known[x[:-1]] + known[sign]
-
-
-@cache
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids as little-endian unsigned 32-bit integers."""
-    tokenizer = load(path)
-    newline = tokenizer.encode("\n", add_special_tokens=False).ids
-    end_of_line = np.array(newline, np.uint32).tobytes()
-    newline = newline[0] if len(newline) == 1 else -1
-    store: list[dict[str, bytes]] = [{"\n": end_of_line}, {}]  # parts in use, and those used before
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(store[0]) > CACHED:
-            store[:] = [{"\n": end_of_line}, store[0]]
-        known, before = store
-        odd = [any(x in text for x in _ODD) for text in texts]
-        split = [_split(x, y) for x, y in zip(texts, odd, strict=True)]
-        found = [list(map(known.get, x)) for x in split]
-        new: set[str] = set()
-        for parts, ids in zip(split, found, strict=True):
-            if None in ids:
-                new.update([x for x, y in zip(parts, ids, strict=True) if y is None])
-        again = [x for x in new if x in before]
-        known.update([(x, before[x]) for x in again])
-        new.difference_update(again)
-        if new:
-            spaces = any(odd)
-            _encode_parts(tokenizer, new, known, newline, spaces)
-        out = []
-        for parts, ids in zip(split, found, strict=True):
-            out.append(b"".join([known[x] if y is None else y for x, y in zip(parts, ids, strict=True)] if None in ids else ids))
-        return out
-
-    return encode
-
-
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Row slices with the texts of each, about ``limit`` characters together; null is empty."""
-    texts = [x or "" for x in batch.column(column).to_pylist()]
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Row slices with the texts of each, about ``limit`` bytes together; null is empty."""
+    texts = [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
     row = size = 0
     for k, text in enumerate(texts):
         size += len(text)
@@ -145,28 +42,27 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) ->
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int | None = None) -> None:
     """Encode ``text`` of all rows and write them in ascending ``doc_id`` order."""
-    tail = b"" if end is None else np.array([end], np.uint32).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, start = encoding.encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows, texts in slices(batch):
-                ids = [x + tail for x in ids_of(texts)]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(counts)
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+                ids, offsets = encoder.encode(texts)
+                if end is not None:
+                    ids = np.insert(ids, offsets[1:], end)
+                    offsets = offsets + np.arange(len(offsets))
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.record_batch(
                     [
                         rows.column("doc_id"),
-                        pa.array(counts),
-                        pa.array(np.full(len(counts), part, np.int32)),
-                        pa.array(ends - counts + start),
+                        pa.array(np.diff(offsets)),
+                        pa.array(np.full(len(texts), part, np.int32)),
+                        pa.array(offsets[:-1] + start),
                         lists,
                     ],
                     ["doc_id", "n_tokens", "part", "part_start", "ids"],
                 )
-                start += int(ends[-1])
+                start += int(offsets[-1])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -1,16 +1,19 @@
 """Joins, repeats, decontamination, tokens, packing, fingerprints and chat against brute force."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from keyhound.llm import chat, decontaminate, imatch, ngram_join, packing, repeats, tokens
+from keyhound.llm import chat, decontaminate, encoding, imatch, ngram_join, packing, repeats, tokens
 from keyhound.llm import queries as llm
 from keyhound.session import scratch_path
 
@@ -197,13 +200,55 @@ def test_clean_drops_contaminated_rows_only(spark):
     assert decontaminate.clean(docs, bench.where("false")).count() == 4
 
 
+def same_ids(texts):
+    encoder = encoding.Encoder(llm.vocabulary())
+    ids, offsets = encoder.encode([x.encode() for x in texts])
+    plain = [x.ids for x in encoder.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+    for k, (text, wanted) in enumerate(zip(texts, plain, strict=True)):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == wanted, repr(text[:200])
+    return encoder
+
+
+SIGNS = [" ", "  ", "\n", "\r\n", "\t", "a", "The", "é", "1", "23", "'s", "'", "''", "'S", ".", "!?", "(", " ", "　", "\u0085"]
+SIGNS += ["\x1c", "᠎", "​", " ", " ", "日本", "😀", "<|endoftext|>", "<|", "|>", "-", "\x00", "internationalization", "x" * 17]
+
+
 def test_encoder_equals_the_library():
     draw = random.Random(6)
-    encode, plain = tokens.encoder(llm.vocabulary()), tokens.load(llm.vocabulary())
-    signs = [" ", "  ", "\n", "\t", "a", "The", "é", "1", "23", "'s", ".", "!?", " ", " ", "\u0085", "\x1c", "日本", "<|endoftext|>", "-"]
-    texts = ["", " ", "\n", *("".join(draw.choice(signs) for _ in range(draw.randint(1, 30))) for _ in range(3000))]
-    for text, ids in zip(texts, encode(texts), strict=True):
-        assert np.frombuffer(ids, np.uint32).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    same_ids(["", " ", "\n", *("".join(draw.choice(SIGNS) for _ in range(draw.randint(1, 30))) for _ in range(6000))])
+
+
+def test_encoder_on_texts_without_blanks():
+    draw = random.Random(8)
+    han = "".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(200_000))
+    code = "".join(draw.choices("abcdefXYZ0123456789+/", k=5_000_000))
+    same_ids(["a" * 200_000, han, code, "x " * 300_000, " " * 100_000, "\n" * 50_000 + "end", "é" * 50_000])
+
+
+def test_encoder_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(encoding, "TABLE_PARTS", 1 << 9)
+    monkeypatch.setattr(encoding, "STORE_BYTES", 20_000)
+    draw = random.Random(9)
+    texts = [" ".join(str(draw.randrange(10**k)) + "w" * draw.randrange(40) for k in draw.choices(range(1, 30), k=60)) for _ in range(300)]
+    encoder = encoding.Encoder(llm.vocabulary())
+    for k in range(0, 300, 10):
+        encoder.encode([x.encode() for x in texts[k : k + 10]])
+        assert encoder.table.parts <= 1 << 9 and encoder.longer_bytes <= 20_000 + 600
+    same_ids(texts)
+    lines = [("字" * 500 + str(k)).encode() for k in range(200)]
+    before = encoder.longer_bytes
+    encoder.encode(lines)
+    assert encoder.longer_bytes - before < 2_000  # long parts are not remembered
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    settings = json.loads(open(llm.vocabulary(), encoding="utf-8").read())
+    settings["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(settings), encoding="utf-8")
+    encoder = encoding.Encoder(str(path))
+    ids, _ = encoder.encode([b"one two"])
+    assert not encoder.byte_level and ids.tolist() == encoder.tokenizer.encode("one two", add_special_tokens=False).ids
 
 
 def token_docs():
@@ -217,7 +262,7 @@ def test_token_files_round_trip(spark):
     path = scratch_path(spark, "test-tokens")
     tokens.write_tokens(docs_of(spark, rows), path, llm.vocabulary(), end=2)
     got = sorted(tokens.read_tokens(spark, path).collect(), key=lambda r: r["start"])
-    plain, start = tokens.load(llm.vocabulary()), 0
+    plain, start = encoding.load(llm.vocabulary()), 0
     wanted = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     for row, (name, text) in zip(got, wanted, strict=True):
         ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
@@ -232,6 +277,32 @@ def test_token_files_round_trip(spark):
     assert tokens.with_crc(tokens.read_tokens(spark, empty)).count() == 0
 
 
+def test_token_file_layout(spark, monkeypatch):
+    """Dictionary and delta encodings, several row groups, page indexes, and reads that touch few of them."""
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 1 << 16)
+    monkeypatch.setattr(tokens, "PAGE_ROWS", 50)
+    rows = [(k, prose(random.Random(k), 40)) for k in range(4_000)]
+    path = scratch_path(spark, "test-tokens")
+    tokens.write_tokens(docs_of(spark, rows).coalesce(1), path, llm.vocabulary(), end=2)
+    files = [x for x in Path(path).glob("*.parquet")]
+    groups = [(f, g) for f in files for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert len(groups) > len(files)
+    for f, g in groups:
+        group = pq.ParquetFile(f).metadata.row_group(g)
+        columns = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
+        ids = next(x for name, x in columns.items() if name.startswith("ids"))
+        assert any("DICTIONARY" in e for e in ids.encodings)
+        for name in ("doc_id", "n_tokens", "part_start"):
+            assert "DELTA_BINARY_PACKED" in columns[name].encodings and not any("DICTIONARY" in e for e in columns[name].encodings)
+        assert all(x.has_offset_index and x.has_column_index for x in columns.values())
+    few = tokens.read_tokens(spark, path, 100, 109)
+    assert few.count() == 10
+    scan = spark.read.parquet(path).where("doc_id between 100 and 109")
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,100)" in scan._jdf.queryExecution().toString()
+    lengths = tokens.read_lengths(spark, path)._jdf.queryExecution().toString()
+    assert "ReadSchema" in lengths and "ids:array" not in lengths.split("== Physical Plan ==")[1]
+
+
 def test_free_cut_places_are_32_ids_apart():
     ids = np.zeros(192, np.int64)
     assert packing.cuts(ids, np.array([192]), np.zeros(1, bool), 96) == [96, 192]
@@ -242,7 +313,7 @@ def test_packing_keeps_every_id_once(spark, monkeypatch, stretch):
     monkeypatch.setattr(packing, "STRETCH", stretch)
     rows = [x for x in token_docs() if x[0] != 9]
     found = packing.pack(docs_of(spark, rows).coalesce(2), llm.vocabulary()).collect()
-    plain = tokens.load(llm.vocabulary())
+    plain = encoding.load(llm.vocabulary())
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in found:
         pieces[r["doc_id"]].append(r)
@@ -263,6 +334,15 @@ def test_packing_keeps_every_id_once(spark, monkeypatch, stretch):
     assert packing.pack(docs_of(spark, rows).where("false"), llm.vocabulary()).count() == 0
 
 
+def test_stretch_ends_are_no_free_cuts(spark, monkeypatch):
+    """One document of many stretches without sentence ends: pieces are whole windows, on the grid or at its end."""
+    monkeypatch.setattr(packing, "STRETCH", 8_000)
+    text = "word " * 30_000
+    found = sorted(packing.pack(docs_of(spark, [(1, text)]).coalesce(1), llm.vocabulary()).collect(), key=lambda r: r["start"])
+    assert [x for r in found for x in r["ids"]] == [*encoding.load(llm.vocabulary()).encode(text, add_special_tokens=False).ids, 0]
+    assert all(r["offset"] == 0 and r["length"] == 1024 for r in found[:-16])
+
+
 def test_cuts_are_the_cheapest():
     draw = np.random.default_rng(3)
     for _ in range(30):
