@@ -106,8 +106,11 @@ def keep_scannable(kv: DataFrame, config: ScanConfig | None = None) -> DataFrame
     return drop_excluded(kv, config).filter(is_static(F.col("key"), F.col("value")))
 
 
-def drop_excluded(kv: DataFrame, config: ScanConfig | None = None) -> DataFrame:
-    """Pairs no exclusion pattern hits.  Patterns that do not compile are left out."""
+def drop_excluded(kv: DataFrame, config: ScanConfig | None = None, always: str | None = None) -> DataFrame:
+    """Pairs no exclusion pattern hits.  Patterns that do not compile are left out.
+
+    Rows with the flag in the column ``always`` stay.
+    """
     if config is None:
         return kv
     lists = (config.exclude_keys, config.exclude_values, config.exclude_paths)
@@ -116,26 +119,40 @@ def drop_excluded(kv: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     if not (keys or values or paths):
         return kv
     columns = (F.col("key"), F.col("value"), F.col("kv_path"))
-    return kv.filter(~is_excluded(*columns, keys, values, paths))
+    kept = ~is_excluded(*columns, keys, values, paths)
+    return kv.filter(F.col(always) | kept if always else kept)
 
 
 def match(
-    kv: DataFrame, rules: Rules, mode: str = "first", config: ScanConfig | None = None
+    kv: DataFrame,
+    rules: Rules,
+    mode: str = "first",
+    config: ScanConfig | None = None,
+    always: str | None = None,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """Pairs with the fields of the rule they match; pairs without a rule are dropped."""
+    """Pairs with the fields of the rule they match; pairs without a rule are dropped.
+
+    Rows with the flag in the column ``always`` pass untouched, with nulls for the rule.  ``carried`` columns are kept.
+    """
     if mode not in ("first", "all"):
         raise ValueError("mode is 'first' or 'all'")
     usable = usable_rules(kv, rules)
-    candidates = drop_excluded(kv.select(*KV_COLUMNS), config)
+    columns = [*KV_COLUMNS, *carried, *([always] if always else [])]
+    candidates = drop_excluded(kv.select(*columns), config, always)
+    passing = F.col(always) if always else F.lit(False)
     if not usable:
-        nothing = [F.lit("").alias(n) for n in RULE_FIELDS]
-        return candidates.filter(F.lit(False)).select("*", F.lit(0).alias("rule_order"), *nothing)
+        nothing = [F.lit(None).cast("string").alias(n) for n in RULE_FIELDS]
+        return candidates.filter(passing).select("*", F.lit(-1).alias("rule_order"), *nothing)
     # Unfolding an array computes what is in it once, here for all pairs and below for
     # those that fit; a filter on a computed column would compute it twice.
-    offered = candidates.select(*KV_COLUMNS, F.inline(F.array(_offers(usable, mode))))
+    offered = candidates.select(*columns, F.inline(F.array(_offers(usable, mode))))
+    fitting, orders = _fits_any(usable, mode), _orders(usable, mode)
+    if always:
+        fitting, orders = passing | fitting, F.when(passing, F.array(F.lit(-1))).otherwise(orders)
     return (
-        offered.filter(_fits_any(usable, mode))
-        .select(*KV_COLUMNS, F.explode(_orders(usable, mode)).alias("rule_order"))
+        offered.filter(fitting)
+        .select(*columns, F.explode(orders).alias("rule_order"))
         .select("*", *[_rule_field(usable, n).alias(n) for n in RULE_FIELDS])
     )
 

@@ -14,7 +14,8 @@ single node (embedded pairs, URIs) is columns again:
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -39,6 +40,8 @@ _NODE_ARROW = pa.schema(
 # A batch ends at either; a text column of a batch holds less than 2 GiB.
 _ROWS_PER_BATCH = 20_000
 _CHARS_PER_BATCH = 16_000_000
+_CHARS_PER_DOCUMENT = 500_000_000
+NODE_ARRAY = "ARRAY<STRUCT<kind: STRING, key: STRING, value: STRING, kv_path: STRING, line: INT>>"
 _STANDARD_TAG = "tag:yaml.org,2002:"
 _TEMPLATE_KEYS = ("AWSTemplateFormatVersion", "Resources")
 
@@ -325,6 +328,15 @@ def _read_document(fmt: str, clean: str, raw: str | None) -> list[Node]:
         return read_yaml(raw)
 
 
+def _nodes(fmt: str, clean: str, raw: str | None) -> list[Node]:
+    """Nodes of a document, or the reason why there are none."""
+    try:
+        return _read_document(fmt, clean, raw)
+    except (yaml.YAMLError, expat.ExpatError, ValueError, RecursionError) as error:
+        # The reason only: parser messages quote the text, which may be a secret.
+        return [("error", "", type(error).__name__, "", 0)]
+
+
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     held = 0
@@ -332,12 +344,7 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         columns = [batch[n] for n in ("path", "format", "clean", "raw")]
         for scalars in zip(*columns):
             path, fmt, clean, raw = (x.as_py() for x in scalars)
-            try:
-                nodes = _read_document(fmt, clean or "", raw)
-            except (yaml.YAMLError, expat.ExpatError, ValueError, RecursionError) as error:
-                # The reason only: parser messages quote the text, which may be a secret.
-                nodes = [("error", "", type(error).__name__, "", 0)]
-            for node in nodes:
+            for node in _nodes(fmt, clean or "", raw):
                 rows.append((path, fmt, *node))
                 held += len(path or "") + sum(len(part) for part in node[:-1])
                 if len(rows) >= _ROWS_PER_BATCH or held >= _CHARS_PER_BATCH:
@@ -354,25 +361,72 @@ def _node_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _read_arrays(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """A list of nodes per document, and null where there is no document.  Lists are handed over in small batches."""
+    lists: list[list[Node] | None] = []
+    held = 0
+    for formats, cleans, raws in batches:
+        for fmt, clean, raw in zip(formats, cleans, raws):
+            nodes = _nodes(fmt.as_py(), clean.as_py() or "", raw.as_py()) if fmt.is_valid else None
+            size = sum(len(part) for node in nodes or () for part in node[:-1])
+            if size > _CHARS_PER_DOCUMENT:
+                nodes, size = [("error", "", "TreeTooLarge", "", 0)], 0
+            if lists and held + size >= _CHARS_PER_BATCH:
+                yield _node_lists(lists)
+                lists, held = [], 0
+            lists.append(nodes)
+            held += size
+        if lists:
+            yield _node_lists(lists)
+            lists, held = [], 0
+
+
+def _node_lists(lists: list[list[Node] | None]) -> pa.Array:
+    flat = [node for nodes in lists for node in nodes or ()]
+    columns = list(zip(*flat)) or [()] * 5
+    parts = [pa.array(c, f.type) for c, f in zip(columns, list(_NODE_ARROW)[2:])]
+    sizes = [0 if nodes is None else len(nodes) for nodes in lists]
+    offsets = pa.array([0, *accumulate(sizes)], pa.int32())
+    missing = pa.array([nodes is None for nodes in lists])
+    values = pa.StructArray.from_arrays(parts, [f.name for f in list(_NODE_ARROW)[2:]])
+    return pa.ListArray.from_arrays(offsets, values, mask=missing)
+
+
 # --- node table → pairs -----------------------------------------------------
 
 
+def _clean(text: Column) -> Column:
+    is_yaml, is_json = F.col("format") == "yaml", F.col("format") == "json"
+    return F.when(is_yaml, clean_yaml(text)).when(is_json, clean_json(text)).otherwise(text)
+
+
 def read_trees(files: DataFrame) -> DataFrame:
     """The node table of all YAML, JSON and XML rows of ``path, format, content``."""
     text = text_of(files)
-    is_yaml, is_json = F.col("format") == "yaml", F.col("format") == "json"
     documents = files.filter(F.col("format").isin(TREE_FORMATS)).select(
-        "path",
-        "format",
-        F.when(is_yaml, clean_yaml(text))
-        .when(is_json, clean_json(text))
-        .otherwise(text)
-        .alias("clean"),
-        F.when(is_yaml, text).alias("raw"),
+        "path", "format", _clean(text).alias("clean"), F.when(F.col("format") == "yaml", text).alias("raw")
     )
     return documents.mapInArrow(_read_batches, NODE_SCHEMA)
 
 
+def node_array(files: DataFrame, formats: Sequence[str] = TREE_FORMATS) -> Column:
+    """The nodes of a row's document, as an array; null for other formats, whose content never leaves the JVM.
+
+    A document whose nodes hold more than ``_CHARS_PER_DOCUMENT`` characters has an error instead: a
+    row of Spark takes no more than 2 GiB.
+    """
+    text, fmt = text_of(files), F.col("format")
+    is_tree = fmt.isin(list(formats)) & F.col("content").isNotNull()
+
+    def read(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return _read_arrays(batches)
+
+    function = F.arrow_udf(read, NODE_ARRAY)
+    return function(
+        F.when(is_tree, fmt), F.when(is_tree, _clean(text)), F.when(is_tree & (fmt == "yaml"), text)
+    )
+
+
 def embedded_items(text: Column, kv_path: Column) -> Column:
     """``k=v`` inside a scalar, split at the first ``=``."""
     return F.when(
@@ -382,10 +436,12 @@ def embedded_items(text: Column, kv_path: Column) -> Column:
 
 
 @remembered
-def _node_items() -> Column:
-    kind, value, kv_path = F.col("kind"), F.col("value"), F.col("kv_path")
+def node_items(node: str = "") -> Column:
+    """Pairs of the node in a column, or in the columns of a node table."""
+    at = f"{node}." if node else ""
+    kind, value, kv_path = F.col(f"{at}kind"), F.col(f"{at}value"), F.col(f"{at}kv_path")
     return (
-        F.when(kind == "pair", F.array(item(F.col("key"), value, kv_path)))
+        F.when(kind == "pair", F.array(item(F.col(f"{at}key"), value, kv_path)))
         .when(kind == "embed", embedded_items(value, kv_path))
         .when(kind == "uri", uri_items(value, kv_path))
         .otherwise(no_items())
@@ -394,7 +450,7 @@ def _node_items() -> Column:
 
 def tree_kv(nodes: DataFrame) -> DataFrame:
     """Pairs of a node table."""
-    return nodes.select("file_path", "line", F.inline(_node_items())).select(
+    return nodes.select("file_path", "line", F.inline(node_items())).select(
         "file_path", "key", "value", "kv_path", "line"
     )
 

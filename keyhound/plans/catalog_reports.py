@@ -24,7 +24,7 @@ from keyhound.plans.catalog_match import (
     matches_sql,
 )
 from keyhound.plans.catalog_sources import write_files
-from keyhound.plans.scan import Extractors, extract, parse_errors, scan, scan_corpus
+from keyhound.plans.scan import Extractors, extract, parse_errors, scan, scan_corpus, scan_corpus_outputs
 from keyhound.session import scratch_path, spread, written
 from keyhound.sources.config import load_config
 from keyhound.sources.rules import read_rules
@@ -43,12 +43,10 @@ def everything(spark, sf) -> DataFrame:
     documents = files_of(
         table(spark, sf, "documents"), "'documents/' || CAST(doc_id AS STRING) || '.py'", "text"
     )
-    pages = files_of(
-        table(spark, sf, "pages"), "'pages/' || CAST(page_id AS STRING) || '.html'", "html"
-    )
-    addresses = files_of(
-        table(spark, sf, "pages"), "'urls/' || CAST(page_id AS STRING) || '.txt'", "url"
-    )
+    # Two files of each page, from one read.
+    both = "inline(array(struct('pages/' || CAST(page_id AS STRING) || '.html' AS path, html AS text), " \
+        "struct('urls/' || CAST(page_id AS STRING) || '.txt' AS path, url AS text)))"
+    pages = files_of(table(spark, sf, "pages").selectExpr(both), "path", "text")
     turns = files_of(
         table(spark, sf, "conversations"),
         "'chat/' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) || '.txt'",
@@ -57,7 +55,7 @@ def everything(spark, sf) -> DataFrame:
     properties = files_of(
         table(spark, sf, "events"), "'events/' || CAST(event_id AS STRING) || '.json'", "props"
     )
-    files = documents.unionByName(pages).unionByName(addresses).unionByName(turns)
+    files = documents.unionByName(pages).unionByName(turns)
     return spread(files.unionByName(properties))
 
 
@@ -181,13 +179,66 @@ def scan_corpus_settings(spark, sf):
     root = scratch_path(spark, "settings")
     for name, text in parts:
         write_files(built_files(customers, f"{folder} || '{name}'", text), root)
-    rc = "'exclude:' || chr(10) || '  files: [skipped]'"
-    write_files(built_files(customers.limit(1), "'.keyhoundrc'", rc), root)
+    write_files(spark.createDataFrame([(".keyhoundrc", "exclude:\n  files: [skipped]")], "path STRING, content STRING"), root)
     config = load_config(root=root)
     found = scan_corpus(spark, root, config=config)
     return found.withColumn("FilePath", F.substring_index("FilePath", "/", -1))
 
 
+@query(
+    "scan_errors",
+    f"""SELECT 'finding' AS output, file_path AS name, rule_id AS what FROM ({matches_sql(
+        """SELECT CAST(c_custkey AS VARCHAR) || '.json' AS file_path, 'db_password' AS key, c_name || '#' AS value,
+                  'db_password' AS kv_path, CAST(1 AS INTEGER) AS line
+           FROM customer WHERE c_mktsegment <> 'BUILDING'
+           UNION ALL SELECT CAST(c_custkey AS VARCHAR) || '.json', 'file', CAST(c_custkey AS VARCHAR) || '.json', 'metadata', 0
+           FROM customer""")})
+        UNION ALL
+        SELECT 'error', CAST(c_custkey AS VARCHAR) || '.json', 'ParserError' FROM customer WHERE c_mktsegment = 'BUILDING'
+        UNION ALL
+        SELECT 'error', CAST(c_custkey AS VARCHAR) || '.xml', 'ValueError' FROM customer WHERE c_mktsegment = 'MACHINERY'
+        """,
+)
+def scan_errors(spark, sf):
+    """Findings and failures of a file tree, from one run over it."""
+    customers = table(spark, sf, "customer")
+    text = """CASE WHEN c_mktsegment = 'BUILDING' THEN '{broken: [' || c_name
+                   ELSE '{' || chr(34) || 'db_password' || chr(34) || ': ' || chr(34) || c_name || '#' || chr(34) || '}' END"""
+    root = scratch_path(spark, "errors")
+    write_files(built_files(customers, "CAST(c_custkey AS STRING) || '.json'", text), root)
+    broken = customers.where("c_mktsegment = 'MACHINERY'")
+    write_files(built_files(broken, "CAST(c_custkey AS STRING) || '.xml'", "'<a><b>' || c_name"), root)
+    hits, failures = scan_corpus_outputs(spark, root)
+    name = F.substring_index(F.col("FilePath"), "/", -1).alias("name")
+    return hits.select(F.lit("finding").alias("output"), name, F.col("RuleID").alias("what")).union(
+        failures.select(F.lit("error"), F.substring_index("file_path", "/", -1), "message")
+    )
+
+
+_LINES_PER_NATION = """SELECT CAST(c_nationkey AS VARCHAR) || '.properties' AS file_path,
+              'password_' || CAST(c_custkey AS VARCHAR) AS key, c_name || '!' AS value, 'properties' AS kv_path,
+              CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS INTEGER) AS line FROM customer"""
+
+
+@query(
+    "scan_files_in_ranges",
+    findings_sql(
+        f"""{_LINES_PER_NATION}
+            UNION ALL SELECT DISTINCT CAST(c_nationkey AS VARCHAR) || '.properties', 'file',
+                   CAST(c_nationkey AS VARCHAR) || '.properties', 'metadata', CAST(0 AS INTEGER) FROM customer"""
+    ),
+)
+def scan_files_in_ranges(spark, sf):
+    """Large files of a line format, read in ranges: line numbers are those of the whole file."""
+    line = F.expr("'password_' || CAST(c_custkey AS STRING) || '=' || c_name || '!'")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line")))), lambda x: x["line"])
+    files = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_join(lines, "\n").alias("content"))
+    root = scratch_path(spark, "ranges")
+    write_files(files.select(F.expr("CAST(c_nationkey AS STRING) || '.properties'").alias("path"), "content"), root)
+    found = scan_corpus(spark, root, range_bytes=1_000)
+    return found.withColumn("FilePath", F.substring_index("FilePath", "/", -1))
+
+
 @query(
     "scan_parse_errors",
     """SELECT CAST(c_custkey AS VARCHAR) || '.json' AS file_path, 'json' AS format

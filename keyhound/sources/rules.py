@@ -7,6 +7,7 @@ import os
 import re
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from keyhound.schemas import RULE_SCHEMA
@@ -118,7 +119,12 @@ def read_rules(folder: str = BUILTIN_RULES) -> list[Rule]:
     """
     filesystem, root = files.open_root(folder)
     rules: list[Rule] = []
-    for info in files.list_folder(filesystem, root):
+    try:
+        found = filesystem.get_file_info(fs.FileSelector(root, recursive=False))
+    except PermissionError:
+        log.warning("rules folder skipped, no permission: %s", root)
+        found = []
+    for info in sorted(found, key=lambda i: i.path):
         if not info.is_file or not info.path.endswith((".yaml", ".yml")):
             continue
         try:

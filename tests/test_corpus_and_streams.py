@@ -4,14 +4,27 @@ import errno
 import io
 import os
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from conftest import pairs
+from pyarrow import fs
 from pyspark.sql import functions as F
 
+from keyhound.operators import tree
 from keyhound.operators.dispatch import with_format
 from keyhound.operators.match import match
-from keyhound.plans.scan import Extractors, corpus_errors, extract, file_errors, parse_errors, scan
+from keyhound.plans.scan import (
+    Extractors,
+    corpus_errors,
+    extract,
+    file_errors,
+    parse_errors,
+    scan,
+    scan_corpus,
+    scan_corpus_outputs,
+)
 from keyhound.sources import corpus
 from keyhound.sources.corpus import _deal, list_corpus, read_corpus
 from keyhound.sources.rules import read_rules
@@ -75,6 +88,124 @@ def test_unreadable_folders_are_skipped(spark, tmp_path):
     assert list_corpus(spark, str(tmp_path)).count() == 1
 
 
+def test_a_wide_folder_is_dealt_out_by_names(spark, tmp_path, monkeypatch):
+    wide = tmp_path / "wide"
+    wide.mkdir()
+    for i in range(50_000):
+        os.close(os.open(wide / f"f{i}", os.O_CREAT))
+    (wide / "inner").mkdir()
+    (wide / "inner" / "x").write_text("x")
+    monkeypatch.setattr(corpus, "WIDE_FOLDER", 1_000)
+    listing = corpus._Listing({"path": str(tmp_path), "shares": "16", "wide_folder": "1000"})
+    shares = listing.share_out()
+    assert all(len(s.found) <= 1_000 for s in shares) and sum(s.wide is not None for s in shares) == 16
+    sizes = [sum(1 for _ in listing.rows(s)) for s in shares]
+    assert sum(sizes) == 50_001 and max(sizes) < 2 * 50_000 / 16
+    tracemalloc.start()
+    assert sum(1 for s in shares[:2] for _ in listing.rows(s))
+    assert tracemalloc.get_traced_memory()[1] < 2 << 20
+    tracemalloc.stop()
+    found = list_corpus(spark, str(tmp_path))
+    assert found.count() == 50_001 and found.select("path").distinct().count() == 50_001
+
+
+def test_folders_that_cannot_be_listed_are_rows(tmp_path, monkeypatch):
+    for name in ("open", "closed", "open/closed"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "open" / "a").write_text("x")
+    real = os.scandir
+
+    def scandir(path):
+        if str(path).endswith("closed"):
+            raise PermissionError(path)
+        return real(path)
+
+    monkeypatch.setattr(os, "scandir", scandir)
+    for shares in ("1", "64"):
+        listing = corpus._Listing({"path": str(tmp_path), "shares": shares})
+        rows = sorted((os.path.relpath(p, tmp_path), problem) for s in listing.share_out() for p, _, problem, _ in listing.rows(s))
+        assert rows == [("closed", "PermissionError"), ("open/a", None), ("open/closed", "PermissionError")]
+
+
+def test_findings_and_errors_from_one_run(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"db_password": "geheim!"}')
+    (tmp_path / "b.json").write_text('{"db_password": ')
+    (tmp_path / "c.bin").write_text("not analysed")
+    os.mkdir(os.fsencode(tmp_path) + b"/d\xff.py")
+    root = str(tmp_path)
+    hits, errors = scan_corpus_outputs(spark, root)
+    assert pairs(hits, "RuleID", "Content", "LineNumber") == pairs(scan_corpus(spark, root), "RuleID", "Content", "LineNumber")
+    assert {(os.path.basename(r.file_path), r.format, r.message) for r in errors.collect()} == {
+        ("b.json", "json", "ParserError"), ("d\ufffd.py", None, "UnicodeDecodeError"),
+    }
+    kept, _ = scan_corpus_outputs(spark, root, rules=[])
+    assert kept.count() == 0
+    assert {r.message for r in corpus_errors(spark, root).collect()} == {"ParserError", "UnicodeDecodeError"}
+
+
+RANGED = {
+    "a.properties": "".join(f"password.{i}=value-{i}!\n" for i in range(200)),
+    "b.py": "\n".join(f"password_{i} = 'se{i}cret'" for i in range(150)) + "\r\n\r\n",
+    "c.conf": '<?xml version="1.0"?>\n<a>' + "".join(f"<password>p{i}!</password>\n" for i in range(100)) + "</a>",
+    "d.conf": "\n" * 300 + "password=at-the-end!",
+    "e.sh": "export A=1 \\\n B=2\n" * 100,
+    "f.txt": "http://u:pass" + "w" * 3_000 + "@h/ x\nhttp://u:second@h/\n",
+    "g.html": "<!-- password: abc123! -->" * 40,
+    "h.ini": "",
+}
+
+
+@pytest.mark.parametrize("size", [1, 64, 1_000])
+def test_ranges_give_the_rows_of_whole_files(spark, tmp_path, size):
+    for name, text in RANGED.items():
+        (tmp_path / name).write_text(text, newline="")
+    root = str(tmp_path)
+    whole = scan(read_corpus(spark, root), mode="all")
+    assert whole.count() > 400
+    ranged = scan_corpus(spark, root, mode="all", range_bytes=size)
+    assert pairs(ranged, *whole.columns) == pairs(whole, *whole.columns)
+
+
+def test_ranges_hold_the_lines_that_begin_in_them(tmp_path):
+    path = tmp_path / "f"
+    local = fs.LocalFileSystem()
+    for text in (b"", b"\n", b"a", b"a\nbb\n\nccc", b"\n\n\n", b"x" * 200_000 + b"\ny"):
+        path.write_bytes(text)
+        for size in (1, 2, 3, 70_000):
+            if len(text) // size > 1_000:
+                continue
+            parts = [corpus._read(local, str(path), k, min(k + size, len(text)))[0] for k in range(0, len(text), size)]
+            counts = [corpus._count_lines(local, str(path), k, min(k + size, len(text))) for k in range(0, len(text), size)]
+            assert b"".join(parts) == text and counts == [p.count(b"\n") for p in parts]
+            assert all(p.endswith(b"\n") for p in parts[:-1] if p and not text.endswith(p))
+
+
+def test_files_too_large_for_a_value_are_errors(tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "LARGEST_FILE", 10)
+    (tmp_path / "a").write_bytes(b"x" * 11)
+    (tmp_path / "b").write_bytes(b"x" * 10)
+    local = fs.LocalFileSystem()
+    assert corpus._read(local, str(tmp_path / "a")) == (None, corpus.TOO_LARGE)
+    assert corpus._read(local, str(tmp_path / "b")) == (b"x" * 10, None)
+
+
+def test_trees_too_large_for_a_row_are_errors(monkeypatch):
+    monkeypatch.setattr(tree, "_CHARS_PER_DOCUMENT", 40)
+    batch = (pa.array(["json", None, "json"]), pa.array(['{"a": "b"}', None, '{"a": "' + "x" * 50 + '"}']), pa.nulls(3, pa.string()))
+    (found,) = tree._read_arrays(iter([batch]))
+    assert [None if x is None else [(n["kind"], n["value"]) for n in x] for x in found.to_pylist()] == [
+        [("pair", "b")], None, [("error", "TreeTooLarge")],
+    ]
+
+
+def test_node_arrays_come_in_small_batches(monkeypatch):
+    monkeypatch.setattr(tree, "_CHARS_PER_BATCH", 30)
+    texts = ['{"a": "' + "x" * (k % 40) + '"}' for k in range(200)]
+    batch = (pa.array(["json"] * 200), pa.array(texts), pa.nulls(200, pa.string()))
+    found = list(tree._read_arrays(iter([batch, batch])))
+    assert len(found) > 100 and sum(map(len, found)) == 400
+
+
 @pytest.mark.parametrize(
     "name,fmt",
     [

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keyhound.operators.match import match
 from keyhound.plans import all_queries
-from keyhound.plans.scan import scan
+from keyhound.plans.scan import scan, scan_corpus
 from keyhound.sources.rules import read_rules
 from keyhound.sources.tables import files_from_table, filename_kv, kv_from_table
 
@@ -32,6 +32,23 @@ def test_a_scan_does_not_shuffle_or_broadcast(spark, tables):
         assert "Exchange" not in text and "Join" not in text
 
 
+def test_the_flagship_reads_every_table_once(spark, tables):
+    text = optimized(all_queries()["scan_everything"](spark, tables))
+    scans = re.findall(r"Relation \[([^\]]*)\] parquet", text)
+    assert len(scans) == 4, scans  # documents, pages, conversations, events
+    text = plan(all_queries()["scan_everything_findings"](spark, tables))
+    assert text.count("Exchange") == text.count("Exchange RoundRobinPartitioning") <= 1 and "Join" not in text
+
+
+def test_a_tree_is_listed_once_and_read_once(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"{k}.json").write_text('{"password": "abc!123"}')
+    text = plan(scan_corpus(spark, str(tmp_path)))
+    assert text.count("FileScan parquet") == 1 and "BatchScan corpus" not in text  # the listing, written once
+    assert text.count("MapInArrow read") == 1 and text.count("ArrowEvalPython") == 1
+    assert "Join" not in text and "Window" not in text
+
+
 def test_the_ratio_is_computed_once(spark, tables):
     kv = kv_from_table(
         spark.read.parquet(f"{tables}/orders.parquet"),
