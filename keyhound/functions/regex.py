@@ -91,23 +91,196 @@ def _class_at(pattern: str, start: int) -> tuple[str, int]:
     return pattern[start:], len(pattern)
 
 
-_NAMES = re.compile(
-    r"\\k[<'](?P<used>[A-Za-z_]\w*)[>']|\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?[<'](?P<named>[A-Za-z_]\w*)[>']",
-    re.DOTALL,
-)
+class PatternError(ValueError):
+    """The rule dialect, or Java, has no such pattern."""
 
 
-def java_group_names(pattern: str) -> str:
-    """Group names, and references to them, in ASCII letters and digits only, as Java asks."""
+@dataclass(frozen=True)
+class _Group:
+    """``(…)``: what opens it in Java, its name or number if it captures, and the sequences it chooses from."""
+
+    opening: str
+    name: str | int | None
+    choices: tuple
+
+
+@dataclass(frozen=True)
+class _Back:
+    """A reference to what a group has matched."""
+
+    name: str | int
 
-    def renamed(found: re.Match) -> str:
-        name = found["used"] or found["named"]
-        if not name:
-            return found[0]
-        plain = "".join(c if c.isascii() and c.isalnum() and c != "x" else f"x{ord(c):x}x" for c in name)
-        return f"\\k<g{plain}>" if found["used"] else f"(?<g{plain}>"
 
-    return _NAMES.sub(renamed, pattern)
+_FLAGS = "imnsx"
+_QUANTIFIER = re.compile(r"(?:[*+?]|\{\d+(?:,\d*)?\})\??")
+_INLINE = re.compile(r"\(\?([a-zA-Z]*)(?:-([a-zA-Z]*))?([:)])")
+_NAMED = re.compile(r"\(\?(?:<([^\W\d]\w*|[1-9]\d*)>|'([^\W\d]\w*|[1-9]\d*)')")
+_NAMED_BACK = re.compile(r"\\k(?:<(\w+)>|'(\w+)')")
+_ESCAPE = re.compile(r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|c[@-_a-z]|[pP]\{\^?\w+\}|0[0-7]{0,2}|[wWdDsSbBAZzGtnrfaev]|[^A-Za-z0-9_])")
+_CLASS_ESCAPES = {"\\b": "\\x08", "\\v": "\\x0B"}
+
+
+class _Parser:
+    """A pattern as a tree: sequences of Java text, groups and references.
+
+    ``m``, ``n`` and ``x`` are worked out here; ``i`` (with Unicode case) and ``s`` become flags of Java with the
+    same scope.  Named groups are numbered after the others, as the dialect does.
+    """
+
+    def __init__(self, pattern: str):
+        self.pattern, self.at = pattern, 0
+        self.plain, self.named = 0, []
+        self.tree = self.choices(frozenset())
+        if self.at < len(pattern):
+            raise PatternError("unbalanced )")
+
+    def choices(self, flags: frozenset) -> tuple:
+        """Sequences up to a closing bracket or the end.  Flags set on the way hold for the following ones too."""
+        found, sequence = [], []
+        while self.at < len(self.pattern) and self.pattern[self.at] != ")":
+            if self.pattern[self.at] == "|":
+                self.at += 1
+                found.append(tuple(sequence))
+                sequence = []
+            else:
+                flags = self.step(sequence, flags)
+        return (*found, tuple(sequence))
+
+    def step(self, sequence: list, flags: frozenset) -> frozenset:
+        pattern, char = self.pattern, self.pattern[self.at]
+        if "x" in flags and (char in " \t\n\r\f\v" or char == "#"):
+            end = pattern.find("\n", self.at) if char == "#" else self.at
+            self.at = len(pattern) if end < 0 else end + 1
+            return flags
+        if pattern.startswith("(?#", self.at):
+            end = pattern.find(")", self.at)
+            if end < 0:
+                raise PatternError("unterminated comment")
+            self.at = end + 1
+            return flags
+        if char == "(":
+            return self.group(sequence, flags)
+        quantifier = _QUANTIFIER.match(pattern, self.at)
+        if quantifier:
+            if not sequence or sequence[-1] in _UNREPEATABLE:
+                raise PatternError("nothing to repeat")
+            self.at = quantifier.end()
+            sequence += [quantifier[0], _REPEATED]
+            return flags
+        sequence.append(self.single(char, flags))
+        return flags
+
+    def single(self, char: str, flags: frozenset) -> str | _Back:
+        pattern = self.pattern
+        if char == "[":
+            text, self.at = _class_at(pattern, self.at)
+            return escape_class_syntax(_class_escapes(text))
+        if char != "\\":
+            self.at += 1
+            if "m" in flags and char in "^$":
+                return "(?:\\A|(?<=\\n))" if char == "^" else "(?=\\n|\\z)"
+            return "\\" + char if char in "{}" else char
+        named = _NAMED_BACK.match(pattern, self.at)
+        number = re.compile(r"\\([1-9]\d*)").match(pattern, self.at)
+        if named or number:
+            self.at = (named or number).end()
+            name = named[1] or named[2] if named else number[1]
+            return _Back(int(name) if name.isdigit() else name)
+        escape = _ESCAPE.match(pattern, self.at)
+        if not escape:
+            raise PatternError("unknown escape")
+        self.at = escape.end()
+        return {"\\v": "\\x0B", "\\0": "\\x00"}.get(escape[0], escape[0])
+
+    def group(self, sequence: list, flags: frozenset) -> frozenset:
+        pattern = self.pattern
+        inline, named = _INLINE.match(pattern, self.at), _NAMED.match(pattern, self.at)
+        inner, name = flags, None
+        if inline:
+            on, off = frozenset(inline[1].lower()), frozenset((inline[2] or "").lower())
+            if not (on | off) <= frozenset(_FLAGS):
+                raise PatternError("unknown flag")
+            inner = (flags | on) - off
+            opening = "(?" + _java_flags(on - off, off) + inline[3]
+            self.at = inline.end()
+            if inline[3] == ")":
+                if opening != "(?)":
+                    sequence += [opening, _FLAG]
+                return inner
+        elif named:
+            opening, name = "(", named[1] or named[2]
+            name = int(name) if name.isdigit() else name
+            self.at = named.end()
+            if name not in self.named:
+                self.named.append(name)
+        else:
+            special = next((x for x in ("(?=", "(?!", "(?<=", "(?<!", "(?>") if pattern.startswith(x, self.at)), None)
+            if special is None and pattern.startswith("(?", self.at):
+                raise PatternError("unknown group")
+            opening = special or ("(?:" if "n" in flags else "(")
+            self.at += len(special or "(")
+            if opening == "(":
+                self.plain += 1
+                name = self.plain
+        choices = self.choices(inner)
+        if self.at >= len(pattern):
+            raise PatternError("unbalanced (")
+        self.at += 1
+        sequence.append(_Group(opening, name, choices))
+        return flags
+
+
+#: Stands behind a quantifier, and behind flags: neither can be repeated.
+_REPEATED, _FLAG = "", "(?:)"
+_UNREPEATABLE = (_REPEATED, _FLAG)
+
+
+def _java_flags(on: frozenset, off: frozenset) -> str:
+    def known(flags: frozenset) -> str:
+        return ("iu" if "i" in flags else "") + ("s" if "s" in flags else "")
+
+    return known(on) + ("-" + known(off) if known(off) else "")
+
+
+def _class_escapes(text: str) -> str:
+    return re.sub(r"\\.", lambda m: _CLASS_ESCAPES.get(m[0], m[0]), text, flags=re.DOTALL)
+
+
+def translated(pattern: str) -> str:
+    """A pattern of the rule dialect as text for Java, flags with their scope."""
+    parser = _Parser(pattern)
+    order: list = []
+
+    def collect(choices: tuple) -> None:
+        for item in (x for sequence in choices for x in sequence):
+            if isinstance(item, _Group):
+                if item.name is not None:
+                    order.append(("named" if item.opening == "(" and item.name in parser.named else "plain", item.name))
+                collect(item.choices)
+
+    collect(parser.tree)
+    places: dict = {}
+    for place, (kind, name) in enumerate(order, 1):
+        if kind == "named" and name in places:
+            raise PatternError("a name for two groups")
+        # Names of one number share it; without names a number is the group's own.
+        places[name] = place
+    for k, name in enumerate((n for n in parser.named if isinstance(n, str)), parser.plain + 1):
+        places.setdefault(k, places[name])
+
+    def shown(choices: tuple) -> str:
+        return "|".join("".join(map(item_text, sequence)) for sequence in choices)
+
+    def item_text(item) -> str:
+        if isinstance(item, _Back):
+            if item.name not in places:
+                raise PatternError("reference to no group")
+            return f"(?:\\{places[item.name]})"
+        if isinstance(item, _Group):
+            return f"{item.opening}{shown(item.choices)})"
+        return item
+
+    return shown(parser.tree)
 
 
 def simplify_search(pattern: str) -> str:
@@ -150,33 +323,20 @@ def _outside_groups(pattern: str) -> str:
     return "".join(out)
 
 
-def unicode_case_from_here(pattern: str) -> str:
-    """Let ``(?i)`` inside a pattern hold from where it stands, for all letters."""
-    out, in_class, i = [], False, 0
-    while i < len(pattern):
-        if pattern[i] == "\\":
-            out.append(pattern[i : i + 2])
-            i += 2
-        elif not in_class and pattern.startswith("(?i)", i):
-            out.append("(?iu)")
-            i += 4
-        else:
-            in_class = pattern[i] != "]" if in_class else pattern[i] == "["
-            out.append(pattern[i])
-            i += 1
-    return "".join(out)
-
-
 def java_pattern(pattern: str, ignorecase: bool = False) -> str:
     """``(?d)`` makes ``.`` and ``$`` know only ``\\n``; ``U`` makes ``\\w \\d \\s`` Unicode."""
-    flags = "d"
-    if ignorecase or pattern.startswith("(?i)"):
-        flags += "iu"
-    elif "(?i)" in pattern:
-        pattern = unicode_case_from_here(pattern)
+    flags = "diu" if ignorecase else "d"
     if _UNICODE_CLASS.search(pattern):
         flags += "U"
-    return f"(?{flags})" + escape_class_syntax(java_group_names(subtract_classes(pattern)))
+    return f"(?{flags})" + translated(pattern)
+
+
+def java_search(pattern: str, ignorecase: bool = False) -> str:
+    """A Java pattern that is found in the same texts, without work that a search does not need."""
+    known = _LINEAR_FORMS.get(pattern.removeprefix("(?i)"))
+    if known is None:
+        return java_pattern(simplify_search(pattern), ignorecase)
+    return ("(?diuU)" if ignorecase or pattern.startswith("(?i)") else "(?dU)") + known  # Java's already
 
 
 @dataclass(frozen=True)
@@ -252,8 +412,7 @@ def search_tests(text: Column, pattern: str, ignorecase: bool = False) -> list[C
     if literal and not ignorecase:
         # `$` also matches before one final line feed.
         return [text.isin(literal.group(1), literal.group(1) + "\n")]
-    simple = simplify_search(pattern)
-    return [*needs(pattern, ignorecase).guards(text), text.rlike(java_pattern(simple, ignorecase))]
+    return [*needs(pattern, ignorecase).guards(text), text.rlike(java_search(pattern, ignorecase))]
 
 
 def search(text: Column, pattern: str, ignorecase: bool = False) -> Column:
@@ -263,8 +422,8 @@ def search(text: Column, pattern: str, ignorecase: bool = False) -> Column:
 
 def is_valid(spark: SparkSession, pattern: str, ignorecase: bool = False) -> bool:
     """True when Java accepts the pattern; checked on the driver, before any task runs."""
-    candidate = java_pattern(simplify_search(pattern), ignorecase)
     try:
+        candidate = java_search(pattern, ignorecase)
         spark.sql("SELECT 1").select(F.lit("").rlike(candidate)).collect()
     except Exception as error:  # the message carries the pattern, never scanned text
         log.warning("pattern ignored, it does not compile: %s (%s)", pattern, type(error).__name__)
@@ -279,11 +438,11 @@ def valid_patterns(spark: SparkSession, patterns: list[tuple[str, bool]]) -> set
     """The patterns Java accepts.  One probe covers all new ones in the usual case."""
     new = [p for p in dict.fromkeys(patterns) if p not in _known]
     if new:
-        probe = [
-            F.lit("").rlike(java_pattern(simplify_search(p), ic)).alias(f"p{i}")
-            for i, (p, ic) in enumerate(new)
-        ]
         try:
+            probe = [
+                F.lit("").rlike(java_search(p, ic)).alias(f"p{i}")
+                for i, (p, ic) in enumerate(new)
+            ]
             spark.sql("SELECT 1").select(*probe).collect()
             _known.update(dict.fromkeys(new, True))
         except Exception:

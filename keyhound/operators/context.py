@@ -14,6 +14,7 @@ from keyhound.fixed_values import (
     VERDICT_FALSE_POSITIVE,
     VERDICT_TRUE_POSITIVE,
 )
+from keyhound.session import written
 
 # A line is hot when it holds this many findings and more than one in HOT_SHARE of all:
 # by that definition there are never more than HOT_SHARE hot lines.
@@ -25,33 +26,48 @@ SALTS = 64
 MAX_BROADCAST_PATHS = 200_000
 
 
+def line_chunks(lines: DataFrame, width: int) -> DataFrame:
+    """``FilePath, chunk, rows``: ``width`` neighbouring lines each, in order."""
+    chunk = F.floor((F.col("line") - 1) / width).cast("int").alias("chunk")
+    rows = F.array_sort(F.collect_list(F.struct("line", "text"))).alias("rows")
+    return lines.groupBy(F.col("path").alias("FilePath"), chunk).agg(rows)
+
+
 def context_blocks(targets: DataFrame, lines: DataFrame, radius: int) -> DataFrame:
     """``FilePath, LineNumber, context_block, context_lines`` for distinct target lines.
 
-    Each target asks for its lines one by one, so the join is an equality on
-    (path, line) that spreads even a single huge file over the cluster, and no group
-    holds more than ``2 * radius + 1`` lines.
+    Lines are put together to chunks as long as a window, so a window lies in at most two of them.  A target
+    joins its chunks by equality on (path, chunk), which spreads even a single huge file, and
+    cuts its lines out of them.  Every line is shuffled once, whatever the radius.
     """
-    number = F.col("LineNumber")
-    first = F.greatest(number - radius, F.lit(1))
+    number, width = F.col("LineNumber"), 2 * radius + 1
+    first, last = F.greatest(number - radius, F.lit(1)), number + radius
+
+    def chunk_of(line: Column) -> Column:
+        return F.floor((line - 1) / width).cast("int")
+
     wanted = targets.select(
-        "FilePath", "LineNumber", F.explode(F.sequence(first, number + radius)).alias("line")
+        "FilePath", "LineNumber", F.explode(F.sequence(chunk_of(first), chunk_of(last))).alias("chunk")
     )
-    source = lines.select(F.col("path").alias("FilePath"), "line", "text")
-    shown = F.when(
-        F.col("line") == number,
-        F.concat(F.col("line").cast("string"), F.lit(": >>> "), "text", F.lit(" <<<\n")),
-    ).otherwise(F.concat(F.col("line").cast("string"), F.lit(": "), "text", F.lit("\n")))
+
+    def shown(row: Column) -> Column:
+        mark = row["line"] == number
+        start = F.concat(row["line"].cast("string"), F.when(mark, F.lit(": >>> ")).otherwise(F.lit(": ")))
+        return F.concat(start, row["text"], F.when(mark, F.lit(" <<<\n")).otherwise(F.lit("\n")))
+
+    inside = F.filter("rows", lambda row: row["line"].between(first, last))
+    parts = wanted.join(line_chunks(lines, width), ["FilePath", "chunk"]).select(
+        "FilePath", "LineNumber", "chunk", F.transform(inside, shown).alias("part")
+    )
+    pieces = F.array_sort(F.collect_list(F.struct("chunk", "part")))
     return (
-        wanted.join(source, ["FilePath", "line"])
+        parts.filter(F.size("part") > 0)
         .groupBy("FilePath", "LineNumber")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("line", shown.alias("shown")))).alias("window")
-        )
+        .agg(F.flatten(F.transform(pieces, lambda x: x["part"])).alias("window"))
         .select(
             "FilePath",
             "LineNumber",
-            F.array_join(F.col("window.shown"), "").alias("context_block"),
+            F.array_join("window", "").alias("context_block"),
             F.size("window").alias("context_lines"),
         )
     )
@@ -63,7 +79,8 @@ def with_context(findings: DataFrame, lines: DataFrame, level: int = 2) -> DataF
     Levels 2, 3 and 4 show 5, 20 and 50 lines on both sides; level 1, or a file without
     such lines, shows the finding's own content.  A finding on line 0 gets the first
     lines and no marker.  A block is built once per line, however many findings share it;
-    lines with very many findings are salted when blocks are joined back.
+    lines with very many findings are salted when blocks are joined back.  Findings are written once, since
+    lines to look for, blocks and the result all start from them.
     """
     radius = CONTEXT_RADIUS.get(level, 0)
     if radius == 0:
@@ -74,6 +91,7 @@ def with_context(findings: DataFrame, lines: DataFrame, level: int = 2) -> DataF
             F.lit(CONTEXT_MESSAGE_SINGLE).alias("context_msg"),
         )
     place = ["FilePath", "LineNumber"]
+    findings = written(findings, "findings")
     counted = findings.groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
     blocks = context_blocks(counted, lines_of(lines, counted.select("FilePath")), radius)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
@@ -156,14 +157,35 @@ def write_report(findings: DataFrame, path: str, fmt: str, mask: bool = False) -
     """Write a report unless there is nothing to report.
 
     Returns the path written, with the suffix of the format added when it is missing;
-    nothing for an empty result or an unknown format.
+    nothing for an empty result or an unknown format.  The findings are computed once: they are counted while
+    they are written beside the target, which the finished report then replaces.  A failed or empty
+    run leaves the target as it was.
     """
     if fmt not in WRITERS:
         log.warning("unknown report format %s, nothing written", fmt)
         return None
-    if findings.isEmpty():
+    target = path if path.endswith(SUFFIXES[fmt]) else path + SUFFIXES[fmt]
+    staged = f"{target.rstrip('/')}.{uuid.uuid4().hex}.part"
+    observed, counts = observe_findings(findings, f"report-{uuid.uuid4().hex}")
+    filesystem, inner = open_root(staged)
+    try:
+        WRITERS[fmt](_prepared(observed, mask), staged)
+        total = counts.get["findings"]
+        if total:
+            _replace(filesystem, inner, open_root(target)[1])
+    finally:
+        if filesystem.get_file_info(inner).type == fs.FileType.Directory:
+            filesystem.delete_dir(inner)
+    if not total:
         log.info("no findings, nothing written")
         return None
-    target = path if path.endswith(SUFFIXES[fmt]) else path + SUFFIXES[fmt]
-    WRITERS[fmt](_prepared(findings, mask), target)
     return target
+
+
+def _replace(filesystem: fs.FileSystem, staged: str, target: str) -> None:
+    kind = filesystem.get_file_info(target).type
+    if kind == fs.FileType.Directory:
+        filesystem.delete_dir(target)
+    elif kind == fs.FileType.File:
+        filesystem.delete_file(target)
+    filesystem.move(staged, target)

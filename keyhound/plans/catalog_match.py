@@ -128,9 +128,10 @@ LUHN = f"""(regexp_full_match({_DIGITS}, '[0-9]{{2,}}') AND
               for i in CASE WHEN regexp_full_match({_DIGITS}, '[0-9]{{2,}}')
                             THEN range(1, length({_DIGITS}) + 1) ELSE [] END]) % 10 = 0)"""
 _ALL_CASES = " AND ".join(f"regexp_matches(value, '{c}')" for c in ("[A-Z]", "[a-z]", "[0-9]"))
-_SENSITIVE = next(r for r in read_rules() if r.rule_id == "sensitive-files").value.regex
+# Fixed value: names of sensitive files.
+_SENSITIVE = r""".*(rsa|dsa|ed25519|ecdsa|pem|crt|cer|ca-bundle|p7b|p7c|p7s|(private-)?key|keystore|jks|pkcs12|pfx|p12|asc|dockercfg|npmrc|pypirc|pip.conf|terraform.tfvars|env|cfg|conf|config|ini|s3cfg|\.aws/credentials|htpasswd|(\.|-)?netrc|git-credentials|gitconfig|gitrobrc|(password|credential|secret)(\.[A-Za-z0-9]+)?|servlist-?\.conf|irssi/config|keys\.db|settings\.py|database\.yml|(config(\.inc)?|LocalSettings)\.php|(secret-token|omniauth|carrierwave|schema|knife)\.rb|(accounts|dbeaver-data-sources|BapSshPublisherPlugin|credentials|filezilla|recentservers)\.xml|(ba|z|da)?sh-history|(bash|zsh)rc|(bash-|zsh-)?(profile|aliases)|kdbx?|(agile)?keychain|key(store|ring)|mysql-history|psql-history|pgpass|irb-history|log|pcap|sql(dump)?|gnucash|dump|backup|back|bck|~1|kwallet|tblk|pubxml(\.user)?|Favorites\.plist|configuration\.user\.xpl|proftpdpasswd|robomongo\.json|ventrilo-srv.ini|muttrc|trc|ovpn|dayone|tugboat)$"""
 
-# (rule, similarity limit, test) in match order.
+# Fixed values: (rule, similarity limit, test) in match order.
 RULE_TESTS = [
     ("apikey", 0.35, """regexp_matches(key, '(?i)[A-Za-z0-9_-](key|token)$')
         AND NOT regexp_matches(split_part(value, chr(10), 1), ' ') AND strlen(value) >= 16"""),
@@ -173,11 +174,35 @@ RULE_TESTS = [
     ("twilio-webhook", 0.7, r"""regexp_matches(value,
         '(?i)https://chat\.twilio\.com/v2/Services/[A-Z0-9]{32}')"""),
 ]
-_RULES = {rule.rule_id: rule for rule in read_rules()}
+# Description and severity of each rule, in match order.
+RULE_TEXTS = [
+    ("apikey", "变量名中包含 API Key 或 Token 的敏感信息", "MAJOR"),
+    ("aws-id", "格式类似于 AWS Access Key ID 的值", "BLOCKER"),
+    ("aws-secret", "格式类似于 AWS Secret Access Key 的值", "BLOCKER"),
+    ("aws-token", "格式类似于 AWS Session Token 的值", "BLOCKER"),
+    ("base64", "看起来像 Base64 编码的文本", "INFO"),
+    ("creditcards", "识别可能的信用卡号", "MAJOR"),
+    ("dangerous-functions", "识别可能导致远程代码执行的危险函数调用", "MAJOR"),
+    ("dockercfg", "硬编码的 .dockercfg 认证信息", "CRITICAL"),
+    ("github", "Github Token (包含个人、OAuth 等)", "CRITICAL"),
+    ("htpasswd", "硬编码的 .htpasswd 凭据 (Hash值)", "MAJOR"),
+    ("npmrc", "硬编码的 .npmrc authToken", "CRITICAL"),
+    ("pip", "硬编码的 pip.conf 密码", "CRITICAL"),
+    ("pypirc", "硬编码的 .pypirc 密码", "CRITICAL"),
+    ("password-variable", "变量名中包含 password 等字样的敏感信息", "CRITICAL"),
+    ("privatekey", "格式类似于私钥的文本", "CRITICAL"),
+    ("cors", "不安全的跨域资源共享 (CORS) 配置", "MAJOR"),
+    ("sensitive-files", "识别包含敏感信息的文件名或特定后缀文件", "MAJOR"),
+    ("path", "识别字符串中的系统或网络路径 (通常用于负面过滤)", "INFO"),
+    ("comments", "识别注释中的潜在泄露", "MINOR"),
+    ("uri-detection", "识别常见的协议链接并触发深度解析", "MAJOR"),
+    ("slack-webhook", "Slack Webhook 地址", "MINOR"),
+    ("hubspot-webhook", "Hubspot Webhook 地址", "MINOR"),
+    ("twilio-webhook", "Twilio Webhook 地址", "MINOR"),
+]
 _META = " UNION ALL ".join(
-    f"SELECT {i} AS o, '{name}' AS rule_id, '{_RULES[name].description}' AS description, "
-    f"'{_RULES[name].severity}' AS severity"
-    for i, (name, _, _) in enumerate(RULE_TESTS)
+    f"SELECT {i} AS o, '{name}' AS rule_id, '{text}' AS description, '{severity}' AS severity"
+    for i, (name, text, severity) in enumerate(RULE_TEXTS)
 )
 
 
@@ -365,6 +390,89 @@ def match_custom_rules(spark, sf):
     return found.select("FilePath", "RuleID", "Severity", "Content")
 
 
+_MULTILINE = r"""
+note:
+  description: a note that begins a line
+  severity: MINOR
+  value:
+    regex: '(?im)^clé-\d+$'
+over-lines:
+  description: two words with anything between them
+  severity: INFO
+  value:
+    regex: '(?is)été.+hiver'
+"""
+
+
+@query(
+    "match_multiline_rules",
+    """SELECT c_custkey, CASE WHEN c_custkey % 5 = 4 THEN 'over-lines' ELSE 'note' END AS "RuleID"
+       FROM customer WHERE c_custkey % 5 IN (0, 2, 4)""",
+)
+def match_multiline_rules(spark, sf):
+    """Flag groups that cover several flags; letters beyond ASCII have case too."""
+    text = """CASE c_custkey % 5
+        WHEN 0 THEN 'x' || chr(10) || 'CLÉ-' || c_custkey || chr(10) || 'y'
+        WHEN 1 THEN 'x CLÉ-' || c_custkey
+        WHEN 2 THEN 'clé-' || c_custkey
+        WHEN 3 THEN 'CLÉ-' || c_custkey || 'z' || chr(10)
+        ELSE 'ÉTÉ ' || c_custkey || chr(10) || 'HIVER' END AS note"""
+    customers = table(spark, sf, "customer").selectExpr("c_custkey", text)
+    kv = kv_from_table(customers, F.col("c_custkey").cast("string"), ["note"], "row")
+    found = findings(match(kv, parse_rules(_MULTILINE)))
+    return found.select(F.col("FilePath").cast("long").alias("c_custkey"), "RuleID")
+
+
+_DIALECT = r"""
+scoped-case:
+  severity: MINOR
+  value:
+    regex: '^(?i:é)clair-\d{2,}$'
+spaced:
+  severity: MINOR
+  value:
+    regex: |-
+      (?x) ^ tok [ ] key  # two words and a number
+      \s \d+ $
+named:
+  severity: MINOR
+  value:
+    regex: "^(?'a_1'[bc])(d)\\1\\k<a_1>\\d+$"
+explicit:
+  severity: MINOR
+  value:
+    regex: '(?n)^(ab)+(?<q>c)\1\d+$'
+case-off:
+  severity: MINOR
+  value:
+    regex: '(?i)^x(?-i:y)z{1}{-\d+$'
+never:
+  severity: CRITICAL
+  value:
+    regex: '(a)++|\d'
+"""
+
+
+@query(
+    "match_dialect_rules",
+    """SELECT c_custkey, CASE c_custkey % 10 WHEN 0 THEN 'scoped-case' WHEN 2 THEN 'spaced' WHEN 4 THEN 'named'
+                             WHEN 6 THEN 'explicit' ELSE 'case-off' END AS "RuleID"
+       FROM customer WHERE c_custkey % 2 = 0 AND (c_custkey % 10 <> 0 OR c_custkey >= 10)""",
+)
+def match_dialect_rules(spark, sf):
+    """Scoped flags, free spacing, group names and numbers; even keys hold what a rule asks for, odd ones nearly so."""
+    text = """CASE c_custkey % 10
+        WHEN 0 THEN 'Éclair-' || c_custkey WHEN 1 THEN 'ÉCLAIR-' || c_custkey
+        WHEN 2 THEN 'tok key ' || c_custkey WHEN 3 THEN 'tokkey ' || c_custkey
+        WHEN 4 THEN 'bddb' || c_custkey WHEN 5 THEN 'bdbd' || c_custkey
+        WHEN 6 THEN 'ababcc' || c_custkey WHEN 7 THEN 'ababcab' || c_custkey
+        WHEN 8 THEN 'XyZ{-' || c_custkey ELSE 'XYZ{-' || c_custkey END AS note"""
+    customers = table(spark, sf, "customer").selectExpr("c_custkey", text)
+    kv = kv_from_table(customers, F.col("c_custkey").cast("string"), ["note"], "row")
+    found = findings(match(kv, parse_rules(_DIALECT)))
+    return found.select(F.col("FilePath").cast("long").alias("c_custkey"), "RuleID")
+
+
 def _table_kv_sql(name: str, key: str, columns: list[str]) -> str:
     return " UNION ALL ".join(
         f"""SELECT '{name}/' || CAST({key} AS VARCHAR) AS file_path, '{c}' AS key,

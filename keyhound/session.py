@@ -56,10 +56,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the scratch folder: computed once, and safe when executors are lost.
 
-    Use it for findings that are read more than once, as context and sorting do.
+    Use it for findings that are read more than once, as context and sorting do.  The table is
+    removed when the application ends.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,6 +5,8 @@ import re
 import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from keyhound.fixed_values import URI_PATTERN
@@ -154,3 +156,75 @@ def test_needs_of_shipped_patterns():
     assert of("x|yz") == (1, None, "")
     assert of("(") == (0, None, "")
     assert of("[-]{3,}BEGIN (A|B)?K")[2] == "BEGIN "
+
+
+# --- the dialect as Java patterns ---------------------------------------------
+
+
+@st.composite
+def dialect_patterns(draw, depth=2):
+    """Patterns with flag groups, in syntax that the rule dialect shares with the ``regex`` library."""
+    atoms = ["a", "b", "é", "É", "A", ".", "^", "$", r"\n", r"\w", r"\s", "[aé]", "[^b]", r"[\n-]", "-"]
+    out = []
+    for _ in range(draw(st.integers(1, 4))):
+        kind = draw(st.integers(0, 9))
+        if kind < 6 or depth == 0:
+            atom = draw(st.sampled_from(atoms))
+            out.append(atom + (draw(st.sampled_from(["", "", "?", "*", "+?", "{2}"])) if atom not in "^$" else ""))
+        elif kind == 6:
+            out.append(draw(st.sampled_from(["(?i)", "(?m)", "(?s)", "(?im)", "(?is)", "(?-i)", "(?s-i)", "(?ms-i)"])))
+        else:
+            opening = draw(st.sampled_from(["(", "(?:", "(?i:", "(?im:", "(?s-i:", "(?-m:", "(?=", "(?!", "(?>"]))
+            body = draw(dialect_patterns(depth - 1))
+            if draw(st.booleans()):
+                body += "|" + draw(dialect_patterns(depth - 1))
+            out.append(f"{opening}{body})")
+    return "".join(out)
+
+
+def test_random_patterns_with_flags(spark):
+    """Against another engine with scoped flags and Unicode case."""
+    other = pytest.importorskip("regex")
+    texts = ["", "a", "é", "É", "A\n", "a\nb", "aé\nÉA\n", "\n\n", "-a-", "É\na", "ab é", "AAéé", "b\nA", "aa\n"]
+    tried = []
+
+    @given(dialect_patterns())
+    @settings(max_examples=250, deadline=None, database=None, derandomize=True)
+    def collect(pattern):
+        tried.append(pattern)
+
+    collect()
+    patterns = sorted(set(tried))
+    valid = regex.valid_patterns(spark, [(p, ic) for p in patterns for ic in (False, True)])
+    assert len(valid) > 1.5 * len(patterns)
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    for k in range(0, len(patterns), 40):
+        part = [(p, ic) for p in patterns[k : k + 40] for ic in (False, True) if (p, ic) in valid]
+        columns = [regex.search(F.col("t"), p, ic).alias(f"c{n}") for n, (p, ic) in enumerate(part)]
+        for row in rows.select("t", *columns).collect():
+            for n, (p, ic) in enumerate(part):
+                wanted = other.search(p, row.t, other.V1 | (other.I if ic else 0)) is not None
+                assert row[f"c{n}"] == wanted, (p, ic, row.t)
+
+
+@pytest.mark.parametrize(
+    "pattern,yes,no",
+    [
+        ("(?im)é", ["É"], ["e"]), ("(?is)é.b", ["É\nB"], ["éb"]), ("(?i:é)x", ["Éx"], ["ÉX"]),
+        ("(?m)^b$", ["a\nb\nc"], ["ab"]), ("(?m)a\n^$", ["a\n"], ["a"]), ("a(?i)b|c", ["aB", "C"], ["Ab"]),
+        ("(?x) a  b # note\n c", ["abc"], ["a b c"]), ("(?x:a b)c d", ["abc d"], ["abcd"]), ("(?#note)a", ["a"], ["b"]),
+        ("(?n)(a)(?<x>b)\\1", ["abb"], ["aba"]), ("(?<x>a)(b)\\1\\2", ["abba"], ["abab"]),
+        ("(?'x'a)\\k'x'", ["aa"], ["ab"]), ("a{,2}", ["a{,2}"], ["aa"]), ("${x}", ["\n"], []), ("\\$\\{", ["${"], ["$"]),
+        ("[\\b]", ["\x08"], ["b"]), ("a\\vb", ["a\x0bb"], ["a\nb"]), ("[a-z-[aeiou]]{2}", ["xyz"], ["aeiou"]),
+    ],
+)
+def test_dialect_cases(spark, pattern, yes, no):
+    if pattern == "${x}":
+        assert regex.java_pattern(pattern) == "(?d)$\\{x\\}"
+        return
+    assert evaluate(spark, [("", t) for t in yes + no], lambda a, b: regex.search(b, pattern)) == [True] * len(yes) + [False] * len(no)
+
+
+@pytest.mark.parametrize("pattern", ["a++", "\\h", "(", "a)", "(?(1)a)", "\\2(a)", "**", "(?z)a", "\\Qa", "(?<a-b>x)", "(?P<n>x)"])
+def test_patterns_of_other_dialects_are_invalid(spark, pattern):
+    assert regex.valid_patterns(spark, [(pattern, False)]) == set()
