@@ -361,13 +361,8 @@ class Needs:
 
 def needs(pattern: str, ignorecase: bool = False) -> Needs:
     """Length limits and a plain text that follow from the pattern; nothing when unsure."""
-    if _parser is None:
-        return Needs()
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")  # notes on syntax of later versions
-            tree = _parser.parse(subtract_classes(pattern))
-    except (re.error, OverflowError, RecursionError):
+    tree = _parsed(pattern)
+    if tree is None:
         return Needs()
     low, high = tree.getwidth()
     ops = list(tree)
@@ -377,8 +372,7 @@ def needs(pattern: str, ignorecase: bool = False) -> Needs:
         and str(ops[0][1]).startswith("AT_BEGINNING")
         and str(ops[-1][1]).startswith("AT_END")
     )
-    caseless = ignorecase or "(?" in pattern.replace("(?:", "").replace("(?=", "").replace("(?!", "")
-    runs = _literal_runs(ops, caseless)
+    runs = _literal_runs(ops, _may_ignore_case(pattern, ignorecase))
     literal = max(runs, key=len, default="")
     return Needs(
         min_chars=min(low, 10_000),
@@ -388,6 +382,33 @@ def needs(pattern: str, ignorecase: bool = False) -> Needs:
     )
 
 
+def _parsed(pattern: str):
+    """The pattern as Python's parser sees it, where both dialects agree; else nothing."""
+    if _parser is None or "{," in pattern:
+        return None
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # notes on syntax of later versions
+            return _parser.parse(subtract_classes(pattern))
+    except (re.error, OverflowError, RecursionError):
+        return None
+
+
+def _may_ignore_case(pattern: str, ignorecase: bool) -> bool:
+    return ignorecase or "(?" in pattern.replace("(?:", "").replace("(?=", "").replace("(?!", "")
+
+
+def required_texts(pattern: str, ignorecase: bool = False) -> list[str]:
+    """ASCII texts in lower case that the folded form of every matching text contains."""
+    tree = _parsed(pattern)
+    if tree is None:
+        return []
+    found = []
+    for run in _literal_runs(list(tree), False):
+        found += re.findall(r"[\x00-\x7f]+", run)
+    return [x.lower() for x in found]
+
+
 def _literal_runs(ops: list, caseless: bool) -> list[str]:
     """Plain texts that must appear, in order.  Caseless patterns offer uncased characters only."""
     runs, run = [], ""
@@ -432,12 +453,14 @@ def is_valid(spark: SparkSession, pattern: str, ignorecase: bool = False) -> boo
 
 
 _known: dict[tuple[str, bool], bool] = {}
+_PROBED = 500  # patterns that one probe tries
 
 
 def valid_patterns(spark: SparkSession, patterns: list[tuple[str, bool]]) -> set[tuple[str, bool]]:
     """The patterns Java accepts.  One probe covers all new ones in the usual case."""
-    new = [p for p in dict.fromkeys(patterns) if p not in _known]
-    if new:
+    unknown = [p for p in dict.fromkeys(patterns) if p not in _known]
+    for start in range(0, len(unknown), _PROBED):
+        new = unknown[start : start + _PROBED]
         try:
             probe = [
                 F.lit("").rlike(java_search(p, ic)).alias(f"p{i}")

@@ -1,7 +1,7 @@
 """Rules × pairs.
 
 Rules are known when the plan is built, so a rule table becomes Column expressions
-and matching is a narrow step: no join, no shuffle.
+and matching is a narrow step: no join, no shuffle.  Very large rule tables take ``rule_index``.
 
 ``first`` keeps the first rule in order, ``all`` keeps every rule that fits.
 
@@ -39,6 +39,7 @@ from keyhound.functions.predicates import (
     similarity_limit,
 )
 from keyhound.functions.strings import let, lowered_pair, ratio_bound, ratio_of
+from keyhound.operators.rule_index import match_indexed
 from keyhound.schemas import KV_COLUMNS
 from keyhound.sources.config import ScanConfig
 from keyhound.sources.rules import MatchConfig, Rule, rules_from_table
@@ -48,6 +49,8 @@ log = logging.getLogger(__name__)
 Rules = Sequence[Rule] | DataFrame
 OrderedRules = tuple[tuple[int, Rule], ...]
 MASK_BITS = 60
+#: More rules than that are found by a join.  Streams, and runs that also carry failures, keep the narrow form.
+MANY_RULES = 300
 RULE_FIELDS = ("rule_id", "description", "message", "severity")
 
 
@@ -144,6 +147,8 @@ def match(
     if not usable:
         nothing = [F.lit(None).cast("string").alias(n) for n in RULE_FIELDS]
         return candidates.filter(passing).select("*", F.lit(-1).alias("rule_order"), *nothing)
+    if len(usable) > MANY_RULES and not always and not carried and not kv.isStreaming:
+        return match_indexed(candidates, list(usable), mode)
     # Unfolding an array computes what is in it once, here for all pairs and below for
     # those that fit; a filter on a computed column would compute it twice.
     offered = candidates.select(*columns, F.inline(F.array(_offers(usable, mode))))

@@ -17,7 +17,7 @@ from keyhound.plans.catalog import document_files, document_lines, query, table
 from keyhound.plans.scan import line_scan
 from keyhound.session import spread
 from keyhound.sources.config import ScanConfig
-from keyhound.sources.rules import load_rules, parse_rules, read_rules
+from keyhound.sources.rules import MatchConfig, Rule, load_rules, parse_rules, read_rules
 from keyhound.sources.tables import kv_from_table, to_lines
 
 # Pairs built from one customer: SQL that both engines read alike.
@@ -390,6 +390,24 @@ def match_custom_rules(spark, sf):
     return found.select("FilePath", "RuleID", "Severity", "Content")
 
 
+@query(
+    "match_many_rules",
+    """SELECT o_orderkey, 'customer-' || CAST(o_custkey AS VARCHAR) AS "RuleID", 'c' || CAST(o_custkey AS VARCHAR) AS "Description"
+       FROM orders
+       UNION ALL SELECT o_orderkey, 'urgent', 'any customer' FROM orders WHERE o_orderpriority = '1-URGENT'""",
+)
+def match_many_rules(spark, sf):
+    """Every rule that fits, of one rule per customer and one without a fixed text: rules are joined, not compiled."""
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").cast("string")).collect()  # the rule table
+    rules = [Rule(f"customer-{k}", f"c{k}", severity="INFO", value=MatchConfig(rf"(?i)\bCUSTOMER#{k}\b")) for (k,) in rows]
+    rules.insert(0, Rule("urgent", "any customer", severity="MAJOR", value=MatchConfig(r"[1]-[U][R]", True)))
+    value = "'order of customer#' || CAST(o_custkey AS STRING) || ' ' || o_orderpriority AS note"
+    orders = table(spark, sf, "orders").selectExpr("o_orderkey", value)
+    kv = kv_from_table(orders, F.col("o_orderkey").cast("string"), ["note"], "row")
+    found = findings(match(kv, rules, "all"))
+    return found.select(F.col("FilePath").cast("long").alias("o_orderkey"), "RuleID", "Description")
+
+
 _MULTILINE = r"""
 note:
   description: a note that begins a line

@@ -1,8 +1,12 @@
 """Rule loading, the shipped catalogue, and matching."""
 
+import random
+
 import pytest
 from conftest import pairs
 
+from keyhound.operators import match as match_module
+from keyhound.operators import rule_index
 from keyhound.operators.match import findings, match
 from keyhound.sources.config import ScanConfig, load_config
 from keyhound.sources.rules import (
@@ -231,3 +235,62 @@ def test_class_subtraction_and_group_names(kv):
     assert hits("(?<a_b>a)\\k<a_b>") == {"aa"}
     assert hits("(?'x_1'x)y") == {"xy]"}
     assert hits("^[a-]+$") == {"aa"}
+
+
+# --- very many rules ----------------------------------------------------------
+
+
+def _random_rules(rng, count):
+    words = ["secret", "token", "Schl\u00fcssel", "KEY", "pass", "ab", "id", "kiss", "user\u00e9name", "x" * 9]
+
+    def pattern():
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            word = rng.choice(words)
+            parts.append(rng.choice([word, f"(?:{word})", f"({word})?", f"(?:{word}|{rng.choice(words)})", f"(?i:{word})", "[a-z]{2}", r"\d+", ".", f"(?={word})", word + "{,2}"]))
+        return rng.choice(["", "^", "(?i)"]) + "".join(parts) + rng.choice(["", "$"])
+
+    def config():
+        kind = rng.randrange(8)
+        if kind == 0:
+            return None
+        return MatchConfig(pattern() if kind < 7 else "", rng.random() < 0.4, rng.choice([0, 0, 5]), is_ascii=rng.random() < 0.2,
+                           is_base64=rng.random() < 0.05, is_luhn=kind == 7 and rng.random() < 0.5)
+
+    return [Rule(f"r{i}", f"d{i}", severity="INFO", similar=rng.choice([0.0, 0.3, 0.95]), key=config(), value=config()) for i in range(count)]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_indexed_rules_match_like_compiled_ones(spark, kv, monkeypatch, broadcast):
+    rng = random.Random(31)
+    rules = _random_rules(rng, 120) + read_rules()
+    pieces = ["secret", "SECRET", "token", "schl\u00fcssel", "SCHL\u00dcSSEL", "key", "KEY", "\u212aEY", "pa\u017fs", "pass", "ab", "\u0130d", "\u0131d", "id", "ki\u017f\u017f",
+              "user\u00c9name", "xxxxxxxxx", "12", "4111111111111111", " ", "-", "{,2}", "zz", "\U0001d11e"]
+    texts = [("".join(rng.choices(pieces, k=rng.randrange(1, 4))), "".join(rng.choices(pieces, k=rng.randrange(1, 6)))) for _ in range(600)]
+    pairs_table = kv(*texts, *texts[:50])
+    fields = ("line", "key", "value", "rule_order", "rule_id", "severity")
+    if not broadcast:
+        monkeypatch.setattr(rule_index, "MAX_BROADCAST_RULES", 0)
+    for mode in ("all", "first"):
+        monkeypatch.setattr(match_module, "MANY_RULES", 10_000)
+        compiled = pairs(match(pairs_table, rules, mode), *fields)
+        monkeypatch.setattr(match_module, "MANY_RULES", 0)
+        assert pairs(match(pairs_table, rules, mode), *fields) == compiled
+    assert len(compiled) > 100
+
+
+def test_the_plan_does_not_grow_with_the_rules(spark, kv):
+    sizes = []
+    for count in (400, 5_000):
+        rules = [Rule(f"r{i}", value=MatchConfig(f"number-{i}-end")) for i in range(count)]
+        found = match(kv(("k", "a number-399-end"), ("k", "nothing")), rules)
+        sizes.append(len(found._jdf.queryExecution().optimizedPlan().toString()))
+        assert pairs(found, "rule_id") == [("r399",)]
+    assert abs(sizes[0] - sizes[1]) < 200
+
+
+def test_rules_are_listed_under_their_rarest_text():
+    rules = [(i, Rule(f"r{i}", value=MatchConfig(f"customer#{i:05d}"))) for i in range(50)]
+    rules.append((50, Rule("open", value=MatchConfig("[a-z]+"))))
+    grams = rule_index.index_grams(rules)
+    assert grams[50] == "*" and len(set(grams.values())) > 45
