@@ -75,11 +75,11 @@ def _first(text: Column, pattern: str, kv_path: str, key: int = 1, value: int =
     )
 
 
-def _every(text: Column, pattern: str, kv_path: str) -> Column:
-    """One pair from every match: groups 1 and 2."""
-    keys = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    return F.zip_with(keys, values, lambda k, v: item(k, v, kv_path))
+def _quoted_matches(text: Column, pattern: str, body: Callable[[Column], Column]) -> Column:
+    """``body`` of every match of a pattern, which runs once: a match is cut at its quotes, which its texts cannot hold."""
+    has_quote = F.contains(text, F.lit("'")) | F.contains(text, F.lit('"'))
+    matches = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.split(m, "['\"]"))
+    return F.when(has_quote, let(matches, body)).otherwise(no_items())
 
 
 def _is_comment(line: Column, *marks: str) -> Column:
@@ -245,25 +245,33 @@ def python_assign_items(text: Column) -> Column:
 
 
 def python_dict_items(text: Column) -> Column:
-    return _python(F.contains(text, F.lit(":")), text, _every(text, PY_DICT, "dict"))
+    pairs = _quoted_matches(
+        text, PY_DICT, lambda found: F.transform(found, lambda m: item(F.get(m, 1), F.get(m, 3), "dict"))
+    )
+    return _python(F.contains(text, F.lit(":")), text, pairs)
+
+
+def _getenv_names(found: Column) -> Column:
+    return F.transform(found, lambda m: item(F.get(m, 1), F.lit(""), "env"))
+
+
+def _getenv_defaults(found: Column) -> Column:
+    given = F.filter(found, lambda m: F.coalesce(F.get(m, 3), F.lit("")) != "")
+    return F.transform(given, lambda m: item(F.get(m, 1), F.get(m, 3), "env_default"))
+
+
+def _getenv(text: Column, *bodies: Callable[[Column], Column]) -> Column:
+    pairs = _quoted_matches(text, PY_GETENV, lambda found: F.concat(*[body(found) for body in bodies]))
+    return _python(F.contains(text, F.lit("env")), text, pairs)
 
 
 def python_getenv_items(text: Column) -> Column:
     """Names only; their empty value never reaches a rule."""
-    names = F.regexp_extract_all(text, F.lit(PY_GETENV), F.lit(1))
-    return _python(
-        F.contains(text, F.lit("env")),
-        text,
-        F.transform(names, lambda n: item(n, F.lit(""), "env")),
-    )
+    return _getenv(text, _getenv_names)
 
 
 def python_getenv_default_items(text: Column) -> Column:
-    return _python(
-        F.contains(text, F.lit("env")),
-        text,
-        F.filter(_every(text, PY_GETENV, "env_default"), lambda kv: kv["value"] != ""),
-    )
+    return _getenv(text, _getenv_defaults)
 
 
 def python_call_items(text: Column) -> Column:
@@ -277,19 +285,19 @@ def python_call_items(text: Column) -> Column:
 
 def python_keyword_items(text: Column) -> Column:
     """Keyword arguments, on lines that are not an assignment themselves."""
-    return _python(
-        F.contains(text, F.lit("=")) & ~text.rlike(PY_ASSIGN),
-        text,
-        _every(text, PY_KEYWORD, "keyword"),
-    )
+    def pair(match: Column) -> Column:
+        name = F.rtrim(before(F.get(match, 0), "="), F.lit("\t\n\f\r "))
+        return item(F.ltrim(name, F.lit("0123456789")), F.get(match, 1), "keyword")
+
+    pairs = _quoted_matches(text, PY_KEYWORD, lambda found: F.transform(found, pair))
+    return _python(F.contains(text, F.lit("=")) & ~text.rlike(PY_ASSIGN), text, pairs)
 
 
 def python_items(text: Column) -> Column:
     return F.concat(
         python_assign_items(text),
         python_dict_items(text),
-        python_getenv_items(text),
-        python_getenv_default_items(text),
+        _getenv(text, _getenv_names, _getenv_defaults),
         python_call_items(text),
         python_keyword_items(text),
     )

@@ -469,10 +469,12 @@ def extract_trees(files: DataFrame) -> DataFrame:
 # --- JSON columns of a table ------------------------------------------------
 
 _NATIVE_DEPTH = 3
-# Texts for which the object reader and the document reader could differ: lists, nulls,
-# escapes, comments, single quotes, strings that look like an object, and numbers whose
-# text is not their shortest form.
-_NOT_PLAIN = r"[\[\\/#']|null|\"\s*\{|:\s*(?:-0|-?[0-9]+[.eE])"
+# Texts that both readers see alike: objects in printable ASCII of at most 1,000 characters, so that no key is
+# too long for the document reader and no sign is a control character, a line end or a special blank, ...
+_PLAIN = r"\A *\{[ -~]{0,1000}\} *\z"
+# ... without lists, nulls, escapes, comments, single quotes, empty keys, repeated separators, strings that look like
+# an object, and numbers whose text is not their shortest form.
+_NOT_PLAIN = r"[\[\\/#']|null|\"\" *:|[:,] *[,}]|\" *\{|: *(?:-0|0[0-9]|-?[0-9]+[.eE])"
 _ENTRY = "STRUCT<key: STRING, value: STRING, kv_path: STRING, fresh: BOOLEAN>"
 
 
@@ -499,16 +501,16 @@ def _object(text: Column) -> Column:
 def flatten_json_column(df: DataFrame, file_path: Column, json: Column) -> DataFrame:
     """Pairs of a JSON column, without leaving the JVM for plain objects.
 
-    Objects with at most three opening braces cannot nest deeper than three levels;
-    they are unfolded by ``from_json``, one level per step.  All other texts take the
-    document reader.  Both give the same pairs; line numbers are not kept (0).
+    Short ASCII objects with at most three opening braces, which cannot nest deeper than three levels,
+    are unfolded by ``from_json``, one level per step.  All other texts take the document reader, and the
+    native form is kept to texts that both read alike.  Line numbers are not kept (0).
     """
     source = df.select(file_path.alias("path"), json.alias("content"))
     text = F.col("content")
     braces = F.char_length(text) - F.char_length(F.replace(text, F.lit("{"), F.lit("")))
     plain = F.coalesce(
         (braces <= _NATIVE_DEPTH)
-        & text.rlike(r"(?s)\A\s*\{.*\}\s*\z")
+        & text.rlike(_PLAIN)
         & ~text.rlike(_NOT_PLAIN)
         & _object(text).isNotNull(),
         F.lit(False),

@@ -72,6 +72,26 @@ def flatten_plain_json_column(spark, sf):
     return flatten_json_column(customers, F.expr(_CUSTOMER), F.expr(_PLAIN))
 
 
+_ODD = """CASE c_custkey % 4
+    WHEN 0 THEN '{' || chr(34) || chr(34) || ':{' || chr(34) || 'a' || chr(34) || ':' || chr(34) || c_name || chr(34) || '}}'
+    WHEN 1 THEN '{' || chr(34) || 'a' || chr(34) || ':' || chr(34) || 'x' || chr(127) || 'y' || chr(34) || '}'
+    WHEN 2 THEN '{' || chr(34) || 'a' || chr(34) || ':' || chr(34) || 'x' || chr(133) || 'y' || chr(34) || '}'
+    ELSE '{' || chr(34) || repeat('k', 1100) || chr(34) || ':' || chr(34) || c_name || chr(34) || '}' END"""
+
+
+@query(
+    "flatten_odd_json_column",
+    f"""SELECT {_CUSTOMER} AS file_path, '' AS key, '' AS value, '' AS kv_path, CAST(0 AS INTEGER) AS line
+        FROM customer WHERE c_custkey % 4 = 0
+        UNION ALL SELECT {_CUSTOMER}, 'a', c_name, 'a', 0 FROM customer WHERE c_custkey % 4 = 0
+        UNION ALL SELECT {_CUSTOMER}, 'a', 'x y', 'a', 0 FROM customer WHERE c_custkey % 4 = 2""",
+)
+def flatten_odd_json_column(spark, sf):
+    """An empty key, a control character, a line separator and a key too long: the document reader decides."""
+    customers = table(spark, sf, "customer")
+    return flatten_json_column(customers, F.expr(_CUSTOMER), F.expr(_ODD))
+
+
 @query(
     "flatten_nested_json_column",
     kv_rows(

@@ -143,6 +143,41 @@ def test_native_and_document_json_agree(spark, files):
     assert expected.filter("kind = 'error'").count() == 0
 
 
+def _odd_json(rng):
+    """Text in and near JSON, as no writer would give it."""
+    blank = lambda: rng.choice(["", "", " ", "  ", "\t", "\n", "\u0085", "\u2028", "\ufeff"] if rng.random() < 0.1 else ["", " "])
+
+    def text():
+        return rng.choice(["a", "b", "", "k=v", "x\x7fy", "x\u0085y", "{", "}", "a:b", "a, b", "-", "~", "yes", "null", "s3://h?q=1", "y" * 1_100])
+
+    def value(depth):
+        kind = rng.randrange(9)
+        if kind < 4:
+            return f'"{text()}"'
+        if kind < 6:
+            return rng.choice(["0", "12", "-3", "1.50", "1e3", "007", "true", "false", "null", "NaN", "Infinity", "abc", "+1", "-", "", "1_000", "0x1f"])
+        if kind < 8 and depth < 5:
+            entries = [f'{blank()}"{text()}"{blank()}:{blank()}{value(depth + 1)}{blank()}' for _ in range(rng.randrange(4))]
+            return "{" + rng.choice([",", ", "]).join(entries) + rng.choice(["", "", "", ","]) + "}"
+        return f"[{value(depth + 1)}]" if depth < 5 else "1"
+
+    out = value(0)
+    while not out.startswith("{"):
+        out = value(0)
+    return rng.choice(["", " ", ""]) + out + rng.choice(["", "", " ", "x", "}"])
+
+
+def test_odd_json_texts_agree(spark, files):
+    rng = random.Random(77)
+    texts = ['{"":{"a":"1"}}', '{"a":"x\x7fy"}', '{"a":"x\u0085y"}', '{"' + "k" * 1_100 + '":"v"}', '{"a":"1","a":"2"}', "{}", "", "{"]
+    texts += [_odd_json(rng) for _ in range(1_500)]
+    table = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id STRING, t STRING")
+    got = flatten_json_column(table, F.col("id"), F.col("t"))
+    documents = files({str(i): t for i, t in enumerate(texts)}).withColumn("format", F.lit("json"))
+    columns = ("file_path", "key", "value", "kv_path")
+    assert pairs(got, *columns) == pairs(extract_trees(documents), *columns)
+
+
 def test_unclosed_template_marks_take_linear_time(spark):
     texts = ["{%" * 500_000, "{{" * 500_000, "a: {% b %}" + "{%" * 500_000, "}}" + "{{" * 500_000]
     table = spark.createDataFrame([(t,) for t in texts], "t STRING")
