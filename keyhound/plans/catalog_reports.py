@@ -16,7 +16,7 @@ from keyhound.operators import context, report, sinks
 from keyhound.operators.line_extractors import LINE_EXTRACTORS, extract_lines
 from keyhound.operators.match import findings, match
 from keyhound.plans import catalog_extract as ce
-from keyhound.plans.catalog import built_files, document_files, document_lines, query, table
+from keyhound.plans.catalog import ORACLES, built_files, document_files, document_lines, query, table
 from keyhound.plans.catalog_match import (
     PAIRS_SQL,
     built_pairs,
@@ -30,6 +30,7 @@ from keyhound.sources.config import load_config
 from keyhound.sources.rules import read_rules
 from keyhound.sources.tables import files_from_table, to_lines
 from keyhound.streaming import live
+from keyhound.streaming.manifest import follow_corpus
 
 # --- whole scans ------------------------------------------------------------
 
@@ -575,15 +576,61 @@ def report_html_rows(spark, sf):
     return sinks.html_rows(_found(spark, sf))
 
 
+_HTML_HEAD = (
+    '<!DOCTYPE html><html lang="zh-CN"><head><meta charset="UTF-8">'
+    "<title>Security Audit Report</title></head><body>"
+    '<h1>Security Audit Report</h1><p class="meta">'
+)
+_HTML_TABLE = "</p><table><thead><tr><th>风险等级</th><th>规则标识</th><th>文件位置</th><th>内容快照</th></tr></thead><tbody>"
+
+
 @query(
     "report_html_file",
-    f"""SELECT count(*) + 2 AS lines FROM (
-            SELECT unnest(string_split("Content", chr(10))) AS l FROM ({_FINDINGS}))""",
+    f"""SELECT value, count(*) AS n FROM (
+            SELECT '{_HTML_HEAD}' || CAST(count(*) AS VARCHAR) || '{_HTML_TABLE}' AS value FROM ({_FINDINGS})
+            UNION ALL SELECT '</tbody></table></body></html>'
+            UNION ALL SELECT unnest(string_split(value, chr(10))) FROM ({ORACLES["report_html_rows"]}))
+        GROUP BY value""",
 )
 def report_html_file(spark, sf):
-    """The written page: one line per row of a finding, a head and a tail."""
+    """Every line of the written page: the head with the total, the rows, the tail."""
     path = sinks.write_report(_found(spark, sf), scratch_path(spark, "report"), "html")
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"))
+    return spark.read.option("lineSep", "\n").text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "report_excel_file",
+    f"""SELECT value, count(*) AS n FROM (
+            SELECT '风险等级,命中规则,文件路径,行号,内容快照' AS value
+            UNION ALL SELECT unnest(string_split(value, chr(10))) FROM ({ORACLES["report_excel_rows"]}))
+        GROUP BY value""",
+)
+def report_excel_file(spark, sf):
+    """Every line of the written sheet, header and rows; reading drops the byte order mark."""
+    path = sinks.write_report(_found(spark, sf), scratch_path(spark, "report"), "excel")
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "report_guard",
+    f"""SELECT fmt, kept, CASE WHEN kept = 'none' THEN 0 ELSE (SELECT count(*) FROM ({_FINDINGS}) WHERE "Severity" = 'CRITICAL') END AS findings
+        FROM (SELECT unnest(['json', 'csv']) AS fmt), (SELECT unnest(['none', 'critical']) AS kept)
+        UNION ALL SELECT 'pdf', 'critical', 0""",
+)
+def report_guard(spark, sf):
+    """Reports of nothing and of unknown formats are not written; a report of nothing leaves an earlier one alone."""
+    found = _found(spark, sf).filter("Severity = 'CRITICAL'")
+    rows = []
+    for fmt in ("json", "csv", "pdf"):
+        target = scratch_path(spark, "guard")
+        path = sinks.write_report(found, target, fmt)
+        if fmt != "pdf":
+            empty = sinks.write_report(found.filter("false"), target, fmt)
+            rows.append((fmt, "none", 0 if empty is None else -1))
+        reader = {"json": spark.read.schema("RuleID STRING").json, "csv": lambda x: sinks.read_csv(spark, x)}.get(fmt)
+        rows.append((fmt, "critical", reader(path).count() if path else 0))
+    return spark.createDataFrame(rows, "fmt STRING, kept STRING, findings BIGINT")
 
 
 # --- streams ----------------------------------------------------------------
@@ -626,6 +673,27 @@ def stream_corpus_arrivals(spark, sf):
     return spark.read.parquet(target)
 
 
+@query(
+    "followed_tree_arrivals",
+    """SELECT CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS run, '.page_' || CAST(page_id AS VARCHAR) || '.html' AS name
+       FROM pages
+       UNION ALL SELECT 2, 'changed_' || CAST(page_id AS VARCHAR) || '.html' FROM pages WHERE page_id % 3 = 1""",
+)
+def followed_tree_arrivals(spark, sf):
+    """Two runs over a growing tree with a manifest: files come once, renamed ones under their new name."""
+    pages = table(spark, sf, "pages")
+    root, folder = scratch_path(spark, "tree"), scratch_path(spark, "manifest")
+    name = "'.page_' || CAST(page_id AS STRING) || '.html'"
+    write_files(built_files(pages.where("page_id % 3 <> 0"), name, "html"), root)
+    first = follow_corpus(spark, root, folder, lambda new: None, settle_ms=0)
+    write_files(built_files(pages.where("page_id % 3 = 0"), name, "html"), root)
+    changed = "'changed_' || CAST(page_id AS STRING) || '.html'"
+    write_files(built_files(pages.where("page_id % 3 = 1"), changed, "html"), root)
+    second = follow_corpus(spark, root, folder, lambda new: None, settle_ms=0)
+    base = F.substring_index("path", "/", -1).alias("name")
+    return first.select(F.lit(1).alias("run"), base).union(second.select(F.lit(2), base))
+
+
 @query(
     "stream_running_counts",
     f"""SELECT "Severity", count(*) AS findings FROM ({findings_sql(_PAGE_KV)})

@@ -4,9 +4,11 @@ import csv
 import glob
 import io
 import json
+import os
 
 import pytest
 from conftest import pairs
+from pyspark.sql import functions as F
 
 from keyhound.operators import context, report, sinks
 from keyhound.operators.context import parse_context, with_context, with_prompt
@@ -164,3 +166,55 @@ def test_short_paths(spark):
 
     got = [r.s for r in df.select(report.short_path(F.col("p")).alias("s")).collect()]
     assert got == ["short", "x" * 40 + "...", "x" * 40 + "...", ".../a/b"]
+
+
+@pytest.mark.parametrize("fmt", ["json", "json_array", "csv", "excel", "html"])
+def test_a_report_computes_its_findings_once(spark, found, tmp_path, fmt):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    path = sinks.write_report(found.mapInArrow(counted, found.schema), str(tmp_path / "r"), fmt)
+    assert path and rows.value == len(ROWS)
+    none = found.filter("Severity = 'none'").mapInArrow(counted, found.schema)
+    before = text_parts(path)
+    assert sinks.write_report(none, str(tmp_path / "r"), fmt) is None
+    assert text_parts(path) == before and os.listdir(tmp_path) == [os.path.basename(path)]
+
+
+def test_a_failed_report_leaves_the_last_one(found, tmp_path):
+    path = sinks.write_report(found, str(tmp_path / "r"), "csv")
+    before = text_parts(path)
+    broken = found.withColumn("Content", F.raise_error(F.lit("broken")).cast("string"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_report(broken, str(tmp_path / "r"), "csv")
+    assert text_parts(path) == before and os.listdir(tmp_path) == ["r.csv"]
+
+
+def test_findings_are_computed_once_for_their_context(spark, lines, monkeypatch):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    table = spark.createDataFrame([("r", "d", "a", k, "c", "INFO") for k in range(1, 31)], SCHEMA)
+    got = with_context(table.mapInArrow(counted, table.schema), lines, 4)
+    assert got.count() == 30 and rows.value == 30
+
+
+def test_a_target_joins_at_most_two_chunks(spark, lines):
+    targets = spark.createDataFrame([("a", k) for k in range(0, 60)], "FilePath STRING, LineNumber INT")
+    for radius in (5, 20, 50):
+        plan = context.context_blocks(targets, lines, radius)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1 and "Cartesian" not in plan
+        chunks = context.line_chunks(lines, 2 * radius + 1)
+        assert chunks.selectExpr("max(size(rows))").first()[0] <= 2 * radius + 1
+        width = 2 * radius + 1
+        for n in range(60):
+            first, last = max(n - radius, 1), n + radius
+            assert (last - 1) // width - (first - 1) // width <= 1

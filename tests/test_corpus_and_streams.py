@@ -29,6 +29,7 @@ from keyhound.sources import corpus
 from keyhound.sources.corpus import _deal, list_corpus, read_corpus
 from keyhound.sources.rules import read_rules
 from keyhound.streaming import live
+from keyhound.streaming.manifest import Manifest, follow_corpus
 
 
 def names(df, root):
@@ -378,3 +379,40 @@ def test_kv_of_a_stream_can_be_matched(spark, tables):
     orders = live.stream_table(spark, tables, "customer")
     kv = kv_from_table(orders, F.col("c_custkey").cast("string"), ["c_name"], "row")
     assert match(kv, read_rules()).isStreaming
+
+
+def test_a_manifest_knows_the_tree_and_not_its_history(spark, tmp_path):
+    root, folder = tmp_path / "tree", str(tmp_path / "manifest")
+    (root / "d").mkdir(parents=True)
+    for name in ("a", "b", "d/c", "gone"):
+        (root / name).write_text("first")
+        os.utime(root / name, (1_000, 1_000))
+    seen = []
+
+    def handle(new):
+        seen.append(names(new, str(root)))
+
+    def run():
+        follow_corpus(spark, str(root), folder, handle)
+        return seen[-1], Manifest(spark, folder).seen().count()
+
+    assert run() == (["a", "b", "d/c", "gone"], 4)
+    assert run() == ([], 4)
+    os.utime(root / "a", (2_000, 2_000))  # replaced, same length
+    os.rename(root / "b", root / "moved")  # keeps its time
+    os.unlink(root / "gone")
+    (root / "new").write_text("x")
+    os.utime(root / "new", (10, 10))  # an old time
+    assert run() == (["a", "moved", "new"], 4)
+    (root / "gone").write_text("first")
+    os.utime(root / "gone", (1_000, 1_000))
+
+    def fail(new):
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        follow_corpus(spark, str(root), folder, fail)
+    assert run() == (["gone"], 5)
+    (root / "fresh").write_text("x")
+    assert run() == ([], 5)  # still being written, perhaps
+    assert len(os.listdir(folder)) <= 2
