@@ -225,16 +225,32 @@ def extract_yaml_files(spark, sf):
     return extract_trees(_documents(spark, sf, "yaml", _YAML_LINES))
 
 
+_OTHER = "'other/' || CAST(c_custkey AS VARCHAR)"
+
+
 @query(
     "yaml_template_defaults",
     kv_rows(
         "customer",
         _CUSTOMER,
         ("'DbPass'", "md5(c_name)", "Parameters.DbPass.Default", 3),
+        ("'Parameters'", "''", "Parameters", 2),
+        ("'DbPass'", "''", "Parameters.DbPass", 3),
+        ("'Default'", "md5(c_name)", "Parameters.DbPass.Default", 3),
+        ("'Type'", "'String'", "Parameters.DbPass.Type", 4),
+        ("'Resources'", "''", "Resources", 5),
+    )
+    + " UNION ALL "
+    + kv_rows(
+        "customer",
+        _OTHER,
+        ("'Parameters'", "''", "Parameters", 2),
+        ("'P'", "''", "Parameters.P", 3),
+        ("'Default'", "c_mktsegment", "Parameters.P.Default", 3),
     ),
 )
 def yaml_template_defaults(spark, sf):
-    """Defaults of template parameters; without a template marker there are none."""
+    """Defaults of template parameters, besides all other pairs; without a template marker there are none."""
     text = text_lines(
         "'Parameters:'", "'  DbPass:'", "'    Default: ' || md5(c_name)", "'    Type: String'",
         "'Resources: {}'",
@@ -243,8 +259,7 @@ def yaml_template_defaults(spark, sf):
     both = _documents(spark, sf, "yaml", text).unionByName(
         _documents(spark, sf, "yaml", other, path="'other/' || CAST(c_custkey AS STRING)")
     )
-    kv = extract_trees(both)
-    return kv.filter((F.col("key") == "DbPass") & F.col("kv_path").endswith(".Default"))
+    return extract_trees(both)
 
 
 @query(
@@ -280,7 +295,10 @@ def yaml_raw_fallback(spark, sf):
     """SELECT CAST(doc_id AS VARCHAR) AS file_path, 'text' AS key, text AS value,
               'doc.text' AS kv_path, CAST(2 AS INTEGER) AS line FROM documents
        UNION ALL SELECT CAST(doc_id AS VARCHAR), 'doc', '', 'doc', 2 FROM documents
-       UNION ALL SELECT CAST(doc_id AS VARCHAR), 'lang', lang, 'doc.lang', 3 FROM documents""",
+       UNION ALL SELECT CAST(doc_id AS VARCHAR), 'lang', lang, 'doc.lang', 3 FROM documents
+       UNION ALL SELECT CAST(doc_id AS VARCHAR), trim(split_part(text, '=', 1), chr(10) || ' '),
+                        trim(substr(text, instr(text, '=') + 1), chr(10) || ' '), 'doc.text', 2
+                 FROM documents WHERE contains(text, '=')""",
 )
 def yaml_of_documents(spark, sf):
     """Whole document texts as quoted scalars: every character survives."""
@@ -289,9 +307,7 @@ def yaml_of_documents(spark, sf):
     text = f"'doc:' || chr(10) || '  text: ' || chr(34) || {escaped} || chr(34) || chr(10) " \
         "|| '  lang: ' || lang"
     files = document_files(spark, sf, F.expr(text)).withColumn("format", F.lit("yaml"))
-    kv = extract_trees(files)
-    return kv.filter(F.col("kv_path").isin("doc", "doc.text", "doc.lang") & (
-        F.col("key").isin("doc", "text", "lang")))
+    return extract_trees(files)
 
 
 # --- XML --------------------------------------------------------------------
@@ -355,6 +371,7 @@ def xml_parse_errors(spark, sf):
     "tree_pairs_per_format",
     """SELECT 'xml' AS format, count(*) AS pairs FROM documents WHERE trim(replace(
               text, chr(10), ' ')) <> ''
+       UNION ALL SELECT 'xml, embedded', count(*) FROM documents WHERE contains(text, '=')
        UNION ALL SELECT 'json', count(*) FROM events""",
 )
 def tree_pairs_per_format(spark, sf):
@@ -367,6 +384,6 @@ def tree_pairs_per_format(spark, sf):
         "*", F.lit("json").alias("format")
     )
     kv = extract_trees(xml.unionByName(events))
-    plain = kv.filter(F.col("kv_path").isin("doc", "k"))
-    named = F.when(F.col("kv_path") == "doc", F.lit("xml")).otherwise(F.lit("json"))
-    return plain.groupBy(named.alias("format")).agg(F.count(F.lit(1)).alias("pairs"))
+    named = F.when(F.col("kv_path") == "doc", F.lit("xml")).when(F.col("kv_path") == "doc.embedded", F.lit("xml, embedded"))
+    named = named.otherwise(F.lit("json"))
+    return kv.groupBy(named.alias("format")).agg(F.count(F.lit(1)).alias("pairs"))
