@@ -212,7 +212,8 @@ def _every_match_sql(pattern: str, kv_path: str, extra: str = "true") -> str:
         WHERE NOT regexp_matches(text, '^\\s*#') AND {extra}"""
 
 
-_Q = "['\"\"]".replace("'", "''").replace('""', '"')
+# The patterns of assignments, calls and pairs, as SQL texts; a single quote is written twice there.
+_Q = "[''\"]"
 _GO = rf"'([a-zA-Z_]\w*)\s*(?::=|=)\s*{_Q}([^''\"]+){_Q}'"
 _JAVA = rf"'(?:[a-zA-Z_]\w*\s+)+([a-zA-Z_]\w*)\s*=\s*{_Q}([^''\"]+){_Q}'"
 _JS = rf"'(?:const|let|var)\s+([a-zA-Z_]\w*)\s*=\s*{_Q}([^''\"]+){_Q}'"
