@@ -1,21 +1,24 @@
 """Chat formatting as a prefix tree of turns.
 
-Conversations that begin with the same turns share the nodes of these turns.  Nodes are written once, in
-depth-first order, as a stream of characters cut into rows: each has its place in the stream, the position
-its first character has in the conversation (the length of all turns above it), whether it counts for the
-loss, and the stretches of the stream its characters may attend to, which are its ancestors.
+Conversations that begin with the same turns share the nodes of these turns.  Nodes are encoded and written
+once, in depth-first order, as a stream of token ids cut into rows: each has its place in the stream, the position
+its first token has in the conversation (the tokens of all turns above it), the range of its tokens that
+counts for the loss, and the stretches of the stream its tokens may attend to, which are its ancestors; neighbouring ones
+are joined, so a chain of turns has one stretch.
 
 A turn is formatted as ``<|turn|>role\\ntext<|end|>\\n``.  In role and text a backslash becomes two, and ``<|``
 becomes ``<\\|``, so the marks never occur inside; a line break in a role becomes ``\\n``.  All of it is undone
-on reading.
+on reading.  Role, text and end are encoded apart, so the loss covers the tokens of the text exactly.
 
 A node is named by a digest of its parent's name, its role and its text.  Conversations are sorted by the
 names along their path, which is depth-first order; a node belongs to the first conversation that has it,
-so a very common first turn is a single row and conversations below it spread over all partitions.
+so a very common first turn is a single row and conversations below it spread over all partitions.  The nodes of a
+conversation that others own come first on its path, and sums along the path give all positions, so work
+grows with the number of turns.
 
 Defined cases: a null text or role is empty; turns are ordered by number (null first), then role and text;
 repeated rows are turns of their own; a null id is a conversation like any other; an empty table gives no
-rows; extra columns are ignored.
+rows; extra columns are ignored.  A conversation is one row of a table: its turns together stay below 2 GiB.
 """
 
 from __future__ import annotations
@@ -23,11 +26,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyhound.llm import encoding, tokens
+
+#: Rows of nodes that are handed over together.
+_ROWS_AT_ONCE = 5_000
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 LOSS_ROLE = "assistant"
 
@@ -86,19 +94,76 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank += batch.num_rows
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, start = TaskContext.get().partitionId(), 0
+def _encoded(tokenizer: str):
+    """Ids of nodes, the range of them under the loss mask, and their place in the partition's stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part, start = encoding.encoder(tokenizer), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for rows, pieces in tokens.slices(batch, "piece"):
+                parts = []
+                for piece in pieces:
+                    head = piece.index(b"\n") + 1
+                    parts += [piece[:head], piece[head : -len(CLOSE)], piece[-len(CLOSE) :]]
+                ids, offsets = encoder.encode(parts)
+                bounds = offsets[::3]
+                sizes = np.diff(bounds)
+                first = offsets[1::3] - bounds[:-1]
+                last = np.where(rows.column("loss").to_numpy(zero_copy_only=False), offsets[2::3] - bounds[:-1], first)
+                kept = [rows.column(c) for c in ("node", "rank", "parent", "depth")]
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+                more = [pa.array(sizes), pa.array(first), pa.array(last), lists]
+                places = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(bounds[:-1] + start)]
+                yield pa.record_batch([*kept, *more, *places], _STREAM_NAMES)
+                start += int(bounds[-1])
+
+    return run
+
+
+_STREAM_NAMES = ["node", "rank", "parent", "depth", "size", "loss_from", "loss_to", "ids", "part", "part_start"]
+_STREAM = (
+    "node string, rank long, parent string, depth int, size long, loss_from long, loss_to long, ids array<int>, "
+    "part int, part_start long"
+)
+_OWNED = "start long, position long, attends array<struct<from: bigint, to: bigint>>"
+
+
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Position and ancestors' stretches of the nodes a conversation owns, from the places along its path."""
+    pair = pa.struct([("from", pa.int64()), ("to", pa.int64())])
     for batch in batches:
-        sizes = batch.column("size").to_pylist()
-        starts = []
-        for size in sizes:
-            starts.append(start)
-            start += size
-        more = [pa.array([part] * len(sizes), pa.int32()), pa.array(starts, pa.int64())]
-        yield pa.record_batch([*batch.columns, *more], [*batch.schema.names, "part", "part_start"])
+        starts, positions, attends, offsets = [], [], [], [0]
+        for rank, way in zip(batch.column("rank").to_pylist(), batch.column("way").to_pylist(), strict=True):
+            runs: list[tuple[int, int]] = []
+            position = 0
+            for step in way:
+                start, size = step["start"], step["size"]
+                if step["owner"] == rank:
+                    starts.append(start)
+                    positions.append(position)
+                    attends += runs
+                    offsets.append(len(attends))
+                position += size
+                if runs and runs[-1][1] == start:
+                    runs[-1] = (runs[-1][0], start + size)
+                else:
+                    runs.append((start, start + size))
+            if len(starts) >= _ROWS_AT_ONCE:
+                yield _owned_batch(starts, positions, attends, offsets, pair)
+                starts, positions, attends, offsets = [], [], [], [0]
+        if starts:
+            yield _owned_batch(starts, positions, attends, offsets, pair)
+
+
+def _owned_batch(starts: list, positions: list, attends: list, offsets: list, pair: pa.DataType) -> pa.RecordBatch:
+    stretches = pa.StructArray.from_arrays(
+        [pa.array([x for x, _ in attends], pa.int64()), pa.array([x for _, x in attends], pa.int64())], fields=list(pair)
+    )
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), stretches)
+    return pa.record_batch([pa.array(starts, pa.int64()), pa.array(positions, pa.int64()), lists], ["start", "position", "attends"])
 
 
-def write_tree(turns: DataFrame, path: str) -> None:
+def write_tree(turns: DataFrame, path: str, tokenizer: str) -> None:
     """Write ``nodes`` (the stream, in order) and ``conversations`` (their nodes from the root) below ``path``."""
     spark = turns.sparkSession
     kind = turns.select("conv_id").schema[0].dataType.simpleString()
@@ -109,11 +174,12 @@ def write_tree(turns: DataFrame, path: str) -> None:
     found.mapInArrow(_ranked, f"{columns}, rank long").write.parquet(f"{path}/conversations")
     members = spark.read.parquet(f"{path}/conversations")
 
-    zipped = F.arrays_zip("path", "pieces", "losses")
-    spread = members.select("rank", "path", F.posexplode(zipped).alias("depth", "turn"))
-    each = spread.select(
+    parents = F.concat(F.array(F.lit(None).cast("string")), "path")  # one more than there are nodes
+    zipped = F.arrays_zip("path", "pieces", "losses", parents.alias("parents"))
+    spread = members.select("rank", F.size("path").alias("length"), F.posexplode(zipped).alias("depth", "turn"))
+    each = spread.where(F.col("depth") < F.col("length")).select(
         F.col("turn.path").alias("node"),
-        F.when(F.col("depth") > 0, F.get("path", F.col("depth") - 1)).alias("parent"),
+        F.col("turn.parents").alias("parent"),
         "depth",
         "rank",
         F.col("turn.pieces").alias("piece"),
@@ -122,78 +188,54 @@ def write_tree(turns: DataFrame, path: str) -> None:
     nodes = each.groupBy("node").agg(
         F.min("rank").alias("rank"), *(F.any_value(x).alias(x) for x in ("parent", "depth", "piece", "loss"))
     )
-    nodes = nodes.withColumn("size", F.length("piece").cast("long"))
     nodes = nodes.repartitionByRange("rank", "depth").sortWithinPartitions("rank", "depth")
-    shape = "node string, rank long, parent string, depth int, piece string, loss boolean, size long"
-    nodes.select("node", "rank", "parent", "depth", "piece", "loss", "size").mapInArrow(
-        _placed, f"{shape}, part int, part_start long"
-    ).write.parquet(f"{path}/stream")
+    nodes.mapInArrow(_encoded(tokenizer), _STREAM).write.parquet(f"{path}/stream")
     stream = spark.read.parquet(f"{path}/stream")
     sums = stream.groupBy("part").agg(F.sum("size").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     sums = sums.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
-    places = stream.join(sums, "part").select("node", "rank", "depth", "size", (F.col("before") + F.col("part_start")).alias("start"))
-
-    # Places of all nodes along each path, by the conversation that owns the last of them.
-    along = members.select("rank", F.posexplode("path").alias("depth", "node")).join(places.select("node", "start", "size"), "node")
-    ways = along.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("depth", "start", "size"))).alias("way"))
-    owned = places.join(ways, "rank").select(
-        "node", "start", F.filter("way", lambda x: x["depth"] < F.col("depth")).alias("above")
-    )
-    owned = owned.select(
-        "node",
-        "start",
-        F.aggregate("above", F.lit(0).cast("long"), lambda acc, x: acc + x["size"]).alias("position"),
-        _intervals(F.col("above")).alias("attends"),
-    )
-    kept = stream.select("node", "parent", "depth", "piece", "loss", "size").join(owned, "node")
+    stream = stream.join(sums, "part").withColumn("start", F.col("before") + F.col("part_start"))
+    stream = stream.drop("part", "part_start", "before")
+
+    places = stream.select("node", F.col("rank").alias("owner"), "size", "start")
+    along = members.select("rank", F.posexplode("path").alias("depth", "node")).join(places, "node")
+    step = F.struct("depth", "start", "size", "owner")
+    ways = along.groupBy("rank").agg(F.sort_array(F.collect_list(step)).alias("way"))
+    kept = stream.drop("rank").join(ways.mapInArrow(_owned, _OWNED), "start")
     kept.repartitionByRange("start").sortWithinPartitions("start").write.parquet(f"{path}/nodes")
 
 
-def _intervals(above: Column) -> Column:
-    """Stretches ``from, to`` of the stream, neighbours joined."""
-    empty = F.array().cast("array<struct<from:bigint,to:bigint>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        here = F.struct(x["start"].alias("from"), (x["start"] + x["size"]).alias("to"))
-        joined = F.struct(last["from"].alias("from"), (x["start"] + x["size"]).alias("to"))
-        touches = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["to"] == x["start"])
-        return F.when(touches, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(
-            F.concat(acc, F.array(here))
-        )
-
-    return F.aggregate(above, empty, step)
-
-
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """``conv_id, pieces`` of all conversations, put together from the nodes of the tree."""
+    """``conv_id, turns`` of all conversations, put together from the nodes of the tree: ids and the range under the loss mask."""
     members = spark.read.parquet(f"{path}/conversations").select("conv_id", "rank", F.posexplode("path").alias("depth", "node"))
-    nodes = spark.read.parquet(f"{path}/nodes").select("node", "piece", "loss")
-    rows = members.join(nodes, "node").groupBy("rank").agg(
-        F.any_value("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("depth", "piece", "loss"))).alias("pieces")
-    )
-    return rows.select("conv_id", "pieces")
+    nodes = spark.read.parquet(f"{path}/nodes").select("node", "ids", "loss_from", "loss_to")
+    turns = F.sort_array(F.collect_list(F.struct("depth", "ids", "loss_from", "loss_to")))
+    rows = members.join(nodes, "node").groupBy("rank").agg(F.any_value("conv_id").alias("conv_id"), turns.alias("turns"))
+    return rows.select("conv_id", "turns")
 
 
-def digests(conversations: DataFrame) -> DataFrame:
-    """Numbers and digests of the turns and of the text under the loss mask, undone from the format."""
+def digests(conversations: DataFrame, tokenizer: str) -> DataFrame:
+    """Numbers and digests of the turns and of the text under the loss mask, decoded and undone from the format."""
     kind = conversations.select("conv_id").schema[0].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = encoding.load(tokenizer).decode
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for pieces in batch.column("pieces").to_pylist():
+            for turns in batch.column("turns").to_pylist():
                 whole, masked, loss, size = hashlib.sha256(), hashlib.sha256(), 0, 0
-                for piece in pieces:
-                    role, text = parse_turn(piece["piece"])
+                for turn in turns:
+                    piece = decode(turn["ids"], skip_special_tokens=False)
+                    role, text = parse_turn(piece)
                     whole.update(f"{role}\n{text}\n".encode())
-                    size += len(piece["piece"])
-                    if piece["loss"]:
+                    size += len(piece)
+                    under = turn["ids"][turn["loss_from"] : turn["loss_to"]]
+                    if under:
+                        text = unescape(decode(under, skip_special_tokens=False))
                         masked.update(text.encode())
                         loss += len(text)
-                for column, value in zip(out, (len(pieces), whole.hexdigest(), loss, masked.hexdigest(), size), strict=True):
+                for column, value in zip(out, (len(turns), whole.hexdigest(), loss, masked.hexdigest(), size), strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.record_batch([batch.column("conv_id"), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names)

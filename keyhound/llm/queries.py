@@ -101,8 +101,8 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], turns.schema.names)
     more = more.select(F.col("conv_id").cast(kind), F.col("turn").cast(turns.schema["turn"].dataType), "role", "text")
     path = scratch_path(spark, "chat")
-    chat.write_tree(turns.unionByName(more), path)
-    return chat.digests(chat.read_conversations(spark, path))
+    chat.write_tree(turns.unionByName(more), path, vocabulary())
+    return chat.digests(chat.read_conversations(spark, path), vocabulary())
 
 
 def op9_imatch(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -415,11 +416,11 @@ def chat_rows():
 def test_chat_round_trip_and_tree(spark):
     rows = chat_rows()
     path = scratch_path(spark, "test-chat")
-    chat.write_tree(spark.createDataFrame([(*r, "x") for r in rows], CHAT), path)
+    chat.write_tree(spark.createDataFrame([(*r, "x") for r in rows], CHAT), path, llm.vocabulary())
     turns = defaultdict(list)
     for name, turn, role, text in rows:
         turns[name].append(((turn is not None, turn or 0), role or "", text or ""))
-    got = {r["conv_id"]: r for r in chat.digests(chat.read_conversations(spark, path)).collect()}
+    got = {r["conv_id"]: r for r in chat.digests(chat.read_conversations(spark, path), llm.vocabulary()).collect()}
     assert set(got) == set(turns)
     for name, own in turns.items():
         own.sort()
@@ -432,28 +433,51 @@ def test_chat_round_trip_and_tree(spark):
 
     nodes = spark.read.parquet(f"{path}/nodes").orderBy("start").collect()
     by_name = {r["node"]: r for r in nodes}
-    assert len(by_name) == len(nodes) and sum(r["piece"].endswith("be kind<|end|>\n") for r in nodes) == 1
+    stream = [x for r in nodes for x in r["ids"]]
+    plain = encoding.load(llm.vocabulary())
+    decoded = {r["node"]: plain.decode(r["ids"], skip_special_tokens=False) for r in nodes}
+    assert len(by_name) == len(nodes) and sum(x.endswith("be kind<|end|>\n") for x in decoded.values()) == 1
     place, stack = 0, []
     for r in nodes:
-        assert r["start"] == place and r["size"] == len(r["piece"])
+        assert r["start"] == place and r["size"] == len(r["ids"])
         place += r["size"]
         above, seen, names = r["parent"], [], []
         while above:
             seen.append((by_name[above]["start"], by_name[above]["size"]))
             names.append(above)
             above = by_name[above]["parent"]
-        assert r["position"] == sum(n for _, n in seen)
-        covered = [x for a in r["attends"] for x in range(a["from"], a["to"])] if r["position"] < 5_000 else None
-        if covered is not None:
-            assert covered == [x for a, n in reversed(seen) for x in range(a, a + n)]
+        assert r["depth"] == len(names) and r["position"] == sum(n for _, n in seen)
+        covered = [x for a in r["attends"] for x in range(a["from"], a["to"])]
+        assert covered == [x for a, n in reversed(seen) for x in range(a, a + n)]
+        assert all(a["to"] < b["from"] or b["to"] < a["from"] for a, b in zip(r["attends"], r["attends"][1:], strict=False))
         # Depth first: the parent is on the path of the node before.
         assert not names or names[0] in stack
         stack = [r["node"], *names]
+        # A conversation's ids from the stream and the stretches; its loss is the text of the turn.
+        way = [stream[x] for x in covered] + r["ids"]
+        assert plain.decode(way, skip_special_tokens=False) == "".join(decoded[x] for x in [*names[::-1], r["node"]])
+        role, text = chat.parse_turn(decoded[r["node"]])
+        under = chat.unescape(plain.decode(r["ids"][r["loss_from"] : r["loss_to"]], skip_special_tokens=False))
+        assert under == (text if role == "assistant" else "")
+
+
+def test_a_very_long_conversation(spark):
+    """Work grows with the turns, not with their square."""
+    rows = [(1, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(20_000)]
+    rows += [(2, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(15_000)] + [(2, 15_000, "user", "other")]
+    path = scratch_path(spark, "test-chat")
+    table = spark.createDataFrame([(*r, "x") for r in rows], CHAT)
+    started = time.time()
+    chat.write_tree(table, path, llm.vocabulary())
+    got = {r["conv_id"]: r["n_turns"] for r in chat.digests(chat.read_conversations(spark, path), llm.vocabulary()).collect()}
+    assert got == {1: 20_000, 2: 15_001} and time.time() - started < 60
+    nodes = spark.read.parquet(f"{path}/nodes")
+    assert nodes.count() == 20_001 and nodes.selectExpr("max(size(attends))").first()[0] <= 2
 
 
 def test_chat_of_nothing(spark):
     path = scratch_path(spark, "test-chat")
-    chat.write_tree(spark.createDataFrame([(*r, "x") for r in chat_rows()[:1]], CHAT).where("false"), path)
+    chat.write_tree(spark.createDataFrame([(*r, "x") for r in chat_rows()[:1]], CHAT).where("false"), path, llm.vocabulary())
     assert chat.read_conversations(spark, path).count() == 0
 
 
