@@ -220,22 +220,29 @@ def digests(conversations: DataFrame, tokenizer: str) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoding.load(tokenizer).decode
         for batch in batches:
+            turns = batch.column("turns")
+            each = turns.flatten()
+            ids, masks = each.field("ids"), [each.field(x).to_numpy() for x in ("loss_from", "loss_to")]
+            raw, place = encoding.decode(tokenizer, ids.flatten().to_numpy())
+            first = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
+            bounds = place[first].tolist()
+            low, high = (place[first[:-1] + x].tolist() for x in masks)
             out: list[list] = [[], [], [], [], []]
-            for turns in batch.column("turns").to_pylist():
+            at = 0
+            for count in turns.value_lengths().to_pylist():
                 whole, masked, loss, size = hashlib.sha256(), hashlib.sha256(), 0, 0
-                for turn in turns:
-                    piece = decode(turn["ids"], skip_special_tokens=False)
+                for k in range(at, at + count):
+                    piece = raw[bounds[k] : bounds[k + 1]].decode()
                     role, text = parse_turn(piece)
                     whole.update(f"{role}\n{text}\n".encode())
                     size += len(piece)
-                    under = turn["ids"][turn["loss_from"] : turn["loss_to"]]
-                    if under:
-                        text = unescape(decode(under, skip_special_tokens=False))
+                    if high[k] > low[k]:
+                        text = unescape(raw[low[k] : high[k]].decode())
                         masked.update(text.encode())
                         loss += len(text)
-                for column, value in zip(out, (len(turns), whole.hexdigest(), loss, masked.hexdigest(), size), strict=True):
+                at += count
+                for column, value in zip(out, (count, whole.hexdigest(), loss, masked.hexdigest(), size), strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.record_batch([batch.column("conv_id"), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names)

@@ -290,3 +290,28 @@ class Encoder:
 @cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
+
+
+@cache
+def _texts(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens one after another, and where each id's begin and how many there are."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+    tokenizer = load(path)
+    added = {k: x.content for k, x in tokenizer.get_added_tokens_decoder().items()}
+    size = tokenizer.get_vocab_size()
+    texts = [b""] * size
+    for text, number in tokenizer.get_vocab().items():
+        texts[number] = added[number].encode() if number in added else bytes(byte_of[c] for c in text)
+    lengths = np.fromiter(map(len, texts), np.int64, size)
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def decode(path: str, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The bytes that ids of a byte-level vocabulary stand for, and where each id's begin, with the end."""
+    pool, start, length = _texts(path)
+    counts = length[ids]
+    ends = np.cumsum(counts)
+    at = np.repeat(start[ids] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+    return pool[at].tobytes(), np.concatenate([[0], ends])

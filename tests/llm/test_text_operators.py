@@ -242,6 +242,13 @@ def test_encoder_memory_is_bounded(monkeypatch):
     assert encoder.longer_bytes - before < 2_000  # long parts are not remembered
 
 
+def test_decoding_gives_the_texts_back():
+    texts = ["", "é\x00 日本 😀<|endoftext|>\n", *SIGNS]
+    ids, offsets = encoding.encoder(llm.vocabulary()).encode([x.encode() for x in texts])
+    raw, place = encoding.decode(llm.vocabulary(), ids)
+    assert [raw[place[a] : place[b]].decode() for a, b in zip(offsets, offsets[1:], strict=False)] == texts
+
+
 def test_other_tokenizers_get_whole_texts(tmp_path):
     settings = json.loads(open(llm.vocabulary(), encoding="utf-8").read())
     settings["pre_tokenizer"]["add_prefix_space"] = True
