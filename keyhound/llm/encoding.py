@@ -24,12 +24,13 @@ from itertools import chain
 
 import numpy as np
 
-#: Parts in the table, and their ids: together at most some 80 MB.
-TABLE_PARTS, TABLE_IDS = 1 << 20, 1 << 23
+#: Parts in the table, and their ids: together at most some 35 MB.
+TABLE_PARTS, TABLE_IDS = 1 << 19, 1 << 21
 #: Bytes of keys and ids in the dictionary of longer parts.
 STORE_BYTES = 8 << 20
 LONGEST = 256
-_PIECE = 1 << 20
+#: Bytes of text cut at once, parts looked up at once, and parts the library encodes at once.
+_PIECE, _LOOKED_UP, _ENCODED = 1 << 19, 1 << 17, 2_000
 _LETTER, _DIGIT, _SIGN, _SPACE, _OTHER, _UNSURE = range(6)
 
 
@@ -175,11 +176,13 @@ class Encoder:
 
     def _library(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids one after another, and how many each part has."""
-        found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in parts], add_special_tokens=False)
-        ids = [x.ids for x in found]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
-        return flat, counts
+        flat, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for start in range(0, len(parts), _ENCODED):
+            texts = [x.decode("utf-8", "replace") for x in parts[start : start + _ENCODED]]
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(counts[-1].sum())))
+        return np.concatenate(flat), np.concatenate(counts)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offsets of each text's."""
@@ -212,11 +215,11 @@ class Encoder:
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         starts = cuts(data[: len(joined)], offsets)
         ends = np.append(starts[1:], len(joined))
-        if len(starts) <= _PIECE:
+        if len(starts) <= _LOOKED_UP:
             ids, counts = self._look_up(joined, data, starts, ends)
         else:
-            steps = range(0, len(starts), _PIECE)
-            found = [self._look_up(joined, data, starts[k : k + _PIECE], ends[k : k + _PIECE]) for k in steps]
+            steps = range(0, len(starts), _LOOKED_UP)
+            found = [self._look_up(joined, data, starts[k : k + _LOOKED_UP], ends[k : k + _LOOKED_UP]) for k in steps]
             ids, counts = (np.concatenate(x) for x in zip(*found, strict=True))
         sums = np.concatenate([[0], np.cumsum(counts)])
         at = sums[np.searchsorted(starts, offsets)]
