@@ -257,7 +257,7 @@ _flag("predicate_similarity_limit", f"{RATIO} < 0.35", lambda k, v: p.passes_sim
 _flag(
     "predicate_one_rule",
     f"({RULE_TESTS[13][2]}) AND {RATIO} < 0.7",
-    lambda k, v: rule_predicate(_RULES["password-variable"], k, v),
+    lambda k, v: rule_predicate(next(r for r in read_rules() if r.rule_id == "password-variable"), k, v),
 )
 
 

@@ -371,7 +371,7 @@ def xml_parse_errors(spark, sf):
     "tree_pairs_per_format",
     """SELECT 'xml' AS format, count(*) AS pairs FROM documents WHERE trim(replace(
               text, chr(10), ' ')) <> ''
-       UNION ALL SELECT 'xml, embedded', count(*) FROM documents WHERE contains(text, '=')
+       UNION ALL SELECT 'xml, embedded', count(*) FROM documents WHERE contains(text, '=') HAVING count(*) > 0
        UNION ALL SELECT 'json', count(*) FROM events""",
 )
 def tree_pairs_per_format(spark, sf):
