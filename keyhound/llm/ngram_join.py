@@ -13,8 +13,10 @@ recall even if all its buckets are split ``DEPTH`` times; the more similar, the
 Comparison: in a bucket, pairs whose min-hashes agree on less than ``threshold - MARGIN`` are left out, and
 a pair is looked at in the first of its common buckets only.  Sets of the remaining documents are fetched
 once for each bucket that needs them and compared exactly.  A bucket that stays large (a group of very many
-near copies) is dealt to cells of pairs of blocks with at most ``2 * BLOCK`` sets; inside a cell pairs are
-numpy index arrays, and what leaves it is a number of links per set and a spanning forest, never all pairs.
+near copies) is dealt to cells of pairs of blocks of about ``BLOCK`` sets, or of ``BLOCK_HASHES`` hashes if its
+sets are long.  Cells above ``DENSE`` sets compare tiles of pairs by array operations, and their sets by products
+of token columns, so a pair costs nanoseconds; what leaves a cell is a number of links per set and a spanning
+forest, never all pairs.  Counting the links of a group of n sets that are all alike still looks at n * n pairs.
 Groups are the connected components of the links, found by star contraction on DataFrames.
 
 Defined cases: null and empty texts are classes of their own without links; a null id takes part in its
@@ -41,14 +43,22 @@ RECALL = 0.999
 COORDINATES = 64
 SMALL = 64
 DEPTH = 4
-BLOCK = 512
+BLOCK = 2048
+BLOCK_HASHES = 4_000_000
+DENSE = 128
+TILE = 256
 MARGIN = 0.22
 _PAIRS = 100_000
 _HELD = 1_000_000
+_WIDTH = 2048
 
 
 def runs_for(threshold: float, recall: float = RECALL, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has met in some bucket with probability ``recall``."""
+    """Runs after which a pair at the threshold has met in some bucket with probability ``recall``.
+
+    Runs count as independent.  They share ``COORDINATES`` min-hashes, so a pair exactly at 0.8 whose buckets
+    are all split ``DEPTH`` times is found with about 0.998 at the default recall.
+    """
     met, second = 1.0, min(1.0, 1 / threshold - 1)
     for _ in range(depth):
         hit = threshold * met
@@ -130,7 +140,7 @@ def _text_id() -> Column:
 
 
 def buckets(classes: DataFrame, threshold: float, recall: float, small: int, depth: int) -> DataFrame:
-    """``path, node, members``: the buckets of at least two sets in which all runs end."""
+    """``path, node, size, members, hashes``: the buckets of at least two sets in which all runs end."""
     second = min(1.0, 1 / threshold - 1)
 
     def draw(path: str, salt: int) -> Column:
@@ -140,18 +150,18 @@ def buckets(classes: DataFrame, threshold: float, recall: float, small: int, dep
         more = F.pmod(F.xxhash64("path", F.lit(3)), F.lit(1_000_000)) < int(second * 1_000_000)
         drawn = F.when(more & (draw("path", 1) != draw("path", 2)), F.array(draw("path", 1), draw("path", 2))).otherwise(F.array(draw("path", 1)))
         rows = rows.withColumn("coordinate", F.explode(drawn))
-        return rows.select(F.xxhash64("path", "coordinate", F.get("sketch", "coordinate")).alias("path"), "node")
+        return rows.select(F.xxhash64("path", "coordinate", F.get("sketch", "coordinate")).alias("path"), "node", "size")
 
     runs = F.explode(F.sequence(F.lit(1), F.lit(runs_for(threshold, recall, depth))))
-    open_ = split(classes.select("node", "sketch", runs.alias("run")).withColumn("path", F.xxhash64("run")))
+    open_ = split(classes.select("node", "size", "sketch", runs.alias("run")).withColumn("path", F.xxhash64("run")))
     ended = None
     for level in range(1, depth + 1):
         open_ = written(open_, "join-open")
-        counts = open_.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
+        counts = open_.groupBy("path").agg(F.count("*").alias("members"), F.sum("size").alias("hashes")).where("members > 1")
         shared = written(open_.join(counts, "path"), "join-shared")
         done = shared if level == depth else shared.where(F.col("members") <= small)
         ended = done if ended is None else ended.unionByName(done)
-        rest = shared.where(F.col("members") > small).select("path", "node")
+        rest = shared.where(F.col("members") > small).select("path", "node", "size")
         if level == depth or rest.isEmpty():
             break
         open_ = split(rest.join(classes.select("node", "sketch"), "node"))
@@ -159,8 +169,8 @@ def buckets(classes: DataFrame, threshold: float, recall: float, small: int, dep
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """``cell`` and both blocks of each row: buckets of more than ``BLOCK`` sets become pairs of blocks."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    """``cell`` and both blocks of each row: buckets above a block become pairs of blocks."""
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.least(F.col("hashes") / BLOCK_HASHES, F.col("members")))).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "path"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("inner", F.col("block") == F.col("other"))
@@ -233,19 +243,63 @@ def _candidates(table: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.
         return left[met], right[met]
 
     for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-        for k in range(a, b, 512):
-            rows = np.arange(k, min(b, k + 512))
-            left, right = np.meshgrid(rows, np.arange(k, b), indexing="ij")
-            keep = left < right
-            waiting.append(np.stack([left[keep], right[keep]], 1))
-            total += len(waiting[-1])
-            if total >= _PAIRS:
-                yield judged()
-                waiting, total = [], 0
+        if b - a > DENSE:
+            for left, right in _dense(sketch[a:b], paths[a:b], path[a], inner[a], block[a:b], least * COORDINATES):
+                yield left + a, right + a
+            continue
+        left, right = np.triu_indices(b - a, 1)
+        waiting.append(np.stack([left + a, right + a], 1))
+        total += len(left)
+        if total >= _PAIRS:
+            yield judged()
+            waiting, total = [], 0
     if total:
         yield judged()
 
 
+def _met(paths: np.ndarray, here: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that share a path below ``here``: a matrix for rare paths, columns for common ones."""
+    out = np.zeros((len(paths), len(paths)), bool)
+    row, slot = np.nonzero(paths < here)
+    value = paths[row, slot]
+    order = np.argsort(value, kind="stable")
+    row, value = row[order], value[order]
+    edges = np.flatnonzero(np.diff(value)) + 1
+    begins, ends = np.append(0, edges), np.append(edges, len(value))
+    common = [row[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True) if b - a > 1]
+    wide = [x for x in common if len(x) > SMALL]
+    for rows in common:
+        if len(rows) <= SMALL:
+            out[rows[:, None], rows] = True
+    columns = np.zeros((len(paths), len(wide)), np.float32)
+    for k, rows in enumerate(wide):
+        columns[rows, k] = 1
+    return out, columns
+
+
+def _dense(sketch: np.ndarray, paths: np.ndarray, here: int, inner: bool, block: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_candidates`` of one large cell, by tiles of ``TILE`` rows."""
+    met, columns = _met(paths, here)
+    by_coordinate = np.ascontiguousarray(sketch.T)
+    for a in range(0, len(sketch), TILE):
+        b = min(len(sketch), a + TILE)
+        open_ = ~met[a:b, a:] & (np.arange(a, b)[:, None] < np.arange(a, len(sketch)))
+        if not inner:
+            open_ &= block[a:b, None] != block[a:]
+        if columns.shape[1]:
+            open_ &= columns[a:b] @ columns[a:].T == 0
+        column = np.flatnonzero(open_.any(0))
+        if not len(column):
+            continue
+        agree = np.zeros((b - a, len(column)), np.uint8)
+        others = by_coordinate[:, a + column]
+        for k in range(COORDINATES):
+            agree += by_coordinate[k, a:b, None] == others[k]
+        left, right = np.nonzero(open_[:, column] & (agree >= least))
+        if len(left):
+            yield left + a, column[right] + a
+
+
 def _needed(cells: DataFrame, least: float) -> DataFrame:
     """``cell, node`` of the sets that have a candidate pair in the cell."""
 
@@ -283,6 +337,53 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Jaccard similarity of pairs of sorted distinct sets, with about ``_HELD`` hashes in hand."""
     size = np.array([len(x) for x in sets], np.int64)
+    rows, lefts = np.unique(left, return_inverse=True)
+    columns, rights = np.unique(right, return_inverse=True)
+    if len(left) < 16 * (len(rows) + len(columns)):
+        return _each(sets, size, left, right)
+    out = np.zeros(len(left))
+    row_tile, column_tile = np.cumsum(size[rows]) // _HELD, np.cumsum(size[columns]) // _HELD
+    tile = row_tile[lefts] * (column_tile[-1] + 1) + column_tile[rights]
+    order = np.argsort(tile, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+        rows, lefts = np.unique(left[part], return_inverse=True)
+        columns, rights = np.unique(right[part], return_inverse=True)
+        if len(part) < 16 * (len(rows) + len(columns)):
+            out[part] = _each(sets, size, left[part], right[part])
+        else:
+            common = _products([sets[k] for k in rows.tolist()], [sets[k] for k in columns.tolist()])[lefts, rights]
+            out[part] = common / (size[left[part]] + size[right[part]] - common)
+    return out
+
+
+def _products(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
+    """Common tokens of each of ``rows`` with each of ``columns``, by products of ``_WIDTH`` token columns."""
+
+    def entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        owner, token = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        here = np.searchsorted(tokens, token)
+        known = tokens[np.minimum(here, len(tokens) - 1)] == token
+        order = np.argsort(here[known], kind="stable")
+        return owner[known][order], here[known][order]
+
+    out = np.zeros((len(rows), len(columns)))
+    tokens = np.intersect1d(np.concatenate(rows), np.concatenate(columns))
+    if not len(tokens):
+        return out
+    (own, mine), (other, theirs) = entries(rows), entries(columns)
+    for start in range(0, len(tokens), _WIDTH):
+        sides = []
+        for count, owner, token in ((len(rows), own, mine), (len(columns), other, theirs)):
+            a, b = np.searchsorted(token, [start, start + _WIDTH])
+            side = np.zeros((count, min(_WIDTH, len(tokens) - start)), np.float32)
+            side[owner[a:b], token[a:b] - start] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _each(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``_overlaps`` for pairs with few others on either side: one look-up of all right sets per left set."""
     out = np.zeros(len(left))
     order = np.argsort(left, kind="stable")
     edges = np.append(np.flatnonzero(np.append(True, left[order][1:] != left[order][:-1])), len(left))
@@ -299,9 +400,13 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return out
 
 
-def _roots(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest row of each row's component."""
-    root = np.arange(count)
+def _roots(root: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component, once components ``root`` are joined by more links."""
+    new_links = root[left] != root[right]
+    if not new_links.any():
+        return root
+    left = np.append(left[new_links], np.arange(len(root)))
+    right = np.append(right[new_links], root)
     while True:
         low = np.minimum(root[left], root[right])
         new = root.copy()
@@ -324,7 +429,7 @@ def _links(cells: DataFrame, threshold: float, least: float) -> DataFrame:
             node, copies = _column(table, "node").to_numpy(), _column(table, "copies").to_numpy()
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in _column(table, "set")]
             linked = np.zeros(len(node), np.int64)
-            kept: list[tuple[np.ndarray, np.ndarray]] = []
+            root = np.arange(len(node))
             for left, right in _candidates(table, least):
                 if not len(left):
                     continue
@@ -332,11 +437,9 @@ def _links(cells: DataFrame, threshold: float, least: float) -> DataFrame:
                 left, right = left[near], right[near]
                 np.add.at(linked, left, copies[right])
                 np.add.at(linked, right, copies[left])
-                kept.append((left, right))
-            if kept:
-                left, right = (np.concatenate(x) for x in zip(*kept, strict=True))
-                root = _roots(len(node), left, right)
-                used = np.flatnonzero(linked)
+                root = _roots(root, left, right)
+            used = np.flatnonzero(linked)
+            if len(used):
                 yield pa.record_batch(
                     [pa.array(node[used]), pa.array(linked[used]), pa.array(node[root[used]])], ["node", "links", "root"]
                 )
@@ -378,7 +481,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rec
     rows = written(sketches(docs, size), "join-rows")
     full = rows.where("size > 0")
     classes = full.groupBy("node", "check").agg(
-        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("sketch").alias("sketch")
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch")
     )
     classes = written(classes, "join-classes")
     least = threshold - MARGIN

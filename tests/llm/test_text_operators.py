@@ -10,6 +10,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,69 @@ def test_join_equals_all_pairs(spark, monkeypatch, small, depth, block):
     assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in found), key=str) == plain_join(rows)
 
 
+@pytest.mark.parametrize("block,hashes", [(2048, 4_000_000), (150, 4_000_000), (2048, 6_000)])
+def test_join_of_a_large_group_equals_all_pairs(spark, monkeypatch, block, hashes):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_HASHES", hashes)
+    rng = random.Random(5)
+    rows = []  # three groups: the second shares a third of the words of the first
+    for k in range(500):
+        words = [f"w{j}" for j in range(240)] if k % 5 < 3 else [f"w{j}" if j < 80 else f"v{j}" for j in range(200)]
+        if k % 5 == 4:
+            words = [f"u{j}" for j in range(120)]
+        words[rng.randrange(len(words))] = f"x{k % 90}"
+        rows.append((k, " ".join(words)))
+    rows += [(500 + k, " ".join(f"o{k}_{j}" for j in range(12))) for k in range(40)]
+    found = ngram_join.join(docs_of(spark, rows), recall=0.9999).collect()
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in found), key=str) == plain_join(rows)
+
+
+@pytest.mark.parametrize("inner", [True, False])
+def test_dense_cells_give_the_pairs_of_plain_ones(monkeypatch, inner):
+    rng = np.random.default_rng(3)
+    n = 150
+    sketch = rng.integers(0, 2, (n, ngram_join.COORDINATES), dtype=np.int32)
+    paths = [sorted({50, *rng.integers(1, 30, 3).tolist(), *([7] if k % 2 else [])}) for k in range(n)]
+    columns = {
+        "cell": pa.array([1] * n),
+        "node": pa.array(range(n)),
+        "path": pa.array([50] * n),
+        "block": pa.array([0 if inner else k % 2 for k in range(n)], pa.int32()),
+        "inner": pa.array([inner] * n),
+        "sketch": pa.array(list(sketch), pa.list_(pa.int32())),
+        "paths": pa.array(paths, pa.list_(pa.int64())),
+    }
+    table = pa.table(columns)
+    out = []
+    for dense in (1000, 10):
+        monkeypatch.setattr(ngram_join, "DENSE", dense)
+        monkeypatch.setattr(ngram_join, "TILE", 32)
+        monkeypatch.setattr(ngram_join, "SMALL", 20)
+        out.append(sorted((a, b) for x, y in ngram_join._candidates(table, 0.5) for a, b in zip(x.tolist(), y.tolist(), strict=True)))
+    assert out[0] == out[1] and len(out[0]) > 100
+
+
+@pytest.mark.parametrize("held", [1_000_000, 300])
+def test_overlaps_by_products_equal_set_overlaps(monkeypatch, held):
+    monkeypatch.setattr(ngram_join, "_HELD", held)
+    monkeypatch.setattr(ngram_join, "_WIDTH", 16)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 80)).astype(np.uint64)) for _ in range(60)]
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60), indexing="ij"))
+    plain = [len(set(sets[a].tolist()) & set(sets[b].tolist())) / len({*sets[a].tolist(), *sets[b].tolist()}) for a, b in zip(left, right, strict=True)]
+    assert ngram_join._overlaps(sets, left, right).tolist() == plain
+    few = rng.integers(0, len(left), 40)
+    assert ngram_join._overlaps(sets, left[few], right[few]).tolist() == [plain[k] for k in few]
+
+
+def test_roots_join_components_step_by_step():
+    root = np.arange(8)
+    root = ngram_join._roots(root, np.array([5, 3]), np.array([6, 4]))
+    assert root.tolist() == [0, 1, 2, 3, 3, 5, 5, 7]
+    root = ngram_join._roots(root, np.array([6, 7]), np.array([4, 0]))
+    assert root.tolist() == [0, 1, 2, 3, 3, 3, 3, 0]
+
+
 def test_join_keeps_one_of_each_group(spark):
     rows = similar_docs()
     kept = ngram_join.distinct(docs_of(spark, rows))
