@@ -22,12 +22,10 @@ from keyhound.sources.rules import Rule, read_rules
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table of a folder as a stream."""
-    path = f"{folder}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(
-        folder
-    )
+    """A parquet table of a folder as a stream; the table is one file, or a folder of files."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    # A stream takes a plain path for a folder; a pattern may name either.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def stream_corpus(

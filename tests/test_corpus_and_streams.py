@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from keyhound.operators import tree
 from keyhound.operators.dispatch import with_format
 from keyhound.operators.match import match
+from keyhound.plans import all_queries
 from keyhound.plans.scan import (
     Extractors,
     corpus_errors,
@@ -358,6 +359,32 @@ def test_stream_equals_batch(spark, tables):
     assert everything(spark, tables).count() > 0
 
 
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"<html><!-- note {k} --></html>", f"x = {k}") for k in range(6)], "page_id INT, html STRING, text STRING")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "pages.parquet"))
+    rows.selectExpr("page_id AS doc_id", "text").repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    (tmp_path / "one").mkdir()
+    part = rows.coalesce(1).write.parquet(str(tmp_path / "part")) or next((tmp_path / "part").glob("part-*.parquet"))
+    os.rename(part, tmp_path / "one" / "pages.parquet")
+    queries = all_queries()
+    for folder in ("many", "one"):
+        events = queries["stream_progress_events"](spark, str(tmp_path / folder)).collect()
+        assert sorted(r["data"] for r in events) == [f"pages/{k}.html" for k in range(6)]
+    many = str(tmp_path / "many")
+    counted = queries["stream_running_counts"](spark, many).collect()
+    assert sum(r["findings"] for r in counted) == queries["stream_findings"](spark, many).count()
+    assert queries["stream_document_scan"](spark, many).count() == 0
+
+
+def test_a_stream_of_no_rows_gives_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "page_id INT, html STRING").write.parquet(str(tmp_path / "pages.parquet"))
+    queries, folder = all_queries(), str(tmp_path)
+    assert queries["stream_findings"](spark, folder).count() == 0
+    assert queries["stream_progress_events"](spark, folder).count() == 0
+    assert queries["stream_found_events"](spark, folder).count() == 0
+    assert queries["stream_reloaded_rules"](spark, folder).count() == 0
+
+
 def test_progress(spark, tables):
     pages = live.stream_table(spark, tables, "pages")
     seen = []
