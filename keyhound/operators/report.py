@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from keyhound.fixed_values import OTHER_RULE_TYPE, RULE_TYPE_WORDS, SEVERITY_WEIGHTS
 
+#: Findings sorted by one task, in bytes of their rows.
+SORT_BYTES = 64 << 20
+
 
 def scan_summary(files: DataFrame, findings: DataFrame) -> DataFrame:
     """One row: files looked at (parsed or not) and findings."""
@@ -92,11 +95,17 @@ def sort_findings(
     """Findings by severity weight or by a column, then in scan order.
 
     The second part of the order also keeps the sort balanced: five severities alone
-    would send all findings to five tasks.
+    would send all findings to five tasks.  Findings are measured first and dealt by ranges of
+    about ``SORT_BYTES``: findings compress so well that partitions sized by what was shuffled hold many times as
+    much in memory.
     """
     main = severity_weight(F.col("Severity"), blocker_rank) if key == "Severity" else F.col(key)
     ties = [c for c in ("FilePath", "LineNumber", "RuleID", "Content") if c != key]
-    return findings.orderBy(main.desc() if descending else main.asc(), *ties)
+    order = [main.desc() if descending else main.asc(), *(F.col(c).asc() for c in ties)]
+    texts = [F.coalesce(F.octet_length(n), F.lit(0)) for n, kind in findings.dtypes if kind == "string"]
+    row = sum(texts, F.lit(16 * len(findings.columns))).cast("long")
+    size = findings.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
+    return findings.repartitionByRange(1 + size // SORT_BYTES, *order).sortWithinPartitions(*order)
 
 
 def short_path(path: Column) -> Column:

@@ -246,3 +246,17 @@ def test_blocks_are_not_shuffled(spark, found, lines):
         tree = framed._jdf.queryExecution().optimizedPlan().toString()
         assert tree.count("Join LeftOuter") + tree.count("Join Inner") == 1
         assert "Aggregate" not in tree[: tree.index("Join ")]
+
+
+def test_a_sort_is_dealt_by_the_size_of_rows(spark, monkeypatch):
+    rows = [(f"r{k % 3}", "d", f"p{k % 50}", k % 4, "x" * 20, ["MAJOR", "INFO", "BLOCKER", None][k % 4]) for k in range(2_000)]
+    table = spark.createDataFrame([*rows, (None, None, None, None, None, None)], SCHEMA)
+    expected = table.orderBy(report.severity_weight(F.col("Severity"), 4).desc(), "FilePath", "LineNumber", "RuleID", "Content").collect()
+    assert report.sort_findings(table, blocker_rank=4).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(report, "SORT_BYTES", 10_000)
+    ordered = report.sort_findings(table, blocker_rank=4)
+    got = ordered.collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in expected]
+    sizes = [len(x) for x in ordered.rdd.glom().collect()]
+    assert len(sizes) >= 20 and max(sizes) * 130 < 4 * 10_000
+    assert report.sort_findings(table.limit(0)).count() == 0
