@@ -10,7 +10,7 @@ dots, dashes and slashes, not behind a letter) repeat digits of a phone number o
 place of their tokens, however they are grouped: the end of a phone number (after zeros dialled first), or
 any stretch of a card, of at least ``LEAST`` digits.  Such a node has no shape of its own: its edges decide.
 Fewer digits, such as a card's last four, tell too little and are no repeat.  Labels are the four kinds and
-none.  Potentials are learned piece by piece from base labels of a bounded sample (``TRAIN_ROWS`` documents):
+none.  Potentials are learned piece by piece from base labels of all documents, counted by tasks:
 of a token's shape and label, of the labels of neighbouring nodes, and of the labels of tokens that repeat one
 another.  Distant tokens of equal letters and digits, or of equal last eight digits, or that repeat digits as
 said, are joined by skip edges (each to the next of its group, so a token that repeats a thousand times has a
@@ -47,7 +47,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _SPANS = ArrayType(ArrayType(IntegerType()))
 
-TRAIN_ROWS = 20_000
 SURE = 0.9
 LEAST = 7
 ROUNDS = 12
@@ -314,11 +313,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: dict) -> lis
     return out
 
 
-def train(docs: DataFrame, max_rows: int = TRAIN_ROWS) -> dict:
-    """Log potentials from base labels in about ``max_rows`` documents."""
-    total = docs.count()
-    share = min(1_000_000, int(max_rows / max(total, 1) * 1_000_000) + 1)
-    sample = docs.select("text").where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < share)
+def train(docs: DataFrame) -> dict:
+    """Log potentials from base labels in all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int, int], int] = defaultdict(int)
@@ -345,7 +341,7 @@ def train(docs: DataFrame, max_rows: int = TRAIN_ROWS) -> dict:
         )
 
     # Shapes and labels are few, whatever the number of documents.
-    rows = sample.mapInArrow(count, "what string, a int, b int, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(count, "what string, a int, b int, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
     shapes: dict[str, np.ndarray] = {}
     pairs = {"skip": np.full((_NONE + 1, _NONE + 1), 0.1), "chain": np.full((_NONE + 1, _NONE + 1), 1.0)}
     for row in rows:
@@ -358,7 +354,7 @@ def train(docs: DataFrame, max_rows: int = TRAIN_ROWS) -> dict:
     model: dict = {"shape": {k: np.log(v / v.sum()) for k, v in shapes.items()}, "prior": np.log(everything / everything.sum())}
     for name, table in pairs.items():
         joint = table / table.sum()
-        # Repeated tokens attract each other's labels even where the sample holds no repetition.
+        # Repeated tokens attract each other's labels even where the documents hold no repetition.
         strength = np.log(joint / (joint.sum(1)[:, None] * joint.sum(0)[None, :]))
         model[name] = np.clip(strength, -6, 6) + (3 * np.eye(_NONE + 1) if name == "skip" else 0)
     return model

@@ -159,6 +159,14 @@ def test_field_adds_repeated_tokens_only(spark):
     assert pii.train(docs.where("false"))["shape"] == {}
 
 
+def test_field_counts_all_documents(spark):
+    rare = ["1-2", "1@", "+3-4", "a5", "a-6", "a@7", "1.5", "1.5.7", "x1.2.3", "123456", "1234567-8", "+123456.7"]
+    plain = spark.range(60_000).selectExpr("id AS doc_id", "'see 7 now' AS text")
+    odd = spark.createDataFrame([(100_000 + k, f"see {token} now") for k, token in enumerate(rare)], "doc_id long, text string")
+    shapes = pii.train(plain.union(odd))["shape"]
+    assert set(shapes) == {pii._shape(token) for token in [*rare, "7"]}
+
+
 def test_field_adds_repeats_in_other_groups(spark):
     phone, card = "+1 (407) 555-7710", "4111 1111 1111 1111"
     forms = {
