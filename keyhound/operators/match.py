@@ -39,10 +39,10 @@ from keyhound.functions.predicates import (
     similarity_limit,
 )
 from keyhound.functions.strings import let, lowered_pair, ratio_bound, ratio_of
-from keyhound.operators.rule_index import match_indexed
+from keyhound.operators.rule_index import match_indexed, numbered
 from keyhound.schemas import KV_COLUMNS
 from keyhound.sources.config import ScanConfig
-from keyhound.sources.rules import MatchConfig, Rule, rules_from_table
+from keyhound.sources.rules import MatchConfig, Rule, rules_from_table, rules_table
 
 log = logging.getLogger(__name__)
 
@@ -140,15 +140,17 @@ def match(
     """
     if mode not in ("first", "all"):
         raise ValueError("mode is 'first' or 'all'")
-    usable = usable_rules(kv, rules)
     columns = [*KV_COLUMNS, *carried, *([always] if always else [])]
     candidates = drop_excluded(kv.select(*columns), config, always)
+    if not always and not carried and not kv.isStreaming and _are_many(rules):
+        # These rules are read in tasks: neither a table of them nor their patterns are held by the driver.
+        listed = numbered(rules) if isinstance(rules, DataFrame) else rules_table(kv.sparkSession, list(rules))
+        return match_indexed(candidates, listed, mode)
+    usable = usable_rules(kv, rules)
     passing = F.col(always) if always else F.lit(False)
     if not usable:
         nothing = [F.lit(None).cast("string").alias(n) for n in RULE_FIELDS]
         return candidates.filter(passing).select("*", F.lit(-1).alias("rule_order"), *nothing)
-    if len(usable) > MANY_RULES and not always and not carried and not kv.isStreaming:
-        return match_indexed(candidates, list(usable), mode)
     # Unfolding an array computes what is in it once, here for all pairs and below for
     # those that fit; a filter on a computed column would compute it twice.
     offered = candidates.select(*columns, F.inline(F.array(_offers(usable, mode))))
@@ -162,6 +164,10 @@ def match(
     )
 
 
+def _are_many(rules: Rules) -> bool:
+    return (rules.limit(MANY_RULES + 1).count() if isinstance(rules, DataFrame) else len(rules)) > MANY_RULES
+
+
 def _groups(rules: OrderedRules) -> dict[float, list[tuple[int, Rule]]]:
     groups: dict[float, list[tuple[int, Rule]]] = {}
     for order, rule in rules:

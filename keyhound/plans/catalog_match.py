@@ -17,7 +17,7 @@ from keyhound.plans.catalog import document_files, document_lines, query, table
 from keyhound.plans.scan import line_scan
 from keyhound.session import spread
 from keyhound.sources.config import ScanConfig
-from keyhound.sources.rules import MatchConfig, Rule, load_rules, parse_rules, read_rules
+from keyhound.sources.rules import MatchConfig, Rule, load_rules, parse_rules, read_rules, rules_table
 from keyhound.sources.tables import kv_from_table, to_lines
 
 # Pairs built from one customer: SQL that both engines read alike.
@@ -398,11 +398,18 @@ def match_custom_rules(spark, sf):
 )
 def match_many_rules(spark, sf):
     """Every rule that fits, of one rule per customer and one without a fixed text: rules are joined, not compiled."""
-    rows = table(spark, sf, "customer").select(F.col("c_custkey").cast("string")).collect()  # the rule table
-    rules = [Rule(f"customer-{k}", f"c{k}", severity="INFO", value=MatchConfig(rf"(?i)\bCUSTOMER#{k}\b")) for (k,) in rows]
-    rules.insert(0, Rule("urgent", "any customer", severity="MAJOR", value=MatchConfig(r"[1]-[U][R]", True)))
+    urgent = rules_table(spark, [Rule("urgent", "any customer", severity="MAJOR", value=MatchConfig(r"[1]-[U][R]", True))])
+    number = "coalesce(CAST(c_custkey AS STRING), 'None')"
+    config = urgent.schema["value"].dataType.simpleString()
+    customers = table(spark, sf, "customer").selectExpr(
+        "c_custkey AS rule_order", f"'customer-' || {number} AS rule_id", f"'c' || {number} AS description", "'' AS message",
+        "'INFO' AS severity", "0D AS similar", f"CAST(NULL AS {config}) AS key",
+        f"CAST(struct(r'(?i)\\bCUSTOMER#' || {number} || r'\\b', false, 0, false, false, false, false) AS {config}) AS value",
+    )
+    first = F.lit(None).cast("long").alias("rule_order")  # nulls are sorted first
+    rules = urgent.select(first, *urgent.columns[1:]).union(customers)
     value = "'order of customer#' || CAST(o_custkey AS STRING) || ' ' || o_orderpriority AS note"
-    orders = table(spark, sf, "orders").selectExpr("o_orderkey", value)
+    orders = spread(table(spark, sf, "orders")).selectExpr("o_orderkey", value)
     kv = kv_from_table(orders, F.col("o_orderkey").cast("string"), ["note"], "row")
     found = findings(match(kv, rules, "all"))
     return found.select(F.col("FilePath").cast("long").alias("o_orderkey"), "RuleID", "Description")

@@ -1,13 +1,16 @@
 """Rule loading, the shipped catalogue, and matching."""
 
 import random
+from collections import Counter
 
 import pytest
 from conftest import pairs
+from pyspark.sql import functions as F
 
 from keyhound.operators import match as match_module
 from keyhound.operators import rule_index
 from keyhound.operators.match import findings, match
+from keyhound.plans import all_queries
 from keyhound.sources.config import ScanConfig, load_config
 from keyhound.sources.rules import (
     MatchConfig,
@@ -294,3 +297,50 @@ def test_rules_are_listed_under_their_rarest_text():
     rules.append((50, Rule("open", value=MatchConfig("[a-z]+"))))
     grams = rule_index.index_grams(rules)
     assert grams[50] == "*" and len(set(grams.values())) > 45
+
+
+def test_rule_tables_are_listed_in_tasks_as_lists_are(spark):
+    rules = _random_rules(random.Random(7), 150)
+    rules += [Rule("broken", value=MatchConfig("(unclosed")), Rule("java", value=MatchConfig("a{2,1}number"))]
+    rules += [Rule(f"n{i}", value=MatchConfig(f"customer#{i}$", True)) for i in range(60)]
+    usable = match_module.usable_rules(spark.range(1), rules)
+    listed = rule_index.listed_rules(rules_table(spark, rules))
+    assert {r.rule_order: r.stretch for r in listed.collect()} == rule_index.index_grams(list(usable))
+
+
+def test_numbered_rules_meet_few_pairs(spark):
+    """Rules that share all short stretches are told apart by longer ones: candidates do not grow with the rules."""
+    rules = [(i, Rule(f"r{i}", value=MatchConfig(rf"(?i)\bCUSTOMER#{i}\b"))) for i in range(0, 200_000, 9)]
+    listed = Counter(rule_index.index_grams(rules).values())
+    assert max(listed.values()) <= 2
+    text = "order of customer#123456 1-urgent"
+    stretches = {"v" + text[i : i + n] for n in rule_index.GRAMS for i in range(len(text) - n + 1)}
+    assert sum(n for gram, n in listed.items() if gram in stretches) <= 8
+
+
+@pytest.mark.parametrize("mode", ["all", "first"])
+def test_a_table_of_many_rules_is_not_collected(spark, kv, monkeypatch, mode):
+    def collected(_):
+        raise AssertionError("the rule table went to the driver")
+
+    rules = [Rule(f"r{i}", value=MatchConfig(f"number-{i}-end")) for i in range(400)] + [Rule("any", value=MatchConfig("[n]"))]
+    orders = F.when(F.col("rule_order") == 400, F.lit(None)).otherwise(F.floor(F.col("rule_order") / 2) * 10)
+    rule_table = rules_table(spark, rules).withColumn("rule_order", orders.cast("int"))
+    monkeypatch.setattr(match_module, "rules_from_table", collected)
+    monkeypatch.setattr(rule_index, "MAX_BROADCAST_RULES", 50)
+    monkeypatch.setattr(rule_index, "MAX_BROADCAST_STRETCHES", 50 if mode == "first" else 10_000)
+    found = match(kv(("k", "a number-399-end"), ("k", "x"), ("k", "on")), rule_table, mode)
+    got = pairs(found, "line", "rule_id", "rule_order")
+    # The rule without an order comes first; of rules that share one either may.
+    assert got[0] == (0, "any", 0) and got[-1] == (2, "any", 0)
+    others = [(0, "r399", 399), (0, "r399", 400)] if mode == "all" else []
+    assert len(got) == (3 if mode == "all" else 2) and set(got[1:-1]) <= set(others)
+
+
+def test_rules_of_customers_that_repeat_or_lack_a_key(spark, tmp_path):
+    keys = [*range(320), 7, None]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey BIGINT").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(1, 7, "1-URGENT"), (2, 31, "2-HIGH"), (3, None, "1-URGENT"), (4, 999, "5-LOW")]
+    spark.createDataFrame(orders, "o_orderkey BIGINT, o_custkey BIGINT, o_orderpriority STRING").write.parquet(f"{tmp_path}/orders.parquet")
+    found = pairs(all_queries()["match_many_rules"](spark, str(tmp_path)), "o_orderkey", "RuleID", "Description")
+    assert found == [(1, "customer-7", "c7"), (1, "customer-7", "c7"), (1, "urgent", "any customer"), (2, "customer-31", "c31")]
