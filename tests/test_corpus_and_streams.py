@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from keyhound.operators import tree
 from keyhound.operators.dispatch import with_format
 from keyhound.operators.match import match
-from keyhound.plans import all_queries
+from keyhound.plans import all_queries, catalog_reports
 from keyhound.plans.scan import (
     Extractors,
     corpus_errors,
@@ -443,3 +443,51 @@ def test_a_manifest_knows_the_tree_and_not_its_history(spark, tmp_path):
     (root / "fresh").write_text("x")
     assert run() == ([], 5)  # still being written, perhaps
     assert len(os.listdir(folder)) <= 2
+
+
+class _Sized:
+    """A file system of one file that remembers how much room a reader asks for."""
+
+    def __init__(self, content):
+        self.content, self.rooms = content, []
+
+    def open_input_stream(self, path):
+        store = self
+
+        class Stream(io.BytesIO):
+            def read(self, room):
+                store.rooms.append(room)
+                return super().read(room)
+
+        return Stream(self.content)
+
+
+def test_a_file_gets_room_of_its_listed_length(monkeypatch):
+    small = _Sized(b"x" * 100)
+    assert corpus._read(small, "f", length=100) == (b"x" * 100, None) and small.rooms == [corpus.READ_BYTES]
+    large = _Sized(b"x" * 100_000)
+    assert corpus._read(large, "f", length=100_000) == (b"x" * 100_000, None) and large.rooms == [100_001]
+    grown = _Sized(b"x" * 100_000)
+    assert corpus._read(grown, "f", length=3) == (b"x" * 100_000, None)
+    monkeypatch.setattr(corpus, "LARGEST_FILE", 50_000)
+    for length in (3, 50_000, 100_000, None):
+        assert corpus._read(_Sized(b"x" * 100_000), "f", length=length) == (None, corpus.TOO_LARGE)
+        assert corpus._read(_Sized(b"x" * 50_000), "f", length=length) == (b"x" * 50_000, None)
+
+
+def test_a_listing_opens_its_root_a_fixed_number_of_times(tmp_path, monkeypatch):
+    for k in range(40):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / "a.ini").write_text("a=b")
+    opened = []
+    monkeypatch.setattr(corpus.files, "open_root", lambda root, real=corpus.files.open_root: opened.append(root) or real(root))
+    listing = corpus._Listing({"path": str(tmp_path), "shares": "2", "wide_folder": "10", "excluded": "d7"})
+    found = [row for share in listing.share_out() for row in listing.rows(share)]
+    assert len(found) == 39 and len(opened) < 10
+
+
+def test_a_settings_tree_is_written_from_one_read(spark, tables, monkeypatch):
+    written = []
+    monkeypatch.setattr(catalog_reports, "write_files", lambda files, root, real=catalog_reports.write_files: written.append(1) or real(files, root))
+    assert all_queries()["scan_corpus_settings"](spark, tables).count() > 0
+    assert len(written) == 2  # the tree, and its settings
