@@ -491,3 +491,26 @@ def test_a_settings_tree_is_written_from_one_read(spark, tables, monkeypatch):
     monkeypatch.setattr(catalog_reports, "write_files", lambda files, root, real=catalog_reports.write_files: written.append(1) or real(files, root))
     assert all_queries()["scan_corpus_settings"](spark, tables).count() > 0
     assert len(written) == 2  # the tree, and its settings
+
+
+def test_settings_trees_are_on_the_disk_one_at_a_time(spark, tmp_path, monkeypatch):
+    rows = [(k, f"Customer#{k}", "BUILDING") for k in range(40)] + [(7, "Customer#7", "BUILDING"), (None, "nobody", "BUILDING")]
+    spark.createDataFrame(rows, "c_custkey BIGINT, c_name STRING, c_mktsegment STRING").write.parquet(f"{tmp_path}/customer.parquet")
+    roots, present = [], []
+
+    def noted(files, root, real=catalog_reports.write_files):
+        present.append([r for r in roots if r != root and os.path.exists(r)])
+        roots.append(root)
+        real(files, root)
+
+    monkeypatch.setattr(catalog_reports, "write_files", noted)
+
+    def found():
+        return sorted(map(tuple, all_queries()["scan_corpus_settings"](spark, str(tmp_path)).collect()))
+
+    whole = found()
+    assert len(roots) == 2 and len(whole) > 80
+    roots.clear()
+    monkeypatch.setattr(catalog_reports, "SETTINGS_PORTION", 15)
+    assert found() == whole
+    assert len(set(roots)) == 3 and not any(present) and not any(map(os.path.exists, roots))
