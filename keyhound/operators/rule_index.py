@@ -2,9 +2,10 @@
 
 Most patterns hold a plain text that every match must contain.  Such a text offers all its stretches of the
 largest of the lengths ``GRAMS`` that fits, and the rule is listed under the one fewest rules share, so that rules which
-differ in some place of their texts rarely share one, however many there are.  A pair offers all stretches of its
-key and value, so an equality join finds the rules it may match, and their tests run with the rule's fields as columns.  Rules
-without such a text are candidates of every pair.  The plan does not grow with the number of rules.
+differ in some place of their texts rarely share one, however many there are.  A pair offers those stretches of its
+key and value that a filter of the stretches in use lets pass, few beyond the ones in use, so an equality join finds the rules it may
+match, and their tests run with the rule's fields as columns.  Rules without such a text are candidates of every pair.  They and the
+rules with the shortest texts are sent to all tasks and tested before pairs are shuffled.  The plan does not grow with the number of rules.
 
 The rule table is a DataFrame and stays one: patterns are read in tasks, and Java says there which it accepts.
 
@@ -18,6 +19,8 @@ import logging
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,19 +34,24 @@ from keyhound.functions.predicates import (
     similarity_limit,
 )
 from keyhound.functions.strings import similarity_ratio
+from keyhound.operators import stretches
 from keyhound.schemas import KV_COLUMNS
 from keyhound.session import spread, written
 from keyhound.sources.rules import MatchConfig, Rule
 
 log = logging.getLogger(__name__)
 
-GRAMS = (4, 8, 16)
-#: Rules (and their index rows, one each) that are sent to all tasks; more are joined by a shuffle.
+GRAMS = stretches.SIZES
+#: Rules (and their index rows, one each) that are sent to all tasks, those with the shortest texts first, since most pairs meet these;
+#: the others are joined by a shuffle.
 MAX_BROADCAST_RULES = 200_000
-#: Hashes of the stretches in use that are sent to all tasks, so that only stretches some rule is listed under are shuffled.
-MAX_BROADCAST_STRETCHES = 2_000_000
-#: In a shuffle, rules without a text are met by so many shares of the pairs.
+#: Words of 64 bits of the filter of the stretches in use, which is sent to all tasks so that few others are shuffled.  A word serves two
+#: or three stretches; above that the filter grows no more and lets more others pass.
+MAX_BROADCAST_STRETCHES = 1 << 22
+#: In a shuffle, rules without a text that are too many to be sent are met by so many shares of the pairs.
 OPEN_SHARES = 64
+#: Numbers of stretches that are told apart when rules are dealt to tasks or to the shuffle.
+MAX_NUMBER = 100
 #: Invalid patterns that are logged one by one.
 MAX_LOGGED = 20
 _ANY = "*"
@@ -134,7 +142,8 @@ def listed_rules(rules: DataFrame) -> DataFrame:
     chosen = offers.join(shared, "stretch").groupBy("rule_order").agg(rarest)
     stretch = F.coalesce("stretch", F.lit(_ANY)).alias("stretch")
     kept = [c for c in rows.columns if c != "stretches"]
-    return written(rows.select(kept).join(chosen, "rule_order", "left").select(*kept, stretch), "rules")
+    number = F.least(F.size("stretches"), F.lit(MAX_NUMBER)).alias("number")
+    return written(rows.select(*kept, number).join(chosen, "rule_order", "left").select(*kept, "number", stretch), "rules")
 
 
 def folded(text: Column) -> Column:
@@ -142,31 +151,44 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, "İıſK", "iisk"))
 
 
-def offered_hashes(sizes: Sequence[int], shares: int) -> Column:
-    """Hashes of all stretches of key and value under which rules may be listed, each once; ``sizes`` are sorted."""
+def stretch_filter(hashes: DataFrame, count: int) -> np.ndarray:
+    """The filter of about ``count`` different hashes, put together in tasks; its size is bounded, whatever their number."""
+    size = 1
+    while size * 3 < count and size * 2 <= MAX_BROADCAST_STRETCHES:
+        size *= 2
+    value = F.col("hash")
+    place = F.shiftrightunsigned(value, 65 - size.bit_length()) if size > 1 else F.lit(0).cast("long")
+    # ``shiftleft`` takes a shift that is a column only in SQL.
+    bits = " | ".join(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {6 * k}) & 63 AS INT))" for k in range(4))
+    rows = hashes.select(place.alias("place"), F.expr(bits).alias("bits")).groupBy("place").agg(F.bit_or("bits").alias("word")).toArrow()
+    words = np.zeros(size, np.int64)
+    words[rows["place"].to_numpy()] = rows["word"].to_numpy()
+    return words.view(np.uint64)
 
-    def of(side: str) -> Column:
-        # One search gives the longest stretch at each place; the shorter ones are its beginnings.
-        within = F.lit(r"(?=([\x00-\x7F]{%d,%d}))" % (sizes[0], sizes[-1]))
-        longest = F.regexp_extract_all(folded(F.col(side)), within, F.lit(1))
 
-        def hashes(size: int) -> Column:
-            long_enough = F.filter(longest, lambda g: F.octet_length(g) >= size) if size > sizes[0] else longest
-            return F.transform(long_enough, lambda g: F.xxhash64(F.lit(side[0]), F.left(g, F.lit(size))))
+def offered_hashes(pairs: DataFrame, sizes: Sequence[int], words: np.ndarray) -> Column:
+    """Hashes of the stretches of key and value under which rules may be listed, each once."""
+    sent = pairs.sparkSession.sparkContext.broadcast(words)
 
-        return F.concat(*map(hashes, sizes))
+    def offered(key: pa.Array, value: pa.Array) -> pa.Array:
+        return stretches.offered({"k": key, "v": value}, sizes, sent.value)
 
-    share = F.xxhash64(F.lit(_ANY), F.pmod("pair", F.lit(shares)).cast("string"))
-    parts = [of(side) for side in _SIDES] if sizes else []
-    return F.array_distinct(F.concat(*parts, F.array(share)))
+    return F.arrow_udf(offered, "array<bigint>")(folded(F.col("key")), folded(F.col("value")))
 
 
-def _by_hash(listed: DataFrame, shares: int) -> DataFrame:
+def open_hash(share: Column) -> Column:
+    """What rules without a text are met by, in a share of the pairs."""
+    return F.xxhash64(F.lit(_ANY), share)
+
+
+def _with_hash(listed: DataFrame, shares: int) -> DataFrame:
     """Rules with the ``hash`` of what they are listed under; those without a text are met in each share."""
-    side, text = F.substr("stretch", F.lit(1), F.lit(1)), F.substr("stretch", F.lit(2))
-    places = F.when(F.col("stretch") == _ANY, F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<string>")).otherwise(F.array(text))
-    rows = listed.select("*", side.alias("side"), F.explode(places).alias("text"))
-    return rows.select(F.xxhash64("side", "text").alias("hash"), *_FIELDS, "similar", *(f"{side}_tests" for side in _SIDES))
+    own = F.arrow_udf(stretches.listed_hashes, "bigint")("stretch").alias("own")
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long")), open_hash)
+    hashes = F.when(F.col("stretch") == _ANY, places).otherwise(F.array("own"))
+    rows = listed.select("*", own).select("*", F.explode(hashes).alias("hash"))
+    size = (F.char_length("stretch") - 1).alias("size")
+    return rows.select("hash", size, "number", *_FIELDS, "similar", *(f"{side}_tests" for side in _SIDES))
 
 
 def _fits(side: str) -> Column:
@@ -182,25 +204,54 @@ def _fits(side: str) -> Column:
     )
 
 
+def _fitting() -> Column:
+    """All tests of a candidate."""
+    return _fits("key") & _fits("value") & (similarity_ratio(F.col("key"), F.col("value")) < F.col("similar"))
+
+
 def match_indexed(kv: DataFrame, rules: DataFrame, mode: str = "first") -> DataFrame:
     """What ``match`` gives for a rule table whose ``rule_order`` differs from rule to rule."""
     listed = listed_rules(rules)
-    counts = listed.groupBy(F.char_length("stretch").alias("size")).count().collect()  # a row per length
-    sizes = sorted(row["size"] - 1 for row in counts if row["size"] > 1)
-    total = sum(row["count"] for row in counts)
-    few = total <= MAX_BROADCAST_RULES
-    shares = 1 if few else OPEN_SHARES
-    hashed = _by_hash(listed, shares)
+    size = (F.char_length("stretch") - 1).alias("size")
+    counts = listed.groupBy(size, "number").count().orderBy("size", "number").collect()  # a row per length and number, at most
+    sizes = sorted({row["size"] for row in counts} - {0})
+    total, without = sum(row["count"] for row in counts), sum(row["count"] for row in counts if not row["size"])
+    last, room = (-1, 0), MAX_BROADCAST_RULES
+    for row in counts:
+        room -= row["count"]
+        if room < 0:
+            break
+        last = (row["size"], row["number"])
+    few, shares = room >= 0, 1 if without <= MAX_BROADCAST_RULES else OPEN_SHARES
     pairs = kv.filter(is_static(F.col("key"), F.col("value"))).withColumn("pair", F.monotonically_increasing_id())
-    offered = pairs.select("*", F.explode(offered_hashes(sizes, shares)).alias("hash"))
-    if not few and total <= MAX_BROADCAST_STRETCHES:
-        offered = offered.join(F.broadcast(hashed.select("hash").distinct()), "hash", "left_semi")
-    found = (
-        offered.join(F.broadcast(hashed) if few else hashed, "hash")
-        .filter(_fits("key") & _fits("value"))
-        .filter(similarity_ratio(F.col("key"), F.col("value")) < F.col("similar"))
-    )
+    hashed = _with_hash(listed, shares)
+    used = hashed.filter("size > 0").select("hash")
+    own = offered_hashes(pairs, sizes, stretch_filter(used, total - without)) if sizes else F.array().cast("array<bigint>")
+    met = [F.array(open_hash(F.pmod("pair", F.lit(shares))))] if without else []
+    offered = pairs.select("*", own.alias("hashes")).select("*", F.explode(F.concat("hashes", *met)).alias("hash")).drop("hashes")
+    if few or shares > 1:
+        found = offered.join(F.broadcast(hashed) if few else hashed, "hash").filter(_fitting())
+    else:
+        is_sent = F.struct("size", "number") <= F.struct(F.lit(last[0]), F.lit(last[1]))
+        found = _found_by_shuffle(offered, hashed.filter(is_sent), hashed.filter(~is_sent))
     if mode == "first":
         row = F.min_by(F.struct(*KV_COLUMNS, *_FIELDS), "rule_order").alias("row")
         return found.groupBy("pair").agg(row).select("row.*")
     return found.select(*KV_COLUMNS, *_FIELDS)
+
+
+def _found_by_shuffle(offered: DataFrame, sent: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs with the rules they match, of which ``sent`` are tested where the pairs are and ``others`` after a shuffle."""
+    pair = [*KV_COLUMNS, "pair"]
+    # Hashes of both kinds of rules have a row without a rule, for the shuffle.
+    both = sent.select("hash").distinct().join(others.select("hash"), "hash", "left_semi")
+    tested = offered.join(F.broadcast(sent.unionByName(both, allowMissingColumns=True)), "hash", "left")
+    done = F.col("rule_order").isNotNull()
+    rows = tested.filter(~done | _fitting()).select(
+        # Pairs that are done go along, each to a place of its own.
+        *pair, F.when(done, F.xxhash64("pair", "rule_order")).otherwise(F.col("hash")).alias("place"),
+        F.when(done, F.struct(*_FIELDS)).alias("sent"),
+    )
+    joined = rows.join(others, F.col("sent").isNull() & (F.col("place") == F.col("hash")), "left")
+    kept = joined.filter(F.col("sent").isNotNull() | (done & _fitting()))
+    return kept.select(*pair, F.inline(F.array(F.coalesce("sent", F.struct(*_FIELDS)))))

@@ -3,12 +3,14 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import pairs
 from pyspark.sql import functions as F
 
 from keyhound.operators import match as match_module
-from keyhound.operators import rule_index
+from keyhound.operators import rule_index, stretches
 from keyhound.operators.match import findings, match
 from keyhound.plans import all_queries
 from keyhound.sources.config import ScanConfig, load_config
@@ -344,3 +346,56 @@ def test_rules_of_customers_that_repeat_or_lack_a_key(spark, tmp_path):
     spark.createDataFrame(orders, "o_orderkey BIGINT, o_custkey BIGINT, o_orderpriority STRING").write.parquet(f"{tmp_path}/orders.parquet")
     found = pairs(all_queries()["match_many_rules"](spark, str(tmp_path)), "o_orderkey", "RuleID", "Description")
     assert found == [(1, "customer-7", "c7"), (1, "customer-7", "c7"), (1, "urgent", "any customer"), (2, "customer-31", "c31")]
+
+
+@pytest.mark.parametrize("mode", ["all", "first"])
+def test_pairs_are_shuffled_only_for_rules_they_may_match(spark, kv, monkeypatch, mode):
+    rng = random.Random(5)
+    # Rules of all lengths, some listed under stretches that rules sent to all tasks are listed under too.
+    rules = [Rule(f"r{i}", value=MatchConfig(rf"customer#{i}\b")) for i in range(400)]
+    rules += [Rule(f"s{i}", value=MatchConfig("stomer#1[0-9]*other-text")) for i in range(3)] + [Rule("any", value=MatchConfig("[c]"))]
+    texts = [f"order of customer#{rng.randrange(600)} 1-urgent" for _ in range(60)] + ["customer#12-other-text", "plain text without a number"]
+    pairs_table = kv(*[("note", t) for t in texts])
+    fields = ("line", "value", "rule_order", "rule_id")
+    monkeypatch.setattr(match_module, "MANY_RULES", 10_000)
+    compiled = pairs(match(pairs_table, rules, mode), *fields)
+    monkeypatch.setattr(match_module, "MANY_RULES", 0)
+    shuffled, join = [], rule_index._found_by_shuffle
+
+    def counted(offered, sent, others):
+        shuffled.append((offered.count(), sent.count(), others.count()))
+        return join(offered, sent, others)
+
+    monkeypatch.setattr(rule_index, "_found_by_shuffle", counted)
+    for room in (1, 60, 150, 399):
+        monkeypatch.setattr(rule_index, "MAX_BROADCAST_RULES", room)
+        assert pairs(match(pairs_table, rules, mode), *fields) == compiled
+    assert [s for _, s, _ in shuffled] == sorted(s for _, s, _ in shuffled) and shuffled[0][1] >= 1 and shuffled[-1][1] > 100
+    # A pair offers the stretches in use, not all of its own, of which there are some sixty.
+    assert all(o < 8 * len(texts) for o, _, _ in shuffled)
+
+
+def test_stretches_are_those_of_the_texts(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefg#\u00e9 1\U0001d11e", k=rng.randrange(60))) for _ in range(100)] + ["", None, "x" * 300]
+    windows = [(i, "v" + t[k : k + n]) for i, t in enumerate(texts) for n in stretches.SIZES for k in range(len(t or "") - n + 1)]
+    windows = [(i, w) for i, w in windows if w.isascii()]
+    hashes = stretches.listed_hashes(pa.array([w for _, w in windows])).to_pylist()
+    expected = {(i, h) for (i, _), h in zip(windows, hashes)}
+    for block in (7, 64, 1 << 17):
+        monkeypatch.setattr(stretches, "BLOCK_BYTES", block)
+        found = stretches.offered({"v": pa.array(texts), "k": pa.array([None] * len(texts), pa.string())}, stretches.SIZES, np.full(1, -1, np.int64).view(np.uint64))
+        assert [len(r) for r in found.to_pylist()] == [len({h for j, h in expected if j == i}) for i in range(len(texts))]
+        assert {(i, h) for i, r in enumerate(found.to_pylist()) for h in r} == expected
+
+
+def test_a_filter_knows_all_its_stretches_and_few_others(spark, monkeypatch):
+    hashes = spark.range(3_000).select(F.xxhash64("id").alias("hash"))
+    others = np.array([r.h for r in spark.range(3_000, 13_000).select(F.xxhash64("id").alias("h")).collect()]).view(np.uint64)
+    own = np.array([r.hash for r in hashes.collect()]).view(np.uint64)
+    words = rule_index.stretch_filter(hashes, 3_000)
+    assert len(words) == 1_024 and stretches.passing(own, words).all() and stretches.passing(others, words).mean() < 0.02
+    for limit in (1, 2, 100):
+        monkeypatch.setattr(rule_index, "MAX_BROADCAST_STRETCHES", limit)
+        words = rule_index.stretch_filter(hashes, 3_000)
+        assert len(words) <= limit and stretches.passing(own, words).all()
